@@ -169,6 +169,26 @@ def _oriented(edges: DataFrame, keys: Sequence[str], ring: str) -> DataFrame:
     }).drop("__turn")
 
 
+def grid_origins(edges: DataFrame, by: str) -> DataFrame:
+    return edges.groupBy(by).agg(
+        F.min(F.least("x1", "x2")).alias("origin_x"), F.min(F.least("y1", "y2")).alias("origin_y")
+    )
+
+
+def _local(edges: DataFrame, origin: DataFrame, by: str) -> DataFrame:
+    return edges.join(origin, by).withColumns({
+        "x1": F.col("x1") - F.col("origin_x"), "x2": F.col("x2") - F.col("origin_x"),
+        "y1": F.col("y1") - F.col("origin_y"), "y2": F.col("y2") - F.col("origin_y"),
+    })
+
+
+def boundary_pieces(edges: DataFrame, cell_size: float, by: str = "city") -> DataFrame:
+    """Boundary cut at the grid lines: ``by, ix, iy`` and the piece's ends,
+    relative to the grid origin."""
+    local = _local(edges, lookup(grid_origins(edges, by)), by).select(by, "x1", "y1", "x2", "y2")
+    return split_on_grid(local, F.lit(float(cell_size)))
+
+
 def grid(edges: DataFrame, cell_size: float = 500.0, by: str = "city", unit: str | None = None) -> DataFrame:
     """Square cells clipped to a boundary, with area and centroid.
 
@@ -179,14 +199,8 @@ def grid(edges: DataFrame, cell_size: float = 500.0, by: str = "city", unit: str
     s = F.lit(float(cell_size))
     keys = [by, unit] if unit else [by]
     rings = edges if "ring" in edges.columns else edges.withColumn("ring", F.lit(0))
-    origin = lookup(rings.groupBy(by).agg(
-        F.min(F.least("x1", "x2")).alias("origin_x"), F.min(F.least("y1", "y2")).alias("origin_y"),
-    ))
-    local = rings.join(origin, by).withColumns({
-        "x1": F.col("x1") - F.col("origin_x"), "x2": F.col("x2") - F.col("origin_x"),
-        "y1": F.col("y1") - F.col("origin_y"), "y2": F.col("y2") - F.col("origin_y"),
-    })
-    turned = _oriented(local, keys, "ring").select(by, "x1", "y1", "x2", "y2")
+    origin = lookup(grid_origins(rings, by))
+    turned = _oriented(_local(rings, origin, by), keys, "ring").select(by, "x1", "y1", "x2", "y2")
     pieces = split_on_grid(turned, s)
     floor = F.col("iy") * s
     xa, xb = F.col("x1"), F.col("x2")

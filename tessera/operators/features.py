@@ -49,8 +49,8 @@ def build_features(
     out = keep(count_within(out, combine_points(schools, clinics), radius, "service_count_1km", [by]))
     out = contains_count(out, intersection_nodes(nodes), cell_size, "__nodes", by, edges=boundary)
     out = out.withColumnRenamed("__nodes_per_km2", "intersection_density_km2").drop("__nodes")
-    out = population_sum(keep(out), population, [by], bucket=cell_size)
-    out = class_shares(out, cover, [by], bucket=cell_size)
+    out = population_sum(keep(out), population, [by], bucket=cell_size, edges=boundary)
+    out = class_shares(out, cover, [by], bucket=cell_size, edges=boundary)
     out = out.withColumns({
         "population_per_service": population_per_service("population", "service_count_1km"),
         "grid_cell_size_m": F.lit(int(cell_size)),

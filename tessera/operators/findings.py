@@ -56,15 +56,19 @@ def average_ranks(metrics: DataFrame) -> DataFrame:
     )
 
 
+def _entries(key: str, value: Column) -> Column:
+    """Aggregate: the rows of a small table as a map ordered by key."""
+    pairs = F.collect_list(F.struct(F.col(key).cast("string").alias("k"), value.alias("v")))
+    ordered = F.array_sort(pairs, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+    return F.map_from_entries(ordered)
+
+
 def _as_map(df: DataFrame, key: str, value: Column, out: str) -> DataFrame:
-    """The rows of a small table as one map ordered by key."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), value.alias("v"))))
-    return df.agg(F.map_from_entries(entries).alias(out))
+    return df.agg(_entries(key, value).alias(out))
 
 
 def _map_per(df: DataFrame, by: str, key: str, value: Column, out: str) -> DataFrame:
-    entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), value.alias("v"))))
-    return df.groupBy(by).agg(F.map_from_entries(entries).alias(out))
+    return df.groupBy(by).agg(_entries(key, value).alias(out))
 
 
 def _beside(*parts: DataFrame) -> DataFrame:

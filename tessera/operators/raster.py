@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import numeric
-from tessera.operators.areas import split_on_grid
+from tessera.operators.areas import boundary_pieces, inside, split_on_grid
 from tessera.operators.quantiles import quantile_table
 from tessera.runtime import attach, keep, lookup, require, require_columns
 
@@ -54,8 +54,8 @@ def pixel_boxes(pixels: DataFrame, left: float, top: float, dx: float, dy: float
 def cell_pixels(
     cells: DataFrame, pixels: DataFrame, by: Sequence[str] = (), id: str = "cell_id", bucket: float | None = None
 ) -> DataFrame:
-    """Pixels whose box overlaps a cell's box: ``by, id, value``. A shared edge
-    is no overlap. Each pair is emitted from the one bucket that holds the
+    """Pairs of a cell and a pixel whose boxes overlap. A shared edge is no
+    overlap. Each pair is emitted from the one bucket that holds the
     lower-left corner of the overlap."""
     by = list(by)
     require_columns(cells, [*by, id, "x0", "y0", "x1", "y1"], "cells")
@@ -79,7 +79,63 @@ def cell_pixels(
     owner = (F.floor(F.greatest("x0", "px0") / s) == F.col("__bx")) & (
         F.floor(F.greatest("y0", "py0") / s) == F.col("__by")
     )
-    return left.join(right, [*by, "__bx", "__by"]).where(overlap & owner).select(*by, id, "value")
+    return left.join(right, [*by, "__bx", "__by"]).where(overlap & owner).drop("__bx", "__by")
+
+
+def _crosses(xa: Column, ya: Column, xb: Column, yb: Column, box: Sequence[Column]) -> Column:
+    """Whether a segment passes through the open rectangle ``x0, y0, x1, y1``."""
+    x0, y0, x1, y1 = box
+
+    def span(a: Column, b: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        at_low, at_high = (low - a) / (b - a), (high - a) / (b - a)
+        held = (a > low) & (a < high)
+        enter = F.when(a == b, F.when(held, 0.0).otherwise(1.0)).otherwise(F.least(at_low, at_high))
+        leave = F.when(a == b, F.when(held, 1.0).otherwise(0.0)).otherwise(F.greatest(at_low, at_high))
+        return enter, leave
+
+    (ex, lx), (ey, ly) = span(xa, xb, x0, x1), span(ya, yb, y0, y1)
+    return F.greatest(ex, ey, F.lit(0.0)) < F.least(lx, ly, F.lit(1.0))
+
+
+def _clipped(pairs: DataFrame, cells: DataFrame, edges: DataFrame, by: str, id: str, size: float) -> DataFrame:
+    """Keep pairs whose common rectangle meets the boundary's inside. Only cells
+    the boundary cuts are looked at: such a rectangle counts if the boundary
+    crosses it or its centre is inside."""
+    cut = F.col("area_m2") < size * size * (1 - 1e-9)
+    marked = keep(pairs.join(cells.select(
+        by, id, "ix", "iy", "origin_x", "origin_y", cut.alias("__cut")
+    ), [by, id]))
+    names = ["__rx0", "__ry0", "__rx1", "__ry1"]
+    corner = [F.greatest("x0", "px0"), F.greatest("y0", "py0"), F.least("x1", "px1"), F.least("y1", "py1")]
+    boxed = marked.where("__cut").withColumns(dict(zip(names, corner)))
+    boxes = keep(boxed.select(by, id, "ix", "iy", "origin_x", "origin_y", *names).distinct())
+    pieces = boundary_pieces(edges, size, by).withColumnsRenamed({c: f"__{c}" for c in ("x1", "y1", "x2", "y2")})
+    crossed = boxes.join(pieces, [by, "ix", "iy"]).where(
+        _crosses(
+            *[F.col(c) for c in ("__x1", "__y1", "__x2", "__y2")],
+            [F.col(n) - F.col(o) for n, o in zip(names, ["origin_x", "origin_y"] * 2)],
+        )
+    ).select(by, id, *names)
+    middle = boxes.withColumns({
+        "__mx": (F.col("__rx0") + F.col("__rx1")) / 2, "__my": (F.col("__ry0") + F.col("__ry1")) / 2
+    })
+    held = inside(middle, edges, by, "__mx", "__my").select(by, id, *names)
+    met = crossed.unionByName(held).distinct()
+    cut_pairs = boxed.join(met, [by, id, *names]).select(by, id, "value")
+    return marked.where(~F.col("__cut")).select(by, id, "value").unionByName(cut_pairs)
+
+
+def touched_pixels(
+    cells: DataFrame, pixels: DataFrame, by: Sequence[str] = (), id: str = "cell_id", bucket: float | None = None,
+    edges: DataFrame | None = None,
+) -> DataFrame:
+    """``by, id, value`` of the pixels a cell touches. With boundary ``edges``
+    the cells are grid cells clipped to it, and ``bucket`` is their side."""
+    pairs = cell_pixels(cells, pixels, by, id, bucket)
+    if edges is None:
+        return pairs.select(*by, id, "value")
+    require(bucket is not None and len(by) == 1, "clipped cells need their side and one group column")
+    return _clipped(pairs, cells, edges, by[0], id, float(bucket))
 
 
 _DIRECT = {
@@ -110,6 +166,7 @@ def zonal_stats(
     by: Sequence[str] = (),
     id: str = "cell_id",
     bucket: float | None = None,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``{prefix}_{stat}`` over the touched pixels and ``{prefix}_available``."""
     stats, by = list(stats), list(by)
@@ -117,7 +174,7 @@ def zonal_stats(
     known = [s for s in stats if s in _DIRECT or s in _BY_VALUE or _quantile_of(s) is not None]
     require(len(known) == len(stats), f"unknown statistic in {stats}")
     keys = [*by, id]
-    pairs = cell_pixels(cells, pixels, by, id, bucket)
+    pairs = touched_pixels(cells, pixels, by, id, bucket, edges)
     direct = [s for s in stats if s in _DIRECT]
     by_value = [s for s in stats if s in _BY_VALUE]
     quantiles = [s for s in stats if _quantile_of(s) is not None]
@@ -155,9 +212,9 @@ def coverage(df: DataFrame, prefix: str = "external_signal") -> DataFrame:
 
 def population_sum(
     cells: DataFrame, pixels: DataFrame, by: Sequence[str] = (), id: str = "cell_id", out: str = "population",
-    bucket: float | None = None,
+    bucket: float | None = None, edges: DataFrame | None = None,
 ) -> DataFrame:
-    sums = cell_pixels(cells, pixels, by, id, bucket).groupBy(*by, id).agg(F.sum("value").alias(out))
+    sums = touched_pixels(cells, pixels, by, id, bucket, edges).groupBy(*by, id).agg(F.sum("value").alias(out))
     return cells.join(sums, [*by, id], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
@@ -169,10 +226,11 @@ def class_shares(
     built: int = BUILT_CLASS,
     open_classes: Sequence[int] = OPEN_CLASSES,
     bucket: float | None = None,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Shares of built-up and open pixels; NULL for a cell without pixels."""
     n = F.count(F.lit(1))
-    shares = cell_pixels(cells, pixels, by, id, bucket).groupBy(*by, id).agg(
+    shares = touched_pixels(cells, pixels, by, id, bucket, edges).groupBy(*by, id).agg(
         (F.count_if(F.col("value") == built) / n).alias("building_coverage_ratio"),
         (F.count_if(F.col("value").isin(*open_classes)) / n).alias("open_space_share"),
     )

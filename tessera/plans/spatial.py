@@ -265,9 +265,9 @@ def _(spark, sf):
 
 
 @query("contains_count", """
-    SELECT g.city, ix, iy, count(c_custkey) AS n, count(c_custkey) / ((cx1 - cx0) * (cy1 - cy0) / 1000000.0) AS n_per_km2
+    SELECT g.city, ix, iy, count(c_custkey) AS n, count(c_custkey) / any_value((cx1 - cx0) * (cy1 - cy0) / 1000000.0) AS n_per_km2
     FROM gridded g LEFT JOIN (SELECT c_custkey, CAST((c_custkey * 7919) % 10007 AS DOUBLE) + 0.25 AS x, CAST((c_custkey * 104729) % 10009 AS DOUBLE) + 0.25 AS y FROM customer)
-    ON x > cx0 AND x < cx1 AND y > cy0 AND y < cy1 GROUP BY ALL""", ["n_per_km2"], roles.PARCELS)
+    ON x > cx0 AND x < cx1 AND y > cy0 AND y < cy1 GROUP BY 1, 2, 3""", ["n_per_km2"], roles.PARCELS)
 def _(spark, sf):
     parcels = roles.parcels(spark, sf)
     edges = roles.rectangle_edges(parcels, ["city"])
@@ -447,29 +447,67 @@ def _(spark, sf):
     )
 
 
-@query("build_features")
-def _(spark, sf):
-    """All parcels of the suppliers at once; every layer is keyed by parcel."""
+def _sql_nearest(layer: str, where: str, out: str) -> str:
+    return f"""{out} AS (SELECT g.city, ix, iy, sqrt(min((g.x - b.x) * (g.x - b.x) + (g.y - b.y) * (g.y - b.y))) AS d
+    FROM cellz g JOIN {layer} b ON g.z = b.z WHERE {where} GROUP BY 1, 2, 3)"""
+
+
+def _sql_within(where: str, out: str) -> str:
+    return f"""{out} AS (SELECT g.city, ix, iy, count(*) AS n FROM cellz g JOIN poiz b ON g.z = b.z
+    AND (g.x - b.x) * (g.x - b.x) + (g.y - b.y) * (g.y - b.y) < 1000000.0 WHERE {where} GROUP BY 1, 2, 3)"""
+
+
+IS_SCHOOL = "lower(amenity) IN ('school', 'university')"
+IS_CLINIC = "(coalesce(lower(amenity) IN ('clinic', 'pharmacy'), false) OR coalesce(healthcare IN ('yes', 'doctors'), false))"
+STUDY = f"""
+cellz AS (SELECT g.*, (g.cx0 + g.cx1) / 2 AS x, (g.cy0 + g.cy1) / 2 AS y, (g.cx1 - g.cx0) * (g.cy1 - g.cy0) / 1000000.0 AS km2,
+    s_suppkey % 5 AS z FROM gridded g JOIN supplier ON s_name = city),
+poiz AS (SELECT *, poi_id % 5 AS z FROM amenities),
+roadz AS (SELECT r.*, k.z FROM roads r JOIN (SELECT DISTINCT city, poi_id % 5 AS z FROM amenities) k USING (city)),
+rd AS (SELECT city, ix, iy, sqrt(min(ex * ex + ey * ey)) AS d FROM (SELECT city, ix, iy, x1 + t * (x2 - x1) - x AS ex, y1 + t * (y2 - y1) - y AS ey FROM (
+    SELECT *, CASE WHEN l2 > 0 THEN greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / l2)) ELSE 0.0 END AS t FROM (
+    SELECT g.city, ix, iy, x, y, x1, y1, x2, y2, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS l2 FROM cellz g JOIN roadz r ON g.z = r.z))) GROUP BY 1, 2, 3),
+{_sql_nearest("poiz", IS_SCHOOL, "sd")},
+{_sql_nearest("poiz", IS_CLINIC, "cd")},
+{_sql_within("coalesce(lower(amenity) NOT IN ('bench', 'parking'), true)", "am")},
+sv AS (SELECT city, ix, iy, sum(n) AS n FROM (SELECT g.city, ix, iy, CAST({IS_SCHOOL} IS TRUE AS INT) + CAST({IS_CLINIC} AS INT) AS n FROM cellz g JOIN poiz b ON g.z = b.z
+    AND (g.x - b.x) * (g.x - b.x) + (g.y - b.y) * (g.y - b.y) < 1000000.0) GROUP BY 1, 2, 3),
+nd AS (SELECT g.city, ix, iy, count(*) AS n FROM cellz g JOIN poiz b ON g.z = b.z AND b.x >= cx0 AND b.x < cx1 AND b.y >= cy0 AND b.y < cy1
+    WHERE street_count >= 3 GROUP BY 1, 2, 3),
+pz AS (SELECT g.city, ix, iy, sum(value) AS pop, count(*) FILTER (WHERE cover = 50) AS built, count(*) FILTER (WHERE cover IN (10, 20, 30, 60, 90)) AS op,
+    count(*) FILTER (WHERE cover <> 0) AS n FROM cellz g JOIN pixels p ON g.z = CAST(px AS BIGINT) % 5
+    AND px0 < cx1 AND px1 > cx0 AND py0 < cy1 AND py1 > cy0 GROUP BY 1, 2, 3)"""
+
+
+@query("build_features", """
+    SELECT g.city, ix, iy, km2 AS area_km2, coalesce(pop, 0) AS population, rd.d AS road_distance_m, sd.d AS school_distance_m, cd.d AS clinic_distance_m,
+    coalesce(am.n, 0) AS amenity_count_1km, CAST(coalesce(sv.n, 0) AS BIGINT) AS service_count_1km, coalesce(pop, 0) / greatest(coalesce(sv.n, 0), 1) AS population_per_service,
+    built / nullif(pz.n, 0)::DOUBLE AS building_coverage_ratio, op / nullif(pz.n, 0)::DOUBLE AS open_space_share, coalesce(nd.n, 0) / km2 AS intersection_density_km2,
+    CAST(500 AS BIGINT) AS grid_cell_size_m
+    FROM cellz g LEFT JOIN rd USING (city, ix, iy) LEFT JOIN sd USING (city, ix, iy) LEFT JOIN cd USING (city, ix, iy) LEFT JOIN am USING (city, ix, iy)
+    LEFT JOIN sv USING (city, ix, iy) LEFT JOIN nd USING (city, ix, iy) LEFT JOIN pz USING (city, ix, iy)""",
+       ["area_km2", "population", "road_distance_m", "school_distance_m", "clinic_distance_m", "population_per_service",
+        "building_coverage_ratio", "open_space_share", "intersection_density_km2:4"],
+       roles.PARCELS + "," + roles.AMENITY + "," + roles.ROADS + "," + roles.PIXELS + "," + STUDY)
+def _(spark, sf):
+    """All suppliers' parcels at once; layers are keyed by parcel."""
     parcels = roles.keep(roles.parcels(spark, sf))
     edges = roles.rectangle_edges(parcels, ["city"])
-    zones = parcels.select("city", (F.xxhash64("city") % 5 + 5).cast("int").alias("z"))
+    zones = roles.table(spark, sf, "supplier").select(F.col("s_name").alias("parcel"), (F.col("s_suppkey") % 5).alias("z"))
     number = F.coalesce(*[F.when(F.col("city") == c, F.lit(i)) for i, c in enumerate(roles.CITIES)])
 
-    def keyed(rows):
-        marked = rows.withColumn("z", (number + 1) % 5 + 1).drop("city")
-        return marked.join(zones.withColumn("z", F.pmod("z", F.lit(5)) + 1), "z").drop("z")
+    def keyed(rows, zone):
+        return rows.withColumn("z", zone).join(zones, "z").withColumn("city", F.col("parcel")).drop("z", "parcel")
 
-    pois = keyed(roles.amenities(spark, sf))
-    streets = keyed(roles.roads(spark, sf))
-    spread = roles.pixels(spark, sf).withColumn("city", F.element_at(
-        F.array(*[F.lit(c) for c in roles.CITIES]), (F.col("px") % 5 + 1).cast("int")))
-    grid = keyed(spread)
+    pois = keyed(roles.amenities(spark, sf), number)
+    streets = keyed(roles.roads(spark, sf), number)
+    grid = keyed(roles.pixels(spark, sf), F.col("px").cast("bigint") % 5)
     out, _ = features.build_features(
         edges, streets, pois, pois, grid.select("city", "px0", "py0", "px1", "py1", "value"),
         grid.select("city", "px0", "py0", "px1", "py1", F.col("cover").alias("value")).where("value <> 0"),
     )
     return out.select(
-        "city", "cell_id", "area_km2", "population", "road_distance_m", "school_distance_m", "clinic_distance_m",
+        "city", "ix", "iy", "area_km2", "population", "road_distance_m", "school_distance_m", "clinic_distance_m",
         "amenity_count_1km", "service_count_1km", "population_per_service", "building_coverage_ratio",
         "open_space_share", "intersection_density_km2", "grid_cell_size_m",
     )
