@@ -148,9 +148,12 @@ def comparison_shift(
 
 
 def finite_corr(a: Column, b: Column) -> Column:
-    """Aggregate: Pearson correlation, NULL where a side does not vary."""
-    r = F.corr(a, b)
-    return F.when(~F.isnan(r), r)
+    """Aggregate: Pearson correlation over rows with both values, NULL where a
+    side does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    left, right = F.when(both, a), F.when(both, b)
+    spread = F.stddev_pop(left) * F.stddev_pop(right)
+    return F.when(spread > 0, F.covar_pop(left, right) / spread)
 
 
 def alignment(

@@ -105,9 +105,13 @@ def linear_baseline(
     ``low_wealth_prob``. The line is closed form, in one aggregation."""
     rows = rows.withColumn("__x", -numeric(score))
     train = rows.where(F.col("role") == "train")
-    line = train.groupBy(by).agg(
-        F.regr_slope(F.col(truth), F.col("__x")).alias("__b"), F.regr_intercept(F.col(truth), F.col("__x")).alias("__a")
-    )
+    y, x = F.col(truth).cast("double"), F.col("__x")
+    both = y.isNotNull() & x.isNotNull()
+    y, x = F.when(both, y), F.when(both, x)
+    # A constant score carries no slope; the line is then the mean.
+    slope = F.when(F.var_pop(x) > 0, F.covar_pop(y, x) / F.var_pop(x)).otherwise(0.0)
+    line = train.groupBy(by).agg(slope.alias("__b"), F.avg(y).alias("__my"), F.avg(x).alias("__mx"))
+    line = line.select(by, "__b", (F.col("__my") - F.col("__b") * F.col("__mx")).alias("__a"))
     test = attach(rows.where(F.col("role") == "test"), line, [by])
     test = test.withColumn("rwi_pred", F.col("__a") + F.col("__b") * F.col("__x")).drop("__a", "__b")
     assembler = VectorAssembler(inputCols=["__x"], outputCol="__vec")

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import numeric
 from tessera.functions.geo import segment_distance2
 from tessera.operators.quantiles import quantile_table
 from tessera.runtime import attach, keep, lookup, require_columns
@@ -126,8 +127,13 @@ def _with_frame(rows: DataFrame, frame: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(lookup(frame), by) if by else rows.crossJoin(F.broadcast(frame))
 
 
+def placed(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Rows that have a position."""
+    return df.where(numeric(x).isNotNull() & numeric(y).isNotNull())
+
+
 def _locations(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+    return placed(df, x, y).select(
         *by, F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy")
     ).distinct()
 
@@ -135,7 +141,7 @@ def _locations(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 def _thinned(df: DataFrame, by: Sequence[str], id: str, x: str, y: str, k: int) -> DataFrame:
     """Candidate points; of copies of one location only the first ``k`` by id
     can be among anyone's ``k`` nearest."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+    rows = placed(df, x, y).select(
         *by, F.col(x).cast("double").alias("x1"), F.col(y).cast("double").alias("y1"), F.col(id).alias("cid")
     )
     copies = Window.partitionBy(*by, "x1", "y1").orderBy("cid")
@@ -239,7 +245,7 @@ def count_within(
     require_columns(points, [*by, x, y], "points")
     s = float(radius) / parts
     r2 = float(radius) ** 2
-    places = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
+    places = placed(points, x, y).groupBy(
         *by, F.col(x).cast("double").alias("__px"), F.col(y).cast("double").alias("__py")
     ).agg(F.count(F.lit(1)).alias("__n"))
     places = keep(places.withColumns({"__bx": F.floor(F.col("__px") / s), "__by": F.floor(F.col("__py") / s)}))

@@ -16,27 +16,32 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import has_hot_group, keep, lookup
 
-_POS, _PART = "__pos", "__part"
+_POS, _PART, _GROUP = "__pos", "__part", "__group"
 _PART_SHIFT = 33  # monotonically_increasing_id keeps the partition above bit 33
 
 
+def group_key(by: Sequence[str]) -> Column:
+    """The group columns as one value, in which NULL equals NULL."""
+    return F.struct(*by) if by else F.lit(0)
+
+
 def _place(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Sort globally by group and order, and keep each row's place."""
-    ordered = df.orderBy(*[F.col(c) for c in by], *order)
+    ordered = df.withColumn(_GROUP, group_key(by)).orderBy(_GROUP, *order)
     placed = keep(ordered.withColumn(_POS, F.monotonically_increasing_id()))
     return placed.withColumn(_PART, F.shiftright(_POS, _PART_SHIFT))
 
 
-def _carry(placed: DataFrame, by: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+def _carry(placed: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
     """Per partition and group: first place and what earlier partitions of the
     same group add up to. Has at most partitions + groups rows."""
-    spans = placed.groupBy(_PART, *by).agg(
+    spans = placed.groupBy(_PART, _GROUP).agg(
         F.min(_POS).alias("__first"), *[c.alias(f"__own_{n}") for n, c in totals.items()]
     )
-    earlier = Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(_GROUP).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     return spans.select(
         _PART,
-        *by,
+        _GROUP,
         "__first",
         *[
             F.coalesce(F.sum(f"__own_{n}").over(earlier), F.lit(0)).alias(f"__before_{n}")
@@ -56,11 +61,11 @@ def number_rows(
     if not hot:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
     placed = _place(df, by, order)
-    carry = lookup(_carry(placed, by, {"n": F.count(F.lit(1))}))
+    carry = lookup(_carry(placed, {"n": F.count(F.lit(1))}))
     return (
-        placed.join(carry, [_PART, *by])
+        placed.join(carry, [_PART, _GROUP])
         .withColumn(name, F.col(_POS) - F.col("__first") + F.col("__before_n") + 1)
-        .drop(_POS, _PART, "__first", "__before_n")
+        .drop(_POS, _PART, _GROUP, "__first", "__before_n")
     )
 
 
@@ -79,12 +84,12 @@ def running_sums(
         frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(c).over(frame) for n, c in sums.items()})
     placed = _place(df, by, order)
-    carry = lookup(_carry(placed, by, {n: F.sum(c) for n, c in sums.items()}))
-    frame = Window.partitionBy(_PART, *by).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
+    carry = lookup(_carry(placed, {n: F.sum(c) for n, c in sums.items()}))
+    frame = Window.partitionBy(_PART, _GROUP).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumns({n: F.sum(c).over(frame) for n, c in sums.items()})
-    joined = local.join(carry, [_PART, *by])
+    joined = local.join(carry, [_PART, _GROUP])
     return joined.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in sums}).drop(
-        _POS, _PART, "__first", *[f"__before_{n}" for n in sums]
+        _POS, _PART, _GROUP, "__first", *[f"__before_{n}" for n in sums]
     )
 
 
@@ -111,11 +116,10 @@ def average_rank(
         first = F.rank().over(ordered)
         last = F.count(F.lit(1)).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
         return df.withColumn(name, F.when(F.col(value).isNotNull(), (first + last) / 2.0))
-    values = running_sums(value_table(df, by, value), by, [order], {"__upto": "n"}, hot=True)
-    ranks = values.select(
-        *by, value, (F.col("__upto") - (F.col("n") - 1) / 2.0).alias(name)
-    )
-    return df.join(lookup(ranks), [*by, value], "left").select(*df.columns, name)
+    keyed = df.withColumn("__key", group_key(by))
+    values = running_sums(value_table(keyed, ["__key"], value), ["__key"], [order], {"__upto": "n"}, hot=True)
+    ranks = values.select("__key", value, (F.col("__upto") - (F.col("n") - 1) / 2.0).alias(name))
+    return keyed.join(lookup(ranks), ["__key", value], "left").select(*df.columns, name)
 
 
 def dense_rank_desc(df: DataFrame, value: str, name: str, hot: bool | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.order import running_sums
+from tessera.operators.order import group_key, running_sums
 from tessera.runtime import attach, has_hot_group, keep, lookup
 
 _SKETCH = 10_000
@@ -28,14 +28,16 @@ def quantile_table(
     if hot is None:
         hot = has_hot_group(df, by)
     if hot:
-        return _bracketed(df, by, columns, probs)
+        # One key column, in which a NULL group equals itself in the joins.
+        keyed = df.withColumn("__key", group_key(by)).select("__key", *columns)
+        return _bracketed(keyed, ["__key"], columns, probs).select(*[F.col(f"__key.{c}").alias(c) for c in by], *columns)
     wanted = F.array(*[F.lit(p) for p in probs])
     aggs = [F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in columns]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
 def _bracketed(df: DataFrame, by: list[str], columns: list[str], probs: list[float]) -> DataFrame:
-    groups = keep(df.select(*by).distinct()) if by else None
+    groups = keep(df.select(*by).distinct())
     long = df.select(
         *by, F.explode(F.array(*[
             F.struct(F.lit(c).alias("__f"), F.col(c).cast("double").alias("__v")) for c in columns
@@ -127,6 +129,4 @@ def _wide(picked: DataFrame, by: list[str], columns: list[str], probs: list[floa
     for column in columns:
         filled = F.array(*[slot(column, i) for i in range(len(probs))])
         aggs.append(F.when(slot(column, 0).isNotNull(), filled).alias(column))
-    if not by:
-        return cells.agg(*aggs)
     return groups.join(cells.groupBy(*by).agg(*aggs), by, "left")

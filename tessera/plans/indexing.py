@@ -245,7 +245,7 @@ districts AS (SELECT counted.*, CASE WHEN NOT eligible_priority_flag THEN 'small
 BASE_UNIT = roles.CELLS + "," + UNIT
 UNIT_DOUBLES = [
     "city_cell_share", "population_total", "city_population_share", "mean_score", "median_score",
-    "population_weighted_mean_score:10", "city_score_top_fraction_threshold", "citywide_q90_population_share",
+    "population_weighted_mean_score", "city_score_top_fraction_threshold", "citywide_q90_population_share",
     "citywide_q90_cell_share", "hotspot_population_total", "hotspot_population_share", "hotspot_cell_share",
     "hotspot_dominant_dimension_weight_share", "hotspot_priority_mode_weight_share",
 ]

@@ -16,7 +16,7 @@ from tessera.sources import points
 
 @query("regression_metrics", """
     SELECT protocol, model, avg(abs(rwi_true - rwi_pred)) AS mae, sqrt(avg((rwi_true - rwi_pred) ^ 2)) AS rmse,
-    1 - sum((rwi_true - rwi_pred) ^ 2) / (var_pop(rwi_true) * count(*)) AS r2, corr(rwi_true, rwi_pred) AS pearson_corr, corr(ry, rp) AS spearman_corr FROM (
+    CASE WHEN var_pop(rwi_true) > 0 THEN 1 - sum((rwi_true - rwi_pred) ^ 2) / (var_pop(rwi_true) * count(*)) ELSE 0 END AS r2, corr(rwi_true, rwi_pred) AS pearson_corr, corr(ry, rp) AS spearman_corr FROM (
     SELECT *, rank() OVER (PARTITION BY protocol ORDER BY rwi_true) + (count(*) OVER (PARTITION BY protocol, rwi_true) - 1) / 2.0 AS ry,
     rank() OVER (PARTITION BY protocol ORDER BY rwi_pred) + (count(*) OVER (PARTITION BY protocol, rwi_pred) - 1) / 2.0 AS rp FROM predictions) GROUP BY 1, 2""",
        ["mae", "rmse", "r2", "pearson_corr", "spearman_corr"], roles.PREDICTIONS)
@@ -274,7 +274,7 @@ def _(spark, sf):
     SELECT city, unit AS admin_unit, district_priority_rank, district_priority_class, district_priority_metric_count, population_weighted_mean_score,
     citywide_q90_population_share, hotspot_population_share, hotspot_dominant_dimension, position FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY
     district_priority_rank, population_total DESC, unit) AS position FROM districts WHERE district_priority_rank IS NOT NULL AND district_priority_class = 'high_priority') WHERE position <= 5""",
-       ["population_weighted_mean_score:10", "citywide_q90_population_share", "hotspot_population_share"], BASE_UNIT)
+       ["population_weighted_mean_score", "citywide_q90_population_share", "hotspot_population_share"], BASE_UNIT)
 def _(spark, sf):
     return findings.top_units(unit_summary(spark, sf), 5, True, name="unit")
 
