@@ -18,19 +18,11 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import numeric
 from tessera.functions.geo import segment_distance2
 from tessera.operators.quantiles import quantile_table
-from tessera.runtime import attach, keep, lookup, require_columns
+from tessera.runtime import attach, broadcast_rows, keep, lookup, require_columns
 
 _GROWTH = 3.0
 _DENSEST = 64  # locations per wanted neighbour in the fullest first bucket
-
-
-def _block(radius: int = 1) -> Column:
-    """The bucket offsets of a square block around a bucket."""
-    steps = range(-radius, radius + 1)
-    return F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"))
-        for i in steps for j in steps
-    ])
+_CROWDED = 1_000_000  # candidates one task should compare with a query
 
 
 def _frame(query: DataFrame, boxes: DataFrame, by: Sequence[str], k: int) -> DataFrame:
@@ -51,35 +43,28 @@ def _frame(query: DataFrame, boxes: DataFrame, by: Sequence[str], k: int) -> Dat
     high = [F.greatest("__bx", "__dx"), F.greatest("__by", "__dy")]
     extent = F.greatest(high[0] - low[0], high[1] - low[1])
     extent = F.when(extent > 0, extent * 1.000001).otherwise(1.0)
-    first = F.greatest(extent * F.sqrt(F.lit(float(k)) / F.col("__m")), F.col("__long"))
-    return keep(joined.where(F.col("__m") > 0).select(
+    first = F.greatest(extent * F.sqrt(F.lit(0.6 * k + 1.4) / F.col("__m")), F.col("__long"))
+    return joined.where(F.col("__m") > 0).select(
         *by, low[0].alias("__ox"), low[1].alias("__oy"), extent.alias("__extent"),
         F.least(first, extent).alias("__s"),
-    ))
+    )
 
 
 def _cell(value: str, origin: str, size: Column) -> Column:
     return F.floor((F.col(value) - F.col(origin)) / size)
 
 
-def _bucketed(boxes: DataFrame, size: Column) -> DataFrame:
-    """One row per bucket a candidate's bounding box covers."""
-    return (
-        boxes.withColumn("__bx", F.explode(F.sequence(_cell("x1", "__ox", size), _cell("x2", "__ox", size))))
-        .withColumn("__by", F.explode(F.sequence(_cell("y1", "__oy", size), _cell("y2", "__oy", size))))
-    )
+def _fullest(boxes: DataFrame, by: Sequence[str], factor: float) -> int:
+    size = F.col("__s") * F.lit(factor)
+    counts = boxes.groupBy(*by, _cell("x1", "__ox", size).alias("a"), _cell("y1", "__oy", size).alias("b"))
+    return counts.agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
 
 
 def _first_scale(boxes: DataFrame, by: Sequence[str], k: int) -> float:
     """Shrink factor of the bucket side at which no bucket is overfull."""
     factor = 1.0
     for _ in range(16):
-        fullest = (
-            boxes.groupBy(*by, _cell("x1", "__ox", F.col("__s") * factor).alias("a"),
-                          _cell("y1", "__oy", F.col("__s") * factor).alias("b"))
-            .agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        )
-        if (fullest or 0) <= _DENSEST * max(k, 1):
+        if _fullest(boxes, by, factor) <= _DENSEST * max(k, 1):
             break
         factor /= _GROWTH
     return factor
@@ -87,32 +72,33 @@ def _first_scale(boxes: DataFrame, by: Sequence[str], k: int) -> float:
 
 def _search(query: DataFrame, boxes: DataFrame, by: list[str], k: int, d2: Column) -> DataFrame:
     """The ``k`` nearest candidates of each query location: rows
-    ``by, qx, qy, cid, d2, seq``, nearest first, ties by ``cid``."""
-    frame = _frame(query, boxes, by, k)
-    boxes = keep(_with_frame(boxes, frame, by))
-    left = keep(_with_frame(query, frame, by))
-    factor = _first_scale(boxes, by, k)
+    ``by, qx, qy, cid, d2, seq``, nearest first, ties by ``cid``. With ``k = 1``
+    a candidate id may stand for several boxes."""
+    boxes, left = keep(boxes), keep(query)
+    frame = lookup(_frame(left, boxes, by, k))
+
+    def framed(rows: DataFrame) -> DataFrame:
+        return rows.join(frame, by) if by else rows.crossJoin(frame)
+
+    boxes, left = framed(boxes), framed(left)
+    factor = first = _first_scale(boxes, by, k)
     found: list[DataFrame] = []
-    place = Window.partitionBy(*by, "qx", "qy").orderBy("d2", "cid")
     while True:
         size = F.col("__s") * F.lit(factor)
-        probes = (
-            left.withColumn("__o", F.explode(_block()))
-            .withColumn("__bx", _cell("qx", "__ox", size) + F.col("__o.i"))
-            .withColumn("__by", _cell("qy", "__oy", size) + F.col("__o.j"))
-            .select(*by, "qx", "qy", "__bx", "__by", size.alias("__size"), "__extent")
-        )
-        seen = _bucketed(boxes, size).drop("__ox", "__oy", "__extent", "__s")
-        pairs = probes.join(seen, [*by, "__bx", "__by"]).withColumn("d2", d2)
-        # A wide box meets the block in several buckets; its copies collapse.
-        pairs = pairs.groupBy(*by, "qx", "qy", "__size", "__extent", "cid").agg(F.min("d2").alias("d2"))
-        nearest = pairs.withColumn("seq", F.row_number().over(place)).where(F.col("seq") <= k)
-        whole = Window.partitionBy(*by, "qx", "qy")
-        full = (F.max("seq").over(whole) == k) & (F.sqrt(F.max("d2").over(whole)) <= F.col("__size"))
+        if left.count() * 9 <= broadcast_rows(query.sparkSession):
+            near = _nearest_of_few(left, boxes, by, k, size, d2)
+        else:
+            salts = 1 if factor == first else -(-_fullest(boxes, by, factor) // _CROWDED)
+            near = _nearest_of_many(left, boxes, by, k, size, d2, salts)
+        whole = Window.partitionBy(*by, "__bx", "__by", "__salt", "qx", "qy")
+        # How far the block around the query reaches for certain.
+        inset = [F.pmod(F.col(q) - F.col(o), F.col("__size")) for q, o in (("qx", "__ox"), ("qy", "__oy"))]
+        reach = F.col("__size") + F.least(*inset, *[F.col("__size") - i for i in inset])
+        full = (F.max("seq").over(whole) == k) & (F.sqrt(F.max("d2").over(whole)) <= reach * (1 - 1e-9))
         final = full | (F.col("__size") >= F.col("__extent"))
-        done = keep(nearest.withColumn("__final", final).where("__final").select(*by, "qx", "qy", "cid", "d2", "seq"))
+        done = keep(near.withColumn("__final", final).where("__final").select(*by, "qx", "qy", "cid", "d2", "seq"))
         found.append(done)
-        rest = left.join(done.select(*by, "qx", "qy").distinct(), [*by, "qx", "qy"], "left_anti")
+        rest = left.join(done.where("seq = 1").select(*by, "qx", "qy"), [*by, "qx", "qy"], "left_anti")
         left = keep(rest.where(size < F.col("__extent")))
         if left.isEmpty():
             break
@@ -123,8 +109,55 @@ def _search(query: DataFrame, boxes: DataFrame, by: list[str], k: int, d2: Colum
     return out
 
 
-def _with_frame(rows: DataFrame, frame: DataFrame, by: list[str]) -> DataFrame:
-    return rows.join(lookup(frame), by) if by else rows.crossJoin(F.broadcast(frame))
+def _probes(left: DataFrame, by: list[str], size: Column) -> DataFrame:
+    return left.select(
+        *by, "qx", "qy", _cell("qx", "__ox", size).alias("__bx"), _cell("qy", "__oy", size).alias("__by"),
+        size.alias("__size"), "__extent", "__ox", "__oy",
+    )
+
+
+def _covering(boxes: DataFrame, size: Column, margin: int) -> DataFrame:
+    """One row per bucket a box covers, and ``margin`` buckets around."""
+    wide = boxes.withColumn(
+        "__bx", F.explode(F.sequence(_cell("x1", "__ox", size) - margin, _cell("x2", "__ox", size) + margin))
+    ).withColumn("__by", F.explode(F.sequence(_cell("y1", "__oy", size) - margin, _cell("y2", "__oy", size) + margin)))
+    return wide.drop("__ox", "__oy", "__extent", "__s")
+
+
+def _nearest_of_few(left: DataFrame, boxes: DataFrame, by: list[str], k: int, size: Column, d2: Column) -> DataFrame:
+    """Queries few enough to broadcast visit the candidates where they lie.
+    Every task keeps its own best ``k`` of a query before anything moves."""
+    steps = F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"))
+        for i in (-1, 0, 1) for j in (-1, 0, 1)
+    ])
+    probes = _probes(left, by, size).withColumn("__o", F.explode(steps)).withColumns({
+        "__bx": F.col("__bx") + F.col("__o.i"), "__by": F.col("__by") + F.col("__o.j")
+    }).drop("__o")
+    pairs = _covering(boxes, size, 0).join(F.broadcast(probes), [*by, "__bx", "__by"]).withColumn("d2", d2)
+    pairs = pairs.withColumns({"__bx": F.lit(0), "__by": F.lit(0), "__salt": F.lit(0)})
+    place = Window.partitionBy(*by, "qx", "qy").orderBy("d2", "cid")
+    return pairs.withColumn("seq", F.row_number().over(place)).where(F.col("seq") <= k)
+
+
+def _nearest_of_many(
+    left: DataFrame, boxes: DataFrame, by: list[str], k: int, size: Column, d2: Column, salts: int
+) -> DataFrame:
+    """A candidate is copied to its own and the adjoining buckets, a query stays
+    in its one bucket. So all pairs of a query are made in one partition and
+    ranked there: pairs are never shuffled. A bucket too wide for one task is
+    salted over several, whose few best are ranked once more."""
+    probes = _probes(left, by, size).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = _covering(boxes, size, 1).withColumn("__salt", F.pmod(F.xxhash64("cid"), F.lit(salts)).cast("int"))
+    bucket = [*by, "__bx", "__by", "__salt"]
+    pairs = probes.join(spread.hint("merge"), bucket).withColumn("d2", d2)
+    place = Window.partitionBy(*bucket, "qx", "qy").orderBy("d2", "cid")
+    near = pairs.withColumn("seq", F.row_number().over(place)).where(F.col("seq") <= k)
+    if salts > 1:
+        again = Window.partitionBy(*by, "qx", "qy").orderBy("d2", "cid")
+        near = near.withColumn("__salt", F.lit(0))
+        near = near.withColumn("seq", F.row_number().over(again)).where(F.col("seq") <= k)
+    return near
 
 
 def placed(df: DataFrame, x: str, y: str) -> DataFrame:
