@@ -36,7 +36,6 @@ def containing_units(points: DataFrame, edges: DataFrame, group: str, unit: str)
     times. Edges are spread over horizontal bands, so a location meets only the
     edges at its own height whose unit's bounding box holds it.
     """
-    boxes = Window.partitionBy(group, unit)
     bands = keep(edges.agg(F.avg(F.abs(F.col("y2") - F.col("y1"))).alias("a"), F.min("y1").alias("lo"),
                            F.max("y1").alias("hi")).select(
         F.greatest(F.coalesce(F.col("a"), F.lit(1.0)), (F.col("hi") - F.col("lo")) / 65536.0, F.lit(1e-12)).alias("__h")

@@ -11,7 +11,7 @@ from tessera.functions.columns import numeric, tag_scenario, with_numeric
 from tessera.operators.order import average_rank
 from tessera.operators.quantiles import quantile_table
 from tessera.operators.report import top_fraction_rows, top_size
-from tessera.runtime import attach, has_hot_group, keep, require, require_columns
+from tessera.runtime import attach, counted_hot, has_hot_group, keep, require, require_columns
 
 
 def join_scores(
@@ -44,13 +44,14 @@ def comparison_columns(
     right_label: str,
     top_fraction: float = 0.1,
     tie: Sequence[str] = ("cell_id",),
+    hot: bool | None = None,
 ) -> DataFrame:
     """Ranks, percentiles, shifts and top-fraction status of two scores."""
     require(0 < top_fraction <= 1, "top_fraction must be in (0, 1]")
     a, b = left_label, right_label
     require_columns(df, [by, f"{a}_score", f"{b}_score", *tie])
     rows = with_numeric(df.where(F.col(by).isNotNull()), f"{a}_score", f"{b}_score")
-    hot = has_hot_group(rows, [by])
+    hot = has_hot_group(rows, [by]) if hot is None else hot
     for label in (a, b):
         rows = average_rank(rows, [by], f"{label}_score", f"{label}_rank_desc", descending=True, hot=hot)
     for label, side in ((a, "left"), (b, "right")):
@@ -113,7 +114,7 @@ def comparison_shift(
     def status_share(*names: str) -> Column:
         return F.avg(F.col("top_fraction_status").isin(*names).cast("double"))
 
-    means = valid.groupBy(by).agg(
+    means = keep(valid.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(shift).alias("mean_score_shift"),
         *[F.avg(c).alias(f"mean_{c}") for c in sizes],
@@ -123,8 +124,9 @@ def comparison_shift(
         status_share("entered_top_fraction", "exited_top_fraction").alias(
             "top_fraction_reclassification_share"
         ),
-    )
-    levels = quantile_table(valid, [by], [shift, *sizes], [0.5, 0.9]).select(
+    ))
+    hot = counted_hot(means, "n_rows", 4)
+    levels = quantile_table(valid, [by], [shift, *sizes], [0.5, 0.9], hot).select(
         by,
         F.col(shift)[0].alias("median_score_shift"),
         *[F.col(c)[0].alias(f"median_{c}") for c in sizes],
@@ -164,13 +166,14 @@ def alignment(
     top_fraction: float = 0.1,
     tie: Sequence[str] = ("cell_id",),
     scenario: str | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Pearson and Spearman correlation and overlap of the two top fractions."""
     require_columns(df, [by, a, b, *tie])
     rows = df.where(F.col(by).isNotNull()).select(
         by, *dict.fromkeys(tie), numeric(a).alias("__a"), numeric(b).alias("__b")
     ).where(F.col("__a").isNotNull() & F.col("__b").isNotNull())
-    hot = has_hot_group(rows, [by])
+    hot = has_hot_group(rows, [by]) if hot is None else hot
     rows = average_rank(rows, [by], "__a", "__ra", hot=hot)
     rows = average_rank(rows, [by], "__b", "__rb", hot=hot)
     rows = top_fraction_rows(rows, [by], "__a", top_fraction, "__ta", tie, hot=hot)
@@ -206,9 +209,10 @@ def compare_scores(
     """Agreement and shift summary per group, and the merged rows behind it."""
     tie = list(tie or keys)
     joined = keep(join_scores(left, right, keys, left_score, right_score, left_label, right_label))
-    merged = keep(comparison_columns(joined, by, left_label, right_label, top_fraction, tie))
+    hot = has_hot_group(joined, [by])
+    merged = keep(comparison_columns(joined, by, left_label, right_label, top_fraction, tie, hot))
     agreement = alignment(
-        merged, by, f"{left_label}_score", f"{right_label}_score", top_fraction, tie
+        merged, by, f"{left_label}_score", f"{right_label}_score", top_fraction, tie, hot=hot
     )
     shifts = comparison_shift(merged, by, left_label, right_label, top_fraction).drop("n_rows")
     summary = agreement.select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import available, tag_scenario, text, with_numeric
 from tessera.operators.quantiles import quantile_table
 from tessera.operators.report import grouped
-from tessera.runtime import keep, require
+from tessera.runtime import counted_hot, keep, require
 
 
 def feature_stats(rows: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -26,8 +26,9 @@ def feature_stats(rows: DataFrame, keys: Sequence[str], features: Sequence[str])
         aggs.append(F.struct(
             F.count(f).alias("n"), F.avg(f).alias("mean"), F.stddev_pop(f).alias("std")
         ).alias(f))
-    moments = rows.groupBy(*keys).agg(*aggs)
-    medians = quantile_table(rows, keys, features, [0.5])
+    moments = keep(rows.groupBy(*keys).agg(*aggs))
+    hot = counted_hot(moments, "rows", len(features))
+    medians = quantile_table(rows, keys, features, [0.5], hot)
     medians = medians.select(*keys, *[F.col(f)[0].alias(f"{f}__median") for f in features])
     entries = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).alias("s"), F.col(f"{f}__median").alias("median"))

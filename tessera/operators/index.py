@@ -58,7 +58,7 @@ def build_index(df: DataFrame, config: Mapping) -> IndexResult:
     out_by = scaling.get("group_col")
     require_columns(df, [winsor_by, z_by, out_by])
     # A table that fits a task has no group that does not.
-    hot = None if df.count() > hot_group_rows(df.sparkSession) else False
+    hot = None if df.count() * len(names) > hot_group_rows(df.sparkSession) else False
 
     work = df.withColumns({f"{n}__aligned": numeric(n) for n in names})
     aligned = [f"{n}__aligned" for n in names]

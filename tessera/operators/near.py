@@ -83,9 +83,10 @@ def _search(query: DataFrame, boxes: DataFrame, by: list[str], k: int, d2: Colum
     boxes, left = framed(boxes), framed(left)
     factor = first = _first_scale(boxes, by, k)
     found: list[DataFrame] = []
+    waiting = left.count()
     while True:
         size = F.col("__s") * F.lit(factor)
-        if left.count() * 9 <= broadcast_rows(query.sparkSession):
+        if waiting * 9 <= broadcast_rows(query.sparkSession):
             near = _nearest_of_few(left, boxes, by, k, size, d2)
         else:
             salts = 1 if factor == first else -(-_fullest(boxes, by, factor) // _CROWDED)
@@ -100,7 +101,8 @@ def _search(query: DataFrame, boxes: DataFrame, by: list[str], k: int, d2: Colum
         found.append(done)
         rest = left.join(done.where("seq = 1").select(*by, "qx", "qy"), [*by, "qx", "qy"], "left_anti")
         left = keep(rest.where(size < F.col("__extent")))
-        if left.isEmpty():
+        waiting = left.count()
+        if not waiting:
             break
         factor *= _GROWTH
     out = found[0]
@@ -251,6 +253,10 @@ def nearest_distance(
     return _nearest(cells, points, by, x, y, out, _point_d2())
 
 
+# Buckets per radius for up to so many locations in a bucket one radius wide.
+_PARTS = ((1, 32), (4, 50_000), (12, float("inf")))
+
+
 def _sub_buckets(parts: int) -> list[tuple[int, int]]:
     reach = parts + 1
     return [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
@@ -265,23 +271,29 @@ def count_within(
     id: str = "cell_id",
     x: str = "x",
     y: str = "y",
-    parts: int = 4,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add the number of points closer than ``radius``.
 
     Buckets have side ``radius / parts``. A bucket wholly inside the circle adds
     its count without its points being compared; only the ring of buckets the
-    circle cuts is compared, against distinct point locations.
+    circle cuts is compared, against distinct point locations. The more
+    locations the fullest bucket holds, the finer the buckets are made.
     """
     by = list(by)
     require_columns(cells, [*by, id, x, y], "cells")
     require_columns(points, [*by, x, y], "points")
-    s = float(radius) / parts
     r2 = float(radius) ** 2
     places = placed(points, x, y).groupBy(
         *by, F.col(x).cast("double").alias("__px"), F.col(y).cast("double").alias("__py")
     ).agg(F.count(F.lit(1)).alias("__n"))
-    places = keep(places.withColumns({"__bx": F.floor(F.col("__px") / s), "__by": F.floor(F.col("__py") / s)}))
+    places = keep(places)
+    if parts is None:
+        wide = [F.floor(F.col(c) / float(radius)).alias(c) for c in ("__px", "__py")]
+        fullest = places.groupBy(*by, *wide).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        parts = next(p for p, limit in _PARTS if (fullest or 0) <= limit)
+    s = float(radius) / parts
+    places = places.withColumns({"__bx": F.floor(F.col("__px") / s), "__by": F.floor(F.col("__py") / s)})
     totals = places.groupBy(*by, "__bx", "__by").agg(F.sum("__n").alias("__total"))
     query = keep(_locations(cells, by, x, y))
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _sub_buckets(parts)])

@@ -26,7 +26,7 @@ def quantile_table(
     interpolated quantiles, or NULL where the group has no value."""
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
     if hot is None:
-        hot = has_hot_group(df, by)
+        hot = has_hot_group(df, by, len(columns))
     if hot:
         # One key column, in which a NULL group equals itself in the joins.
         keyed = df.withColumn("__key", group_key(by)).select("__key", *columns)

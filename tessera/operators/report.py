@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import available, filter_eq, numeric, tag_scenario, weight, with_numeric
 from tessera.operators.order import number_rows, running_sums, value_table
 from tessera.operators.quantiles import quantile_table
-from tessera.runtime import attach, has_hot_group, keep, require, require_columns
+from tessera.runtime import attach, counted_hot, has_hot_group, keep, require, require_columns
 
 # The feature columns reported when none are named.
 DEFAULT_FEATURES = (
@@ -38,14 +38,16 @@ def score_summary(
 ) -> DataFrame:
     rows = with_numeric(grouped(df, by, [score], filter), score).select(by, score)
     value = F.col(score)
-    moments = rows.groupBy(by).agg(
+    moments = keep(rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("__rows"),
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-    )
-    medians = quantile_table(rows, [by], [score], [0.5]).select(by, F.col(score)[0].alias("median"))
+    ))
+    hot = counted_hot(moments, "__rows")
+    medians = quantile_table(rows, [by], [score], [0.5], hot).select(by, F.col(score)[0].alias("median"))
     out = moments.join(medians, by).select(by, "count", "mean", "median", "std", "min", "max")
     return tag_scenario(out, scenario)
 
@@ -224,14 +226,14 @@ def inequality(
 ) -> DataFrame:
     rows = _scored(df, by, score, population)
     steps = keep(_lorenz(rows, [by], "__s", "__p"))
-    levels = quantile_table(rows, [by], ["__s"], [0.1, 0.5, 0.9])
-    totals = steps.groupBy(by).agg(
+    totals = keep(steps.groupBy(by).agg(
         F.sum("n").alias("n_cells"),
         F.sum("__w").alias("population_total"),
         (F.sum("__vn") / F.sum("n")).alias("score_mean"),
         _gini(F.col("__cvn"), F.col("__vn"), F.col("n")).alias("score_gini_unweighted"),
         _gini(F.col("__cvw"), F.col("__vw"), F.col("__w")).alias("score_gini_population_weighted"),
-    )
+    ))
+    levels = quantile_table(rows, [by], ["__s"], [0.1, 0.5, 0.9], counted_hot(totals, "n_cells"))
     p10, p50, p90 = (F.col("__s")[i] for i in range(3))
     levels = levels.select(
         by,

@@ -183,7 +183,7 @@ def _(spark, sf):
 
 
 @query("standardize_channels", """
-    SELECT vec_id, (CAST(embedding[1] AS DOUBLE) - m0) / s0 AS first, (CAST(embedding[64] AS DOUBLE) - m1) / s1 AS last FROM embeddings,
+    SELECT vec_id, CAST((CAST(embedding[1] AS DOUBLE) - m0) / s0 AS REAL) AS first, CAST((CAST(embedding[64] AS DOUBLE) - m1) / s1 AS REAL) AS last FROM embeddings,
     (SELECT avg(CAST(v AS DOUBLE)) AS m0, stddev_pop(CAST(v AS DOUBLE)) AS s0 FROM (SELECT unnest(embedding[1:32]) AS v FROM embeddings WHERE vec_id % 4 > 0)),
     (SELECT avg(CAST(v AS DOUBLE)) AS m1, stddev_pop(CAST(v AS DOUBLE)) AS s1 FROM (SELECT unnest(embedding[33:64]) AS v FROM embeddings WHERE vec_id % 4 > 0))""",
        ["first:4", "last:4"])

@@ -57,7 +57,7 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     balance = F.col("c_acctbal")
     return (
         table(spark, folder, "customer")
-        .join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(spend.withColumnRenamed("o_custkey", "__s"), key == F.col("__s"), "left")
         .join(lines.withColumnRenamed("o_custkey", "__l"), key == F.col("__l"), "left")
         .select(

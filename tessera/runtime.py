@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,23 +40,31 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_CONF, str(BROADCAST_ROWS)))
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's checkpoints; only a local session, which has
+    one machine, may fall back to a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    context.setCheckpointDir(folder)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def shared_path(spark: SparkSession, suffix: str = "") -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}{suffix}"
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once on shared storage, so later passes neither
-    recompute it nor depend on the executors that made it."""
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder and read it back. Later
+    passes neither recompute it nor depend on the executors that made it, and
+    read only the columns they use."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup(small: DataFrame) -> DataFrame:
@@ -75,11 +84,17 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "left"
     return df.join(lookup(stats), list(by), how)
 
 
-def has_hot_group(df: DataFrame, by: Sequence[str]) -> bool:
-    """True if a group holds more rows than one window task should sort."""
+def has_hot_group(df: DataFrame, by: Sequence[str], columns: int = 1) -> bool:
+    """True if a group holds more rows, times the columns held of each, than one
+    task should sort or keep in memory."""
     if by:
         counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     else:
         counts = df.agg(F.count(F.lit(1)).alias("n"))
-    top = counts.agg(F.max("n").alias("n")).first()["n"]
-    return (top or 0) > hot_group_rows(df.sparkSession)
+    return counted_hot(counts, "n", columns)
+
+
+def counted_hot(counts: DataFrame, n: str, columns: int = 1) -> bool:
+    """The same from a table that already has each group's row count."""
+    top = counts.agg(F.max(n).alias("n")).first()["n"]
+    return (top or 0) * columns > hot_group_rows(counts.sparkSession)

@@ -34,12 +34,36 @@ def brute(queries, targets_, k, skip_self):
 
 
 @pytest.mark.parametrize("k", [1, 4])
-def test_knn_edges_equal_brute_force(spark, k):
+@pytest.mark.parametrize("way", ["few", "many", "salted"])
+def test_knn_edges_equal_brute_force(spark, monkeypatch, k, way):
     points = clustered(3, 80, 30)
+    if way != "few":  # too many queries to broadcast
+        spark.conf.set("tessera.broadcastRows", "0")
+    if way == "salted":
+        monkeypatch.setattr(near, "_CROWDED", 5)
     got = {(r["src"], r["dst"]) for r in near.knn_edges(table(spark, points), ["city"], k, "cell_id").collect()}
+    spark.conf.unset("tessera.broadcastRows")
     assert got == brute(points, points, k, True)
 
 
+def test_nearest_line_in_many_buckets(spark):
+    rng = random.Random(9)
+    cells = [(i, "A", rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(60)]
+    lines = [("A", *(rng.uniform(0, 1000) for _ in range(4))) for _ in range(25)]
+    df = spark.createDataFrame(lines, "city string, x1 double, y1 double, x2 double, y2 double")
+
+    def far(x, y, line):
+        _, a, b, c, d = line
+        t = max(0.0, min(1.0, ((x - a) * (c - a) + (y - b) * (d - b)) / ((c - a) ** 2 + (d - b) ** 2)))
+        return math.hypot(a + t * (c - a) - x, b + t * (d - b) - y)
+
+    for limit in ("200000", "0"):
+        spark.conf.set("tessera.broadcastRows", limit)
+        got = {r["cell_id"]: r["d"] for r in near.nearest_distance(table(spark, cells), df, "d").collect()}
+        spark.conf.unset("tessera.broadcastRows")
+        assert all(math.isclose(got[i], min(far(x, y, line) for line in lines), abs_tol=1e-9) for i, _, x, y in cells)
+
+
 def test_knn_samples_equal_brute_force(spark):
     cells, samples = clustered(5, 60, 20), clustered(6, 70, 40)
     got = near.knn(
@@ -50,9 +74,9 @@ def test_knn_samples_equal_brute_force(spark):
 
 def test_count_within_equals_brute_force(spark):
     cells, points = clustered(7, 60, 10), clustered(8, 90, 50)
-    for radius in (1000.0, 25000.0):
+    for radius, parts in ((1000.0, None), (25000.0, None), (25000.0, 1), (25000.0, 12)):
         got = {r["cell_id"]: r["n"] for r in near.count_within(
-            table(spark, cells), table(spark, points).drop("cell_id"), radius, "n").collect()}
+            table(spark, cells), table(spark, points).drop("cell_id"), radius, "n", parts=parts).collect()}
         want = {i: sum(d == c and (a - x) ** 2 + (b - y) ** 2 < radius ** 2 for _, d, a, b in points)
                 for i, c, x, y in cells}
         assert got == want
