@@ -54,7 +54,7 @@ def containing_units(points: DataFrame, edges: DataFrame, group: str, unit: str)
     boxed = (px >= F.col("__x0")) & (px <= F.col("__x1")) & (py >= F.col("__y0")) & (py <= F.col("__y1"))
     spans = (F.col("y1") > py) != (F.col("y2") > py)
     at = F.col("x1") + (py - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    crossings = probes.join(banded, [group, "__band"]).where(boxed & spans & (px < at))
+    crossings = probes.join(lookup(banded), [group, "__band"]).where(boxed & spans & (px < at))
     odd = F.count(F.lit(1)) % 2 == 1
     return crossings.groupBy(group, "qx", "qy", unit).agg(odd.alias("__odd")).where("__odd").drop("__odd")
 

@@ -12,7 +12,7 @@ from tessera.functions.geo import normal_sf
 from tessera.operators.near import knn_edges
 from tessera.operators.order import number_rows
 from tessera.operators.quantiles import quantile_table
-from tessera.runtime import attach, keep, require, require_columns
+from tessera.runtime import attach, keep, require, require_columns, sized
 
 # Cluster names by Moran quadrant, and the significance level.
 QUADRANTS = {1: "high_high", 2: "low_high", 3: "low_low", 4: "high_low"}
@@ -129,15 +129,15 @@ def _permuted(
     draws at least as extreme as the observed lag."""
     dense = number_rows(rows.select(*keys, id, F.col("__z").alias("__zd")), keys, [F.col(id)], "__i")
     dense = keep(dense.select(*keys, F.col("__i").cast("bigint"), "__zd", F.col(id).alias("__d")))
-    draws = local.select(*keys, id, "__n", "__k", "__z", "__lag").withColumn(
+    own = dense.select(*keys, F.col("__d").alias(id), F.col("__i").alias("__own"))
+    draws = local.select(*keys, id, "__n", "__k", "__z", "__lag").join(own, [*keys, id]).withColumn(
         "__r", F.explode(F.sequence(F.lit(1), F.lit(int(permutations))))
     ).withColumn("__j", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int"))))
     pick = F.pmod(F.xxhash64(F.col(id), F.col("__r"), F.col("__j"), F.lit(seed)), F.col("__n") - 1) + 1
-    own = dense.select(*keys, F.col("__d").alias(id), F.col("__i").alias("__own"))
     # Skipping over the row's own place keeps it out of its random neighbours.
-    draws = draws.join(own, [*keys, id]).withColumn("__i", pick)
+    draws = draws.withColumn("__i", pick)
     draws = draws.withColumn("__i", F.when(F.col("__i") >= F.col("__own"), F.col("__i") + 1).otherwise(F.col("__i")))
-    lags = draws.join(dense.drop("__d"), [*keys, "__i"]).groupBy(*keys, id, "__r").agg(
+    lags = draws.join(sized(dense.drop("__d")), [*keys, "__i"]).groupBy(*keys, id, "__r").agg(
         (F.first("__z") * F.avg("__zd")).alias("__sim"), (F.first("__z") * F.first("__lag")).alias("__obs")
     )
     larger = F.count_if(F.col("__sim") >= F.col("__obs"))

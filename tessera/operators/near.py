@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import numeric
 from tessera.functions.geo import segment_distance2
 from tessera.operators.quantiles import quantile_table
-from tessera.runtime import attach, broadcast_rows, keep, lookup, require_columns
+from tessera.runtime import attach, broadcast_rows, keep, lookup, require_columns, sized
 
 _GROWTH = 3.0
 _DENSEST = 64  # locations per wanted neighbour in the fullest first bucket
@@ -294,7 +294,8 @@ def count_within(
         parts = next(p for p, limit in _PARTS if (fullest or 0) <= limit)
     s = float(radius) / parts
     places = places.withColumns({"__bx": F.floor(F.col("__px") / s), "__by": F.floor(F.col("__py") / s)})
-    totals = places.groupBy(*by, "__bx", "__by").agg(F.sum("__n").alias("__total"))
+    totals = lookup(places.groupBy(*by, "__bx", "__by").agg(F.sum("__n").alias("__total")))
+    places = sized(places)
     query = keep(_locations(cells, by, x, y))
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _sub_buckets(parts)])
     probes = (

@@ -70,7 +70,7 @@ def cell_pixels(
             "__bx", F.explode(F.sequence(F.floor(F.col(x0) / s), F.floor(F.col(x1) / s)))
         ).withColumn("__by", F.explode(F.sequence(F.floor(F.col(y0) / s), F.floor(F.col(y1) / s))))
 
-    left = spread(cells.select(*by, id, "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1")
+    left = lookup(spread(cells.select(*by, id, "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1"))
     right = spread(pixels.select(*by, "px0", "py0", "px1", "py1", "value"), "px0", "py0", "px1", "py1")
     overlap = (
         (F.col("px0") < F.col("x1")) & (F.col("px1") > F.col("x0"))
@@ -79,7 +79,7 @@ def cell_pixels(
     owner = (F.floor(F.greatest("x0", "px0") / s) == F.col("__bx")) & (
         F.floor(F.greatest("y0", "py0") / s) == F.col("__by")
     )
-    return left.join(right, [*by, "__bx", "__by"]).where(overlap & owner).drop("__bx", "__by")
+    return right.join(left, [*by, "__bx", "__by"]).where(overlap & owner).drop("__bx", "__by")
 
 
 def _crosses(xa: Column, ya: Column, xb: Column, yb: Column, box: Sequence[Column]) -> Column:
@@ -109,7 +109,7 @@ def _clipped(pairs: DataFrame, cells: DataFrame, edges: DataFrame, by: str, id:
     corner = [F.greatest("x0", "px0"), F.greatest("y0", "py0"), F.least("x1", "px1"), F.least("y1", "py1")]
     boxed = marked.where("__cut").withColumns(dict(zip(names, corner)))
     boxes = keep(boxed.select(by, id, "ix", "iy", "origin_x", "origin_y", *names).distinct())
-    pieces = boundary_pieces(edges, size, by).withColumnsRenamed({c: f"__{c}" for c in ("x1", "y1", "x2", "y2")})
+    pieces = lookup(boundary_pieces(edges, size, by)).withColumnsRenamed({c: f"__{c}" for c in ("x1", "y1", "x2", "y2")})
     crossed = boxes.join(pieces, [by, "ix", "iy"]).where(
         _crosses(
             *[F.col(c) for c in ("__x1", "__y1", "__x2", "__y2")],
@@ -272,7 +272,7 @@ def _point_slots(cells, points, by, id, patch_size, context) -> DataFrame:
     places = places.withColumns({"__bx": F.floor(F.col("x") / s), "__by": F.floor(F.col("y") / s)})
     col = F.floor((F.col("x") - F.col("__wx")) / res)
     row = patch_size - 1 - F.floor((F.col("y") - F.col("__wy")) / res)
-    pairs = _windows(cells, by, id, context, res).join(places, [*by, "__bx", "__by"]).select(
+    pairs = _windows(cells, by, id, context, res).join(places.hint("merge"), [*by, "__bx", "__by"]).select(
         *by, id, "channel", row.alias("r"), col.alias("c"), "__n"
     ).where(F.col("r").between(0, patch_size - 1) & F.col("c").between(0, patch_size - 1))
     return pairs.groupBy(*by, id, _slot(F.col("channel"), F.col("r"), F.col("c"), patch_size).alias("slot")).agg(
@@ -288,7 +288,7 @@ def _road_slots(cells, segments, by, id, patch_size, context) -> DataFrame:
     ).withColumn(
         "__by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / s), F.floor(F.greatest("y1", "y2") / s)))
     )
-    near = _windows(cells, by, id, context, res).join(spread, [*by, "__bx", "__by"])
+    near = _windows(cells, by, id, context, res).join(spread.hint("merge"), [*by, "__bx", "__by"])
     local = near.select(
         *by, id,
         (F.col("x1") - F.col("__wx")).alias("x1"), (F.col("y1") - F.col("__wy")).alias("y1"),
@@ -319,7 +319,7 @@ def _raster_slots(cells, pixels, by, id, patch_size, context, pixel_size) -> Dat
         *by, "channel", F.floor(F.col("x") / pixel_size).alias("__gx"), F.floor(F.col("y") / pixel_size).alias("__gy"),
         "value",
     )
-    hits = spots.join(grid, [*by, "__gx", "__gy"])
+    hits = spots.join(grid.hint("merge"), [*by, "__gx", "__gy"])
     value = F.col("value")
     population = F.struct(F.lit(0).alias("ch"), F.log1p(F.greatest(value, F.lit(0.0))).alias("v"))
     built = F.struct(F.lit(1).alias("ch"), (value == BUILT_CLASS).cast("double").alias("v"))

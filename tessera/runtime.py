@@ -67,13 +67,18 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup(small: DataFrame) -> DataFrame:
-    """Materialise a lookup table and mark it for broadcast if its counted
-    size allows; otherwise leave the choice of join to the optimizer."""
-    kept = keep(small)
-    if kept.count() <= broadcast_rows(small.sparkSession):
+def sized(kept: DataFrame) -> DataFrame:
+    """Mark a materialised join side by its counted rows: broadcast if they are
+    few, else a merge join. The merge hint also keeps Spark from broadcasting
+    the other side, whose estimate knows nothing of an explode before the join."""
+    if kept.count() <= broadcast_rows(kept.sparkSession):
         return F.broadcast(kept)
-    return kept
+    return kept.hint("merge")
+
+
+def lookup(small: DataFrame) -> DataFrame:
+    """Materialise a lookup table and mark how to join it."""
+    return sized(keep(small))
 
 
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
