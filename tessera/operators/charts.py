@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import available, numeric, text
+from tessera.operators.order import number_rows
 from tessera.operators.quantiles import quantile_table
 from tessera.operators.transform import grouped_rows, keys_of
 from tessera.runtime import attach, keep, require, require_columns
@@ -121,8 +122,7 @@ def legend_counts(
     )
     if order is None:
         names = counts.select("category").distinct()
-        placed = names.withColumn("position", F.row_number().over(Window.orderBy("category")))
-        return counts.join(placed, "category")
+        return counts.join(number_rows(names, [], [F.col("category")], "position"), "category")
     entries = F.explode(F.array(*[
         F.struct(F.lit(i + 1).alias("position"), F.lit(name).alias("category")) for i, name in enumerate(order)
     ]))

@@ -246,6 +246,10 @@ def inequality(
     return tag_scenario(out, scenario)
 
 
+# Fixed value: Spark's default bound on the rows its window group limit keeps.
+_GROUP_LIMIT = 1000
+
+
 def top_n(
     df: DataFrame,
     by: str,
@@ -255,15 +259,19 @@ def top_n(
     tie: Sequence[str] = ("cell_id",),
     scenario: str | None = None,
 ) -> DataFrame:
-    """Highest rows of each group. The row-number limit lets every task keep
-    only its own best ``n`` rows before the shuffle."""
+    """Highest rows of each group. Up to a thousand rows the row-number limit
+    lets every task keep only its own best ``n`` before the shuffle; beyond that
+    Spark has no such limit and a hot group is numbered over the cluster."""
     names = columns or (
         "cell_id", by, "country_iso", "lon", "lat", "population", score, *DEFAULT_FEATURES,
     )
     rows = grouped(df, by, [score, *tie])
     order = [F.col(score).desc_nulls_last(), *[F.col(c).asc() for c in tie]]
-    position = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    top = rows.withColumn("__r", position).where(F.col("__r") <= n)
+    if n <= _GROUP_LIMIT:
+        numbered = rows.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    else:
+        numbered = number_rows(rows, [by], order, "__r")
+    top = numbered.where(F.col("__r") <= n)
     return tag_scenario(top.select(*dict.fromkeys(available(df, names))), scenario)
 
 

@@ -54,11 +54,7 @@ def _(spark, sf):
     """Points written as GeoJSON features, one a line, and parsed again."""
     path = shared_path(spark, ".geojson")
     tables.write_table(spots(spark, sf).select("cell_id", "city", F.col("x").alias("lon"), F.col("y").alias("lat")), path)
-    feature = "properties map<string, string>, geometry struct<type: string, coordinates: string>"
-    rows = spark.read.schema(feature).json(path).select(
-        F.col("properties")["cell_id"].cast("bigint").alias("cell_id"), F.col("properties")["city"].alias("city"),
-        F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("coordinates"),
-    )
+    rows = geojson.read_feature_lines(spark, path, {"cell_id": "bigint", "city": "string"})
     return geojson.feature_points(rows).drop("geometry_type", "coordinates")
 
 

@@ -11,6 +11,7 @@ _FEATURES = (
     "type string, features array<struct<properties: map<string, string>,"
     " geometry: struct<type: string, coordinates: string>>>"
 )
+_FEATURE = "type string, properties map<string, string>, geometry struct<type: string, coordinates: string>"
 _POSITION = "array<double>"
 
 
@@ -24,6 +25,17 @@ def _features(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_feature_lines(spark: SparkSession, path: str, properties: dict[str, str]) -> DataFrame:
+    """Features written one a line, which is what the sink writes. Unlike one
+    large collection such a file is split over tasks. ``properties`` maps names
+    to types."""
+    rows = spark.read.schema(_FEATURE).json(path)
+    return rows.select(
+        *[F.col("properties")[name].cast(kind).alias(name) for name, kind in properties.items()],
+        F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("coordinates"),
+    )
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """One row per feature: ``feature``, one string column per property and the
     geometry as its type and coordinate text."""

@@ -67,9 +67,8 @@ def write_json(df: DataFrame, path: str, stamp: bool = True, mode: str = "overwr
     row = df.withColumn("generated_at_utc", F.date_format(
         F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"
     )) if stamp else df
-    row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode(
-        mode
-    ).text(path)
+    text = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")
+    row.select(text).write.mode(mode).text(path)
 
 
 def flatten(df: DataFrame) -> DataFrame:

@@ -187,3 +187,9 @@ def test_top_n_breaks_ties_by_id(spark):
     df = spark.createDataFrame([(i, "A", 1.0) for i in range(9)], "cell_id int, city string, score double")
     assert sorted(r["cell_id"] for r in report.top_n(df, "city", "score", 3).collect()) == [0, 1, 2]
     assert report.top_n(df, "city", "score", 3).columns == ["cell_id", "city", "score"]
+
+
+def test_large_top_n_numbers_the_whole_group(spark, hot):
+    df = spark.createDataFrame([(i, "A", float(i)) for i in range(1500)], "cell_id int, city string, score double")
+    got = sorted(r["cell_id"] for r in report.top_n(df, "city", "score", 1200).collect())
+    assert got == list(range(300, 1500))
