@@ -10,12 +10,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import drop_debug_columns, numeric, weighted_average, with_numeric
+from tessera.functions.columns import drop_debug_columns, numeric, weighted_average
 from tessera.operators.compare import finite_corr
 from tessera.operators.order import dense_rank_desc
 from tessera.operators.quantiles import quantile_table
 from tessera.operators.transform import minmax_0_100, winsorize, zscore
-from tessera.runtime import attach, hot_group_rows, keep, require, require_columns
+from tessera.runtime import hot_group_rows, keep, require, require_columns
 
 
 class IndexResult(NamedTuple):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import MISSING, composite_column, numeric, with_numeric
+from tessera.functions.columns import MISSING, composite_column, numeric
 from tessera.operators.transform import top_fraction_flag
 from tessera.runtime import require, require_columns
 

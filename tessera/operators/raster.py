@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import numeric
 from tessera.operators.areas import boundary_pieces, inside, split_on_grid
 from tessera.operators.quantiles import quantile_table
-from tessera.runtime import attach, keep, lookup, require, require_columns
+from tessera.runtime import keep, lookup, require, require_columns
 
 # Land-cover class codes.
 BUILT_CLASS = 50

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.functions import geo
 from tessera.operators import areas, features, moran, near, raster, targets
 from tessera.plans import roles
 from tessera.plans.registry import query
