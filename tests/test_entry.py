@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tessera.plans import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -12,7 +13,7 @@ def test_contract():
     assert set(sql) <= set(queries) and len(queries) > 100
     assert all(callable(q) for q in queries.values())
     # Queries without SQL: random permutations, fitted models, unordered preview.
-    assert set(queries) - set(sql) == {"moran_permutation", "kmeans_groups", "run_benchmark", "profile_preview"}
+    assert set(QUERIES) - set(sql) == {"moran_permutation", "kmeans_groups", "run_benchmark", "profile_preview"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the supplied tables")
