@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing
+from tessera.llm import decontaminate, mixing, rules, secrets
 from tessera.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -40,6 +41,51 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+_BLANKS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _count(characters: str, text: str = "t") -> str:
+    return f"(length({text}) - length(translate({text}, {characters}, '')))"
+
+
+@query(
+    "op2_quality_rules",
+    sql=rf"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    windows AS (
+        SELECT r, i, list_slice(w, i, i + 4) AS win FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5)),
+    again AS (SELECT r, win FROM windows GROUP BY r, win HAVING count(*) > 1),
+    repeated AS (
+        SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM windows JOIN again USING (r, win)) GROUP BY r),
+    base AS (
+        SELECT doc_id, t, w, lines, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(t, {_BLANKS}, '')) AS BIGINT) AS word_chars,
+            CAST({_count("'#*$%&|<>'")} AS BIGINT) AS n_symbols,
+            CAST(len(list_filter(lines, lambda x: translate(x, {_BLANKS}, '') <> '')) - len(list_distinct(list_filter(lines, lambda x: translate(x, {_BLANKS}, '') <> ''))) AS BIGINT) AS n_dup_lines,
+            CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+        FROM docs LEFT JOIN repeated USING (r)),
+    failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT (base_failed OR word_chars < 10 OR n_symbols > 0.03::DOUBLE * length(t)
+            OR {_count("'ABCDEFGHIJKLMNOPQRSTUVWXYZ'")} > 0.35::DOUBLE * length(t) OR {_count("'!?'")} > 0.05::DOUBLE * length(t)
+            OR {_count("'0123456789'")} > 0.3::DOUBLE * length(t) OR {_count(_BLANKS)} > 0.5::DOUBLE * length(t)
+            OR word_chars > 25 * ({_count(_BLANKS, "trim(t)")} + 1)
+            OR (len(lines) - len(list_distinct(lines)))::DOUBLE / greatest(len(lines), 1) > 0.5::DOUBLE
+            OR len(list_distinct(w))::DOUBLE / greatest(len(w), 1) < 0.1::DOUBLE) AS kept
+    FROM failed
+    """,
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    based = rules.with_base(table(spark, folder, "documents").select("doc_id", "text"))
+    judged = rules.cascade(based, passed=~F.col("base_failed"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op7_secret_scan")  # the chains are trained, which SQL does not express
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, folder, "documents").select("doc_id", "text")).drop("text", "found")
+
 @query(
     "op10_mixing",
     sql=r"""
