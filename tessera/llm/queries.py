@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, rules, secrets
+from tessera.llm import decontaminate, labelled, mixing, rules, secrets, toxicity
 from tessera.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -14,6 +14,14 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+@query("op1_toxicity")  # learned weights
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    out = labelled.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.learn_toxicity(docs, labels, learnable=~out)
+    return toxicity.score_toxicity(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 @query(
     "op5_decontamination",
     sql=rf"""

@@ -92,7 +92,7 @@ def _listed(spans: Column) -> Column:
 
 def training_samples(docs: DataFrame, text: str = "text", texts: int = SAMPLE_TEXTS, strings: int = SAMPLE_STRINGS) -> DataFrame:
     """Labelled samples (value, random): words of at most ``texts`` texts (those
-    of smallest hash), alone and joined as identifiers are; and ``strings``
+    of smallest hash), alone and joined as identifiers are, dates and numbers; and ``strings``
     random strings of each usual make."""
     require_columns(docs, [text], "docs")
     chosen = docs.select(F.col(text).alias("t")).where("t IS NOT NULL").orderBy(F.xxhash64("t"), "t").limit(texts)
@@ -101,7 +101,11 @@ def training_samples(docs: DataFrame, text: str = "text", texts: int = SAMPLE_TE
     a, b = F.col("x.a"), F.col("x.b")
     joined = F.array(a, F.concat_ws("_", a, b), F.concat_ws("-", a, b), F.concat_ws(".", a, b), F.concat_ws("/", a, b), F.concat(a, F.initcap(b)), F.upper(F.concat_ws("_", a, b)), F.concat(a, F.lit("1"), b))
     ordinary = pairs.where(b.isNotNull()).select(F.explode(joined).alias("value"), F.lit(False).alias("random"))
-    seeds = docs.sparkSession.range(strings).select(F.sha2(F.concat(F.lit("random"), F.col("id")), 256).alias("h"))
+    spark = docs.sparkSession
+    moment = F.timestamp_seconds(F.col("id") * 7_654_321 + 1_000_000_007)
+    dated = F.array(F.date_format(moment, "yyyy-MM-dd'T'HH-mm-ss.SSS"), F.date_format(moment, "yyyyMMdd'T'HHmmss'Z'"), F.concat(F.lit("v"), F.date_format(moment, "H.m.s-yyyy")), F.concat(F.lit("id-"), F.col("id") * 7_654_321))
+    ordinary = ordinary.unionByName(spark.range(strings).select(F.explode(dated).alias("value"), F.lit(False).alias("random")))
+    seeds = spark.range(strings).select(F.sha2(F.concat(F.lit("random"), F.col("id")), 256).alias("h"))
     coded = F.base64(F.unhex("h"))
     made = F.array(F.col("h"), coded, F.upper(F.translate(coded, "+/=", "AZ")), F.translate(coded, "+/=", "-_"))
     return ordinary.unionByName(seeds.select(F.explode(made).alias("value"), F.lit(True).alias("random")))
