@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import keep, require, require_columns
 
-BLANKS = " \t\n\u000b\f\r"
-SYMBOLS = "#*$%&|<>"
+# Character classes.
+BLANKS = r"[\x20\x09-\x0D]"
+SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 # Texts in the sample on which costs and rejections are measured.
 SAMPLE_ROWS = 1_000
@@ -38,13 +39,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def without(text: Column, characters: str) -> Column:
+    return F.regexp_replace(text, characters, "")
+
+
 def count_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.length(text) - F.length(without(text, characters))
 
 
 def word_array(text: Column) -> Column:
     """Runs of anything but the space and 0x09 to 0x0D."""
-    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
+    return F.array_remove(F.split(text, BLANKS + "+"), "")
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -75,11 +80,11 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 def base_features(text: Column) -> dict[str, Column]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text."""
     filled = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(filled, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(filled, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = let(word_array(filled), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     return {
         "__words": counted,
-        "word_chars": F.length(F.translate(filled, BLANKS, "")).cast("long"),
+        "word_chars": F.length(without(filled, BLANKS)).cast("long"),
         "n_symbols": count_of(filled, SYMBOLS).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     }
@@ -117,13 +122,13 @@ def _repeated_lines(text: Column) -> Column:
 
 # Bounds far from what running text has in any of the usual languages.
 RULES = (
-    Rule("few_words", lambda t: F.length(F.translate(t, BLANKS, "")) < 10),
+    Rule("few_words", lambda t: F.length(without(t, BLANKS)) < 10),
     Rule("symbols", lambda t: count_of(t, SYMBOLS) > 0.03 * F.length(t)),
-    Rule("shouting", lambda t: count_of(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") > 0.35 * F.length(t)),
-    Rule("marks", lambda t: count_of(t, "!?") > 0.05 * F.length(t)),
-    Rule("digits", lambda t: count_of(t, "0123456789") > 0.3 * F.length(t)),
+    Rule("shouting", lambda t: count_of(t, "[A-Z]") > 0.35 * F.length(t)),
+    Rule("marks", lambda t: count_of(t, "[!?]") > 0.05 * F.length(t)),
+    Rule("digits", lambda t: count_of(t, "[0-9]") > 0.3 * F.length(t)),
     Rule("blanks", lambda t: count_of(t, BLANKS) > 0.5 * F.length(t)),
-    Rule("word_length", lambda t: F.length(F.translate(t, BLANKS, "")) > 25 * (count_of(F.trim(t), BLANKS) + 1)),
+    Rule("word_length", lambda t: F.length(without(t, BLANKS)) > 25 * (count_of(F.trim(t), BLANKS) + 1)),
     Rule("repeated_lines", lambda t: _repeated_lines(t) > 0.5),
     Rule("few_distinct_words", lambda t: _distinct_share(t) < 0.1),
 )
