@@ -3,13 +3,15 @@
 Words are matched by one deterministic automaton: the Levenshtein automata of all
 lexicon terms, intersected with the trie of the terms by running both together. A
 term of up to 4 bytes must match exactly, one of 5 to 8 allows one insertion,
-deletion, substitution or swap, a longer one two. The automaton walks all words of a
-slice at once, and words leave at the first byte that fits no term.
+deletion, substitution or swap, a longer one two. A term that ends in ``*`` is a stem:
+it matches every word that begins with it. The automaton walks all words of a slice at
+once, and words leave at the first byte that fits no term.
 
 A hit is weighed by its context window: other hits close by add to it, quotation
 marks around it and verbs of reporting near it mark it as quoted. Sums over the hits
 of a text are the features of a logistic regression. The lexicon is learnt from
-labelled texts: words much commoner in toxic ones, besides a few seed terms.
+labelled texts: words much commoner in toxic ones, and stems of which toxic texts hold
+several words and others hardly ever do, besides a few seed terms.
 
 Defined cases: a null or empty text has no words and gets the score of a text
 without hits, as does one without labelled rows to learn from (0.5 at most);
@@ -20,6 +22,7 @@ named like the results are replaced. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -41,31 +44,35 @@ QUOTES = tuple(c.encode() for c in "\"“”„«»‘’")
 
 MAX_TERMS = 200
 CONTEXT = 10
-SAMPLE_ROWS = 2_000
-FEATURES = ("exact", "misspelt", "quoted", "density", "terms")
+SAMPLE_ROWS = 3_000
+FEATURES = ("exact", "misspelt", "stems", "quoted", "density", "terms", "stem_rate")
 
 _ALPHABET = item_words()
 
 
 def errors_allowed(term: bytes) -> int:
-    return 0 if len(term) <= 4 else 1 if len(term) <= 8 else 2
+    return 0 if len(term) <= 4 or term.endswith(b"*") else 1 if len(term) <= 8 else 2
 
 
 @dataclass
 class Matcher:
     """``step[state, class]`` is the next state, 0 none; ``term`` and ``errors``
-    tell what a word that ends in a state matches, -1 nothing."""
+    tell what a word that ends in a state matches, -1 nothing; ``open`` is the
+    stem that any word matches once it has come to a state."""
 
     terms: Sequence[bytes]
     step: np.ndarray = field(init=False)
     classes: np.ndarray = field(init=False)
     term: np.ndarray = field(init=False)
     errors: np.ndarray = field(init=False)
+    open: np.ndarray = field(init=False)
     reach: int = field(init=False)
 
     def __post_init__(self) -> None:
         require(len(self.terms) <= MAX_TERMS, f"at most {MAX_TERMS} terms")
-        letters = sorted({c for t in self.terms for c in t})
+        stems = [t.endswith(b"*") for t in self.terms]
+        spelt = [t.rstrip(b"*") for t in self.terms]
+        letters = sorted({c for t in spelt for c in t})
         self.classes = np.zeros(256, np.uint8)
         for i, c in enumerate(letters):
             self.classes[c] = i + 1
@@ -73,7 +80,8 @@ class Matcher:
         # The trie holds, per node, its children, its term and the most errors below it.
         children: list[dict[int, int]] = [{}]
         ends, most = [-1], [0]
-        for k, t in enumerate(self.terms):
+        begun: dict[int, int] = {}
+        for k, t in enumerate(spelt):
             node = 0
             for c in t:
                 node = children[node].setdefault(c, len(children))
@@ -81,16 +89,21 @@ class Matcher:
                     children.append({})
                     ends.append(-1)
                     most.append(0)
-                most[node] = max(most[node], errors_allowed(t))
-            ends[node] = k
+                most[node] = max(most[node], errors_allowed(self.terms[k]))
+            if stems[k]:
+                begun[node] = k
+            else:
+                ends[node] = k
         most[0] = max(most)
+        # One place more per stem, which no byte leaves.
+        read = {n: -1 - k for n, k in begun.items()}
 
         def closed(places: dict[tuple[int, int], int]) -> frozenset:
             """Add the deletions; drop places with more errors than their twins."""
             queue = list(places.items())
             while queue:
                 (node, swap), e = queue.pop()
-                if swap or places.get((node, swap), e) < e:
+                if node < 0 or swap or places.get((node, swap), e) < e:
                     continue
                 for child in children[node].values():
                     if e < most[child] and places.get((child, 0), 99) > e + 1:
@@ -106,6 +119,9 @@ class Matcher:
                     out[node, swap] = e
 
             for node, swap, e in state:
+                if node < 0:
+                    out[node, 0] = 0
+                    continue
                 if swap:  # the second byte of a swap must be the one skipped
                     if (swap, c) in swapped[node]:
                         put(swapped[node][swap, c], 0, e)
@@ -113,6 +129,8 @@ class Matcher:
                 put(node, 0, e + 1)  # a byte too many
                 for b, child in children[node].items():
                     put(child, 0, e if b == c else e + 1)
+                    if b == c and e == 0 and child in read:
+                        out[read[child], 0] = 0
                 if c is not None:
                     for b, child in children[node].items():
                         if b != c and c in children[child]:
@@ -134,19 +152,28 @@ class Matcher:
                 row.append(number[new])
             rows.append(row)
         self.step = np.array(rows, np.int32).reshape(len(states), len(letters) + 1)
-        best = [min(((e, ends[n]) for n, s, e in state if not s and ends[n] >= 0 and e <= errors_allowed(self.terms[ends[n]])), default=(-1, -1)) for state in states]
+        best = [min(((e, ends[n]) for n, s, e in state if n >= 0 and not s and ends[n] >= 0 and e <= errors_allowed(self.terms[ends[n]])), default=(-1, -1)) for state in states]
         self.errors = np.array([b[0] for b in best], np.int8)
+        self.open = np.array([min((-1 - n for n, _, _ in state if n < 0), default=-1) for state in states], np.int16)
         self.term = np.array([b[1] for b in best], np.int16)
+        ended = self.term < 0
+        self.errors[ended & (self.open >= 0)] = 0
+        self.term[ended] = self.open[ended]
 
     def run(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which words match, their term and the number of errors."""
         sizes = words.ends - words.starts
-        live = np.flatnonzero(sizes <= self.reach)
+        live = np.arange(len(sizes))
         state = np.ones(len(live), np.int32)
         done_words, done_states = [], []
         depth = 0
         while len(live):
             over = sizes[live] == depth
+            if depth > self.reach:  # only a stem matches so long a word
+                live, state = live[self.open[state] >= 0], state[self.open[state] >= 0]
+                done_words.append(live)
+                done_states.append(state)
+                break
             if over.any():
                 done_words.append(live[over])
                 done_states.append(state[over])
@@ -184,12 +211,16 @@ def _features(words: Words, matcher: Matcher, reporting: np.ndarray) -> np.ndarr
         quoted = marked or told
         weight = (1.0 + 0.5 * min(near[k], 4)) / (1.0 + errors[k])
         row = out[text[k]]
-        row[2 if quoted else 1 if errors[k] else 0] += weight
-        row[3] = max(row[3], 0.0 if quoted else min(near[k], 4) / 4.0)
+        stem = matcher.terms[term[k]].endswith(b"*")
+        if stem:
+            row[2] += 1.0
+        else:
+            row[3 if quoted else 1 if errors[k] else 0] += weight
+            row[4] = max(row[4], 0.0 if quoted else min(near[k], 4) / 4.0)
     pairs = np.unique(text * (len(matcher.terms) + 1) + term)
-    np.add.at(out[:, 4], pairs // (len(matcher.terms) + 1), 1.0)
-    out[:, [0, 1, 2, 4]] = np.log1p(out[:, [0, 1, 2, 4]])
-    return out
+    np.add.at(out[:, 5], pairs // (len(matcher.terms) + 1), 1.0)
+    out[:, 6] = 100.0 * out[:, 2] / (words.counts + 50.0)
+    return np.log1p(out)
 
 
 @dataclass(frozen=True)
@@ -227,9 +258,11 @@ def context_features(docs: DataFrame, terms: Sequence[str], text: str = "text",
     return carried.mapInArrow(scan, schema)
 
 
-def learn_lexicon(sample: DataFrame, min_share: float = 0.05, ratio: float = 20.0, most: int = MAX_TERMS) -> list[str]:
-    """Words in at least ``min_share`` of the toxic texts and ``ratio`` times as
-    common there as in the others; at most ``most``, the commonest."""
+def learn_lexicon(sample: DataFrame, most: int = MAX_TERMS) -> list[str]:
+    """At most ``most`` terms: words in a twentieth of the toxic texts and 20
+    times as common there as in the others; and stems, with ``*``, of which a
+    hundredth of the toxic texts hold two different words or more, 8 times as
+    many as of the others. Of stems within each other the best one stays."""
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("label", T.IntegerType())])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,10 +271,13 @@ def learn_lexicon(sample: DataFrame, min_share: float = 0.05, ratio: float = 20.
                 found = words_of(part.column(0), _ALPHABET)
                 words, labels = [], []
                 for d, label in enumerate(part.column(1).to_pylist()):
-                    own = {found.data[found.starts[i] : found.ends[i]].tobytes() for i in range(found.first[d], found.first[d + 1])}
-                    own = [w.decode("utf-8", "replace") for w in own if 4 <= len(w) <= 24]
-                    words += own
-                    labels += [label] * len(own)
+                    spelt = {found.data[found.starts[i] : found.ends[i]].tobytes() for i in range(found.first[d], found.first[d + 1])}
+                    plain = [w.decode("utf-8", "replace") for w in spelt if 4 <= len(w) <= 24]
+                    plain = [w for w in plain if w.isalpha()]
+                    begun = Counter(w[:k] for w in plain for k in range(3, min(len(w), 9)))
+                    plain += [f"{w}*" for w, n in begun.items() if n >= 2]
+                    words += plain
+                    labels += [label] * len(plain)
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], names=schema.names)
 
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -249,9 +285,20 @@ def learn_lexicon(sample: DataFrame, min_share: float = 0.05, ratio: float = 20.
     if not bad or not good:
         return []
     seen = sample.select("text", "label").mapInArrow(cut, schema).groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    share = F.col("a") / bad
-    chosen = seen.where((F.col("a") >= 5) & (share >= min_share) & (share >= ratio * (F.col("b") + 0.5) / (good + 1.0)))
-    return [r["word"] for r in chosen.orderBy(F.desc("a"), "word").limit(most).collect()]
+    stem = F.col("word").endswith("*")
+    share, other = F.col("a") / bad, (F.col("b") + 0.5) / (good + 1.0)
+    chosen = seen.where(
+        (F.col("a") >= 5) & (share >= F.when(stem, 0.01).otherwise(0.05)) & (share >= F.when(stem, 8.0).otherwise(20.0) * other)
+    )
+    worth = F.col("a") * F.log(share / other)
+    best = chosen.withColumn("worth", worth).orderBy(F.desc("worth"), F.length("word"), "word").limit(8 * most).collect()
+    terms: list[str] = [r["word"] for r in best if not r["word"].endswith("*")][:most]
+    roots: list[str] = []
+    for root in (r["word"][:-1] for r in best if r["word"].endswith("*")):
+        # Words found already, and stems of or in a chosen stem, add nothing.
+        if not any(x.startswith(root) or root.startswith(x) for x in roots) and not any(t.startswith(root) for t in terms):
+            roots.append(root)
+    return [*terms, *[f"{r}*" for r in roots]][:most]
 
 
 def learn_toxicity(
@@ -259,15 +306,17 @@ def learn_toxicity(
     learnable: Column | None = None, seeds: Sequence[str] = SEEDS,
 ) -> ToxicityModel:
     """Lexicon and weights from at most ``rows`` different labelled texts of each
-    kind. Without texts of both kinds the seeds alone count, by fixed weights."""
+    kind, each weighed so that the kinds count as they do among the labels.
+    Without texts of both kinds the seeds alone count, by fixed weights."""
     from pyspark.ml.classification import LogisticRegression
 
     sample = labelled_sample(docs, labels, label, rows, doc_id, text, learnable)
     terms = tuple(dict.fromkeys([*seeds, *learn_lexicon(sample, most=MAX_TERMS - len(seeds))]))
     if sample.select("label").distinct().count() < 2:
-        return ToxicityModel(terms, (2.0, 1.0, 0.2, 1.0, 1.0), -2.5)
-    rows_of = context_features(sample, terms).select(as_vector([F.col("features")[i] for i in range(len(FEATURES))]).alias("x"), F.col("label").cast("double").alias("label"))
-    fitted = LogisticRegression(featuresCol="x", labelCol="label", regParam=0.001, maxIter=100, standardization=False).fit(rows_of)
+        return ToxicityModel(terms, (2.0, 1.0, 0.5, 0.2, 1.0, 1.0, 0.0), -2.5)
+    vector = as_vector([F.col("features")[i] for i in range(len(FEATURES))])
+    found = context_features(sample, terms).select(vector.alias("x"), F.col("label").cast("double").alias("label"), F.col("weight").alias("w"))
+    fitted = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=1e-4, maxIter=200).fit(found)
     return ToxicityModel(terms, tuple(float(w) for w in fitted.coefficients), float(fitted.intercept))
 
 
