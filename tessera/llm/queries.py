@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, labelled, mixing, pairwise, rules, secrets, toxicity
+from tessera.llm import decontaminate, labelled, mixing, pairwise, rules, secrets, setjoin, toxicity
 from tessera.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -22,6 +22,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+@query("op3_jaccard_join")  # components need iteration
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return setjoin.jaccard_components(table(spark, folder, "documents"))
+
+
 @query("op4_quality_classifier")  # learned weights
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
