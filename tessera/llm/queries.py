@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, labelled, mixing, pairwise, rules, secrets, setjoin, toxicity
+from tessera.llm import decontaminate, labelled, mixing, pairwise, rules, secrets, setjoin, suffixes, toxicity
 from tessera.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -66,6 +66,16 @@ _BLANKS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def _marks(spans: str):
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+
+
+@query("op6_suffix_dedup")  # the brute force compares all runs of 50 words
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.repeated_passages(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_repeated", "n_later", _marks("repeated").alias("spans"), _marks("later").alias("later_spans"))
+
+
 def _count(characters: str, text: str = "t") -> str:
     return f"(length({text}) - length(translate({text}, {characters}, '')))"
 
