@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, labelled, mixing, pairwise, rules, secrets, setjoin, suffixes, toxicity
+from tessera.llm import decontaminate, fixity, labelled, mixing, pairwise, rollups, rules, secrets, setjoin, suffixes, toxicity
 from tessera.llm.registry import ORACLE, QUERIES, query, table
+from tessera.runtime import keep, shared_path
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -24,7 +25,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_jaccard_join")  # components need iteration
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return setjoin.jaccard_components(table(spark, folder, "documents"))
+    return setjoin.jaccard_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op4_quality_classifier")  # learned weights
@@ -117,6 +118,81 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_spans(table(spark, folder, "documents").select("doc_id", "text")).drop("text", "found")
 
+_RECORD = (
+    "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')"
+    " || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen({body}) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || {body}"
+    " || chr(13) || chr(10) || chr(13) || chr(10)"
+).format(body="coalesce(html, '')")
+# What the replica's store keeps of a record.
+STORED_BYTES = 16_000
+
+
+def _parents(level: int) -> str:
+    return f"""l{level} AS (
+        SELECT node // 16 AS node, min(start) AS start, max(stop) AS stop,
+            sha256(concat_ws(':', min(start), max(stop), string_agg(sha256, ',' ORDER BY node))) AS sha256
+        FROM l{level - 1} GROUP BY node // 16)"""
+
+
+@query(
+    "op8_merkle_fixity",
+    sql=f"""
+    WITH records AS (SELECT page_id, {_RECORD} AS rec FROM pages),
+    hashed AS (SELECT page_id, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS sha256 FROM records),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, sha256) - 1 AS place FROM hashed),
+    placed AS (
+        SELECT *, place // 4096 AS archive, place % 4096 AS record,
+            CAST(coalesce(sum(length) OVER (PARTITION BY place // 4096 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+        FROM numbered),
+    l0 AS (SELECT place AS node, "offset" AS start, "offset" + length AS stop, sha256 FROM placed),
+    {_parents(1)}, {_parents(2)}, {_parents(3)}
+    SELECT page_id, archive, record, "offset", length, p.sha256, CASE WHEN length > {STORED_BYTES} THEN 'corrupt' ELSE 'intact' END AS status,
+        l3.sha256 AS archive_sha256
+    FROM placed p JOIN l3 ON l3.node = archive
+    """,
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """The replica is a store that keeps the first bytes of each record only."""
+    pages = table(spark, folder, "pages")
+    records = pages.select("page_id", fixity.record_bytes(F.col("url"), F.col("html")).alias("payload"))
+    placed = keep(fixity.manifest(records, "page_id", "payload"))
+    at = records.withColumn("stored", F.sha2("payload", 256)).withColumnRenamed("page_id", "id")
+    where = at["id"].eqNullSafe(placed["page_id"]) & (at["stored"] == placed["sha256"])
+    replica = at.join(placed, where).select("archive", "record", F.substring("payload", 1, STORED_BYTES).alias("payload"))
+    found = fixity.audit(placed, replica).join(fixity.archive_roots(placed), "archive")
+    return found.select("page_id", "archive", "record", "offset", "length", "sha256", "status", "archive_sha256")
+
+
+_PIECES = r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]"
+
+
+@query(
+    "op9_token_rollups",
+    sql=rf"""
+    WITH kept AS (SELECT source, lang, coalesce(replace(text, '|', ''), '') AS t FROM documents WHERE len({_WORDS}) >= 20),
+    gone AS (SELECT DISTINCT source, lang FROM documents),
+    counted AS (
+        SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n FROM kept
+        UNION ALL SELECT source, lang, 'pieces-1', len(regexp_extract_all(t, '{_PIECES}')) FROM kept),
+    keys AS (SELECT source, lang, tokenizer FROM gone, (VALUES ('words-1'), ('pieces-1')) v(tokenizer))
+    SELECT k.source, k.lang, k.tokenizer, CAST(count(n) AS BIGINT) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS tokens
+    FROM keys k LEFT JOIN counted c ON k.source IS NOT DISTINCT FROM c.source AND k.lang IS NOT DISTINCT FROM c.lang AND k.tokenizer = c.tokenizer
+    GROUP BY ALL
+    """,
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents come in; those under 20 words are deleted; table marks are
+    taken out of the others. The last batch is delivered twice."""
+    docs = table(spark, folder, "documents").select("source", "lang", "text")
+    words = mixing.word_count(F.col("text"))
+    tables = docs.where((words >= 20) & F.contains("text", F.lit("|")))
+    feed = [rollups.inserts(docs), rollups.deletes(docs.where(words < 20)), rollups.revisions(tables, tables.withColumn("text", F.replace("text", F.lit("|"), F.lit(""))))]
+    path = shared_path(spark)
+    for batch, changes in [*enumerate(feed), (2, feed[2])]:
+        rollups.commit(rollups.signed_totals(changes), path, batch)
+    return rollups.totals(spark, path)
+
+
 @query(
     "op10_mixing",
     sql=r"""

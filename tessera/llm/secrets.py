@@ -139,7 +139,8 @@ def _pair(value: Column, i: Column) -> Column:
 
 def log_ratio(value: Column, ratios: Sequence[float]) -> Column:
     """How much likelier the value is as a random string, in nats."""
-    table = F.lit([float(x) for x in ratios])
+    # One string literal, which the optimizer folds into one array.
+    table = F.split(F.lit(",".join(repr(float(x)) for x in ratios)), ",").cast("array<double>")
     steps = F.sequence(F.lit(1), F.length(value) - 1)
     total = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.get(table, _pair(value, i)))
     return F.when(F.length(value) < 2, 0.0).otherwise(total)

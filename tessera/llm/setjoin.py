@@ -167,11 +167,12 @@ def _bitmap(values: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, plan: Plan) -> DataFrame:
-    """(id, n, d1, d2, keys, bitmap) of each document; d1 and d2 tell sets apart."""
+    """(id, version, n, d1, d2, keys, bitmap) of each document; the version is a
+    hash of the text, d1 and d2 tell sets apart."""
     shared = docs.sparkSession.sparkContext.broadcast(plan)
     longs = T.ArrayType(T.LongType())
     schema = T.StructType(
-        [T.StructField("id", docs.schema[doc_id].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")], T.StructField("keys", longs), T.StructField("bitmap", longs)]
+        [T.StructField("id", docs.schema[doc_id].dataType), *[T.StructField(c, T.LongType()) for c in ("version", "n", "d1", "d2")], T.StructField("keys", longs), T.StructField("bitmap", longs)]
     )
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +192,14 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, plan: Pla
                 map_ends = np.concatenate([[0], np.cumsum([_LONGS if len(k) else 0 for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                        part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(pa.array(map_ends), pa.array(maps)),
                     ],
                     names=schema.names,
                 )
 
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(scan, schema)
+    version = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), version.alias("version")).mapInArrow(scan, schema)
 
 
 def _most_apart(a: Column, b: Column, percent: int) -> Column:
@@ -310,8 +312,8 @@ def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK,
 ) -> DataFrame:
-    """One row per document: its id, n_shingles and component_id, the smallest
-    id that links reach."""
+    """One row per document: its id, version (a hash of its text), n_shingles and
+    component_id, the smallest id that links reach."""
     require_columns(docs, [doc_id, text], "docs")
     require(0 < percent <= 100 and shingle >= 1, "percent must be in 1 to 100, shingle at least 1")
     plan = make_plan(docs, text, shingle, percent)
@@ -333,14 +335,21 @@ def jaccard_components(
     owned = keep(classes.join(named, "node", "left").select("n", "d1", "d2", "rep", F.coalesce("component", "node").alias("component")))
     least = keep(owned.groupBy("component").agg(F.min("rep").alias("component_id")))
     final = keep(owned.join(least, "component").select("n", "d1", "d2", "component_id"))
-    out = sets.select("id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = sets.select("id", "version", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
+    return out.select(F.col("id").alias(doc_id), "version", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents with all their columns, one of each component: the one of
-    smallest id. Of rows that share that id, those with its text all stay; texts
-    without words stay, too."""
-    found = jaccard_components(docs, doc_id, text, shingle, percent)
-    gone = found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    smallest id. A text without words is alone in its component and stays. Rows
+    equal in id and text are one document, of which one row stays; rows without
+    an id that are linked to nothing with an id all stay."""
+    found = keep(jaccard_components(docs, doc_id, text, shingle, percent))
+    version = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    gone = found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("__gone"), F.col("version").alias("__version")).distinct()
+    left = docs.join(gone, (F.col(doc_id) == F.col("__gone")) & (version == F.col("__version")), "left_anti")
+    # Several rows of one component may share the smallest id; that is rare, and looked for on the ids alone.
+    owners = found.where(F.col(doc_id).eqNullSafe(F.col("component_id")) & F.col(doc_id).isNotNull() & (F.col("n_shingles") > 0))
+    if owners.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return left
+    return left.withColumn("__v", version).dropDuplicates([doc_id, "__v"]).drop("__v")
