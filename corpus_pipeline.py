@@ -15,7 +15,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go. The model learns from the labels, held-out ones left aside."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn_toxicity(docs, labels, learnable=~labelled.held_out(F.col("doc_id"), 5, 0))
-    return toxicity.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.remove_toxic(docs, model)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ verified on the words themselves.
 
 Defined cases: a null or empty text has no words, hits or items, and is never
 removed; null or empty items have no windows; an item of fewer words than the
-window is one window; equal items each count; rows with equal ids are separate
+window is one window; equal items each count; an item without an id hits, but is not named; rows with equal ids are separate
 documents in the scan. Extra columns are carried by ``remove_contaminated`` and
 ignored by ``benchmark_hits``. Empty tables give empty results.
 """
@@ -93,7 +93,7 @@ def _covered(words: Words, hits: Iterable[tuple[int, int, list[str]]]) -> tuple[
     for i, n, items in hits:
         change[i] += 1
         change[i + n] -= 1
-        found[int(np.searchsorted(words.first, i, side="right")) - 1].update(items)
+        found[int(np.searchsorted(words.first, i, side="right")) - 1].update(x for x in items if x is not None)
     return np.cumsum(change[:-1]) > 0, found
 
 

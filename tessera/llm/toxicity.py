@@ -14,7 +14,7 @@ labelled texts: words much commoner in toxic ones, and stems of which toxic text
 several words and others hardly ever do, besides a few seed terms.
 
 Defined cases: a null or empty text has no words and gets the score of a text
-without hits, as does one without labelled rows to learn from (0.5 at most);
+without hits, which is below 0.5;
 repeated rows are scored each by themselves; ties between terms go to the smaller
 number of errors, then to the first term; extra columns are carried, and columns
 named like the results are replaced. An empty table gives no rows.
@@ -233,7 +233,8 @@ class ToxicityModel:
         total = F.lit(self.bias)
         for i, w in enumerate(self.weights):
             total = total + w * features[i]
-        return sigmoid(total)
+        # Whatever the labels' shares, a text without a hit is not called toxic.
+        return F.when(F.array_max(features) > 0, sigmoid(total)).otherwise(F.least(sigmoid(total), F.lit(0.499)))
 
 
 def context_features(docs: DataFrame, terms: Sequence[str], text: str = "text", name: str = "features") -> DataFrame:
@@ -326,3 +327,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", th
     found = context_features(docs.select(*own), model.terms, text, "__features")
     scored = found.withColumn("score", model.score(F.col("__features")))
     return scored.select(*own, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def remove_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents below the threshold, all columns as they are."""
+    found = context_features(docs, model.terms, text, "__features")
+    return found.where(model.score(F.col("__features")) < threshold).drop("__features")
