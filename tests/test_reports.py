@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from conftest import rows
@@ -9,17 +10,18 @@ from tessera.operators import compare, contrast, report, validate
 
 
 def test_filter_and_summary(spark):
-    df = spark.createDataFrame(
-        [("A", "high_high", 4.0), ("A", "low", 1.0), ("B", "high_high", 6.0), (None, "high_high", 9.0)],
-        "city string, cluster string, score double",
-    )
-    assert C.filter_eq(df, "cluster", "low").count() == 1
-    scores, features = report.summarize_index(df, "city", "score", ["score"], "base", ("cluster", "high_high"))
-    out = rows(scores, "city")
-    assert [(r["scenario"], r["count"], r["mean"]) for r in out] == [("base", 1, 4.0), ("base", 1, 6.0)]
-    assert [r["score"] for r in rows(features, "city")] == [4.0, 6.0]
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"town": rng.choice(["p", "q"], 25), "state": rng.choice(["wet", "dry"], 25), "level": rng.normal(size=25)})
+    df = spark.createDataFrame(frame).unionByName(spark.createDataFrame([(None, "wet", 9.0)], "town string, state string, level double"))
+    assert C.filter_eq(df, "state", "dry").count() == (frame["state"] == "dry").sum()
+    scores, features = report.summarize_index(df, "town", "level", ["level"], "base", ("state", "wet"))
+    wet = frame[frame["state"] == "wet"].groupby("town")["level"]
+    out = rows(scores, "town")
+    assert [(r["scenario"], r["town"], r["count"]) for r in out] == [("base", t, n) for t, n in wet.size().items()]
+    assert [r["mean"] for r in out] == pytest.approx(wet.mean().tolist())
+    assert [r["level"] for r in rows(features, "town")] == pytest.approx(wet.median().tolist())
     with pytest.raises(ValueError):
-        report.feature_medians(df, "city", ["absent"])
+        report.feature_medians(df, "town", ["absent"])
 
 
 def test_shares_sum_to_one(spark):
@@ -72,26 +74,28 @@ def test_inequality_without_weight_is_null(spark):
     assert out["score_gini_unweighted"] is not None
 
 
-def sides(spark):
-    left = spark.createDataFrame(
-        [("a", "A", 1.0), ("b", "A", 2.0), ("c", "B", 3.0), ("d", "B", 4.0)], "cell_id string, city string, score double"
-    )
-    right = spark.createDataFrame(
-        [("a", "A", 3.0), ("b", "A", 6.0), ("c", "B", 6.0), ("d", "B", 8.0)], "cell_id string, city string, score double"
-    )
-    return left, right
-
-
-def test_compare_scores(spark):
-    left, right = sides(spark)
-    summary, merged = compare.compare_scores(
-        left, right, ["cell_id", "city"], "city", "score", "score", "absolute", "relative", 0.5
-    )
-    assert all(r["top_overlap_share"] == 1.0 for r in rows(summary))
-    out = rows(merged, "cell_id")
-    assert [r["relative_minus_absolute"] for r in out] == [2.0, 4.0, 3.0, 4.0]
-    assert all(0 <= r["absolute_percentile"] <= 1 for r in out)
-    assert [r["top_fraction_status"] for r in out] == ["stable_non_top_fraction", "stable_top_fraction"] * 2
+def test_compare_scores_equals_ranks_in_pandas(spark):
+    rng = np.random.default_rng(12)
+    n = 41
+    base = pd.DataFrame({"plot": range(n), "valley": rng.choice(["u", "v"], n, p=[0.7, 0.3]), "level": rng.permutation(n) * 1.5})
+    other = base.assign(level=base["level"] * 0.4 + rng.normal(0, 12, n)).iloc[:-4]  # four rows have no partner
+    left, right = (spark.createDataFrame(x.rename(columns={"plot": "cell_id"})) for x in (base, other))
+    summary, merged = compare.compare_scores(left, right, ["cell_id", "valley"], "valley", "level", "level", "old", "new", 0.25)
+    got = merged.toPandas().sort_values("cell_id").reset_index(drop=True)
+    both = base.merge(other, on=["plot", "valley"], suffixes=("_old", "_new"))
+    by = both.groupby("valley")
+    old, new = (by[f"level_{s}"].rank(ascending=False) for s in ("old", "new"))
+    size = by["plot"].transform("size")
+    np.testing.assert_allclose(got["new_minus_old"], both["level_new"] - both["level_old"], atol=1e-9)
+    np.testing.assert_allclose(got["new_rank_minus_old_rank"], new - old)
+    np.testing.assert_allclose(got["old_percentile"], 1 - (old - 1) / (size - 1))
+    top = np.maximum(1, np.floor(0.25 * size))
+    was, now = old <= top, new <= top
+    named = np.select([was & now, now, was], ["stable_top_fraction", "entered_top_fraction", "exited_top_fraction"], "stable_non_top_fraction")
+    assert got["top_fraction_status"].tolist() == named.tolist()
+    share = {r["valley"]: r["top_overlap_share"] for r in rows(summary)}
+    for valley, part in both.assign(was=was, now=now).groupby("valley"):
+        assert share[valley] == pytest.approx((part["was"] & part["now"]).sum() / part["was"].sum())
 
 
 def test_shift_summary_and_missing_scores(spark):
@@ -116,39 +120,54 @@ def test_alignment_of_a_constant_is_null(spark):
     assert out["pearson_corr"] is None and out["spearman_corr"] is None and out["n_rows"] == 4
 
 
-def test_binary_contrast_and_profiles(spark):
-    data = [
-        ("Nairobi", "high_high", 10.0, 1.0), ("Nairobi", "high_high", 12.0, 2.0), ("Nairobi", "other", 1.0, 2.5),
-        ("Nairobi", None, 2.0, 3.0), ("Dar", "high_high", 1.0, 1.0), ("Dar", "high_high", 2.0, 2.0),
-    ]
-    df = spark.createDataFrame(data, "city string, cluster string, feature_a double, feature_b double")
-    out = rows(contrast.binary_contrast(df, "city", "cluster", "high_high", ["feature_a", "feature_b", "absent"]), "feature")
-    # The city without a reference side drops out; a missing label is "other".
-    assert [(r["city"], r["feature"], r["contrast_rank"]) for r in out] == [
-        ("Nairobi", "feature_a", 1), ("Nairobi", "feature_b", 2)]
-    assert out[0]["standardized_mean_diff"] > 0 > out[1]["standardized_mean_diff"]
-    assert out[0]["reference_n"] == 2 and out[0]["target_share"] == 0.5
+def test_contrast_ranks_by_size_of_the_difference(spark):
+    rng = np.random.default_rng(9)
+    n = 90
+    frame = pd.DataFrame({"town": rng.choice(["p", "q", "r"], n), "state": rng.choice(["wet", "dry"], n), "up": rng.normal(size=n), "down": rng.normal(size=n), "flat": rng.normal(size=n)})
+    wet = frame["state"] == "wet"
+    frame.loc[wet, "up"] += 4.0
+    frame.loc[wet, "down"] -= 2.0
+    frame.loc[frame["town"] == "r", "state"] = "wet"  # a town with nothing to compare with
+    df = spark.createDataFrame(frame)
+    out = rows(contrast.binary_contrast(df, "town", "state", "wet", ["up", "down", "flat", "unknown"]), "town", "contrast_rank")
+    assert [(r["town"], r["feature"]) for r in out] == [(t, f) for t in "pq" for f in ("up", "down", "flat")]
+    assert all(abs(a["standardized_mean_diff"]) >= abs(b["standardized_mean_diff"]) for a, b in zip(out, out[1:], strict=False) if a["town"] == b["town"])
+    for r in out:
+        part = frame[frame["town"] == r["town"]]
+        assert r["reference_n"] == (part["state"] == "dry").sum() and r["target_share"] == pytest.approx((part["state"] == "wet").mean())
+        gap = part[part["state"] == "wet"][r["feature"]].mean() - part[part["state"] == "dry"][r["feature"]].mean()
+        assert np.sign(r["standardized_mean_diff"]) == np.sign(gap)
     with pytest.raises(ValueError):
-        contrast.binary_contrast(df, "city", "cluster", "none", ["feature_a"])
-    profiles = rows(contrast.category_profiles(df, "city", "cluster", ["feature_a", "feature_b"]), "city", "cluster", "feature")
-    high = [r for r in profiles if r["city"] == "Nairobi" and r["cluster"] == "high_high"]
-    assert high[0]["standardized_profile_diff"] > 0 and high[0]["profile_rank"] == 1
-    assert any(r["cluster"] == "missing" for r in profiles)
-
-
-def test_external_validation(spark):
-    df = spark.createDataFrame(
-        [(i, g, s, p, v) for i, (g, s, p, v) in enumerate([
-            ("A", 10, 12, 9.0), ("A", 20, 18, 8.0), ("A", 30, 33, 7.0), ("B", 15, 11, 6.0), ("B", 25, 24, 5.0), ("B", 35, 36, 4.0)])],
-        "cell_id int, city string, index bigint, proxy bigint, viirs_mean double",
-    )
-    summary = validate.validate_external(df, "city", "viirs_mean", ["index", "proxy"], 1 / 3 + 1e-9, "negative")
-    out = rows(summary, "city", "score_column")
-    assert all(r["expected_signed_spearman"] == 1.0 for r in out)
+        contrast.binary_contrast(df, "town", "state", "frozen", ["up"])
+
+
+def test_profiles_name_missing_categories_and_rank_within_each(spark):
+    frame = pd.DataFrame({"town": ["p"] * 30, "state": ["a", "b", None] * 10, "x": [float(i % 3) for i in range(30)], "y": [float(i % 7) for i in range(30)]})
+    profiles = rows(contrast.category_profiles(spark.createDataFrame(frame), "town", "state", ["x", "y"]), "state", "profile_rank")
+    assert {r["state"] for r in profiles} == {"a", "b", "missing"}
+    # x is 0, 1 and 2 in the three categories and varies in none of them.
+    first = {r["state"]: r for r in profiles if r["feature"] == "x"}
+    assert first["a"]["standardized_profile_diff"] < 0 < first["missing"]["standardized_profile_diff"]
+    assert sorted(r["profile_rank"] for r in profiles) == [1, 1, 1, 2, 2, 2]
+
+
+@pytest.mark.parametrize("direction, sign", [("negative", -1.0), ("positive", 1.0)])
+def test_external_validation_signs_the_rank_correlation(spark, direction, sign):
+    rng = np.random.default_rng(17)
+    n = 50
+    frame = pd.DataFrame({"cell_id": range(n), "town": rng.choice(["p", "q"], n), "light": rng.permutation(n) * 1.0})
+    frame["good"] = -frame["light"] + rng.normal(0, 3, n)
+    frame["noise"] = rng.normal(size=n)
+    df = spark.createDataFrame(frame)
+    summary = validate.validate_external(df, "town", "light", ["good", "noise"], 0.2, direction)
+    for r in rows(summary):
+        part = frame[frame["town"] == r["town"]]
+        expected = part[r["score_column"]].rank().corr(part["light"].rank())
+        assert r["expected_signed_spearman"] == pytest.approx(sign * expected)
     found = rows(validate.validation_findings(summary))[0]
-    assert set(found["strongest_by_score"]) == {"index", "proxy"} and found["groups"] == ["A", "B"]
+    assert set(found["strongest_by_score"]) == {"good", "noise"} and sorted(found["groups"]) == ["p", "q"]
     with pytest.raises(ValueError):
-        validate.validate_external(df, "city", "viirs_mean", [], 0.1)
+        validate.validate_external(df, "town", "light", [], 0.1)
 
 
 def test_masks(spark):
