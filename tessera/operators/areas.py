@@ -1,7 +1,8 @@
 """Polygons as edge tables: membership, nearest unit, grid cells, centroids.
 
-An edge table has ``group, unit, ring, x1, y1, x2, y2``; ring 0 is the outline
-and rings above 0 are holes.
+An edge table has ``group, unit, ring, x1, y1, x2, y2`` and, where a unit has
+several parts, ``part``. In each part ring 0 is the outline and rings above 0 are
+holes, in either turn; the parts of a unit do not overlap.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import slug
 from tessera.functions.geo import from_utm, segment_distance2, to_utm, utm_zone
-from tessera.operators.near import _locations, _search
+from tessera.operators.near import _locations, _search, cut_lines
 from tessera.operators.order import number_rows
 from tessera.runtime import attach, keep, lookup, require_columns
 
@@ -73,13 +74,10 @@ def unmatched(points: DataFrame, matched: DataFrame, keys: Sequence[str]) -> Dat
 
 def nearest_units(points: DataFrame, edges: DataFrame, group: str, unit: str) -> DataFrame:
     """Closest unit of each location: ``group, qx, qy, unit``."""
-    lines = edges.select(
-        group,
-        F.col("x1").alias("__x1"), F.col("y1").alias("__y1"), F.col("x2").alias("__x2"), F.col("y2").alias("__y2"),
-        F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"),
-        F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"),
-        F.col(unit).alias("cid"),
-    )
+    ends = edges.select(
+        group, F.col("x1").alias("__x1"), F.col("y1").alias("__y1"), F.col("x2").alias("__x2"), F.col("y2").alias("__y2"), F.col(unit).alias("cid"),
+    ).distinct()
+    lines = cut_lines(ends, [group])
     d2 = segment_distance2(*[F.col(c) for c in ("qx", "qy", "__x1", "__y1", "__x2", "__y2")])
     return _search(points, lines, [group], 1, d2).select(group, "qx", "qy", F.col("cid").alias(unit))
 
@@ -154,7 +152,8 @@ def split_on_grid(segments: DataFrame, size: Column) -> DataFrame:
 
 
 def _oriented(edges: DataFrame, keys: Sequence[str], ring: str) -> DataFrame:
-    """Turn outlines counter-clockwise and holes clockwise."""
+    """Turn outlines counter-clockwise and holes clockwise, part by part."""
+    keys = [*keys, "part"] if "part" in edges.columns else list(keys)
     turn = edges.groupBy(*keys, ring).agg(
         F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("__turn")
     )

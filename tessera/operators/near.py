@@ -22,6 +22,7 @@ from tessera.runtime import attach, broadcast_rows, keep, lookup, require_column
 
 _GROWTH = 3.0
 _DENSEST = 64  # locations per wanted neighbour in the fullest first bucket
+_COVERED = 4  # times the buckets first covered, above which the side shrinks no more
 _CROWDED = 1_000_000  # candidates one task should compare with a query
 
 
@@ -54,20 +55,51 @@ def _cell(value: str, origin: str, size: Column) -> Column:
     return F.floor((F.col(value) - F.col(origin)) / size)
 
 
-def _fullest(boxes: DataFrame, by: Sequence[str], factor: float) -> int:
-    size = F.col("__s") * F.lit(factor)
-    counts = boxes.groupBy(*by, _cell("x1", "__ox", size).alias("a"), _cell("y1", "__oy", size).alias("b"))
-    return counts.agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+def _load(boxes: DataFrame, by: Sequence[str], factor: float) -> tuple[int, int]:
+    """Boxes in the fullest bucket, and buckets covered by all boxes together."""
+    covered = _covering(boxes, F.col("__s") * F.lit(factor), 0)
+    row = covered.groupBy(*by, "__bx", "__by").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
+    return row["n"] or 0, row["all"] or 0
 
 
-def _first_scale(boxes: DataFrame, by: Sequence[str], k: int) -> float:
-    """Shrink factor of the bucket side at which no bucket is overfull."""
+def _first_scale(boxes: DataFrame, by: Sequence[str], k: int) -> tuple[float, int]:
+    """Shrink factor of the bucket side and the load of its fullest bucket. The
+    side shrinks until no bucket is overfull, or until boxes would cover many
+    buckets each: lines that meet in a point are not parted by smaller buckets,
+    and a full bucket is then salted instead."""
     factor = 1.0
-    for _ in range(16):
-        if _fullest(boxes, by, factor) <= _DENSEST * max(k, 1):
+    fullest, covered = _load(boxes, by, factor)
+    most = _COVERED * max(covered, 1)
+    while fullest > _DENSEST * max(k, 1):
+        smaller, covered = _load(boxes, by, factor / _GROWTH)
+        if covered > most:
             break
-        factor /= _GROWTH
-    return factor
+        factor, fullest = factor / _GROWTH, smaller
+    return factor, fullest
+
+
+def cut_lines(lines: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The bounding boxes of pieces of each line, none much longer than the first
+    bucket side, so that a long line covers the buckets along it and not the
+    whole square around it. The line's own ends are ``__x1 .. __y2``."""
+    by = list(by)
+    low = [F.least("__x1", "__x2"), F.least("__y1", "__y2")]
+    high = [F.greatest("__x1", "__x2"), F.greatest("__y1", "__y2")]
+    frame = lines.groupBy(*by).agg(
+        F.greatest(F.max(high[0]) - F.min(low[0]), F.max(high[1]) - F.min(low[1])).alias("__e"), F.count(F.lit(1)).alias("__m")
+    ).where("__m > 0").select(*by, (F.col("__e") * F.sqrt(2.0 / F.col("__m"))).alias("__step"))
+    framed = attach(lines, frame, by, "inner")
+    long = F.greatest(F.abs(F.col("__x2") - F.col("__x1")), F.abs(F.col("__y2") - F.col("__y1")))
+    n = F.when(F.col("__step") > 0, F.greatest(F.lit(1), F.ceil(long / F.col("__step")).cast("int"))).otherwise(1)
+    pieces = framed.withColumn("__n", n).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+
+    def at(axis: str, i: Column) -> Column:
+        a, b = F.col(f"__{axis}1"), F.col(f"__{axis}2")
+        return F.when(i == F.col("__n"), b).otherwise(a + (b - a) * i / F.col("__n"))
+
+    ends = {c: (at(c, F.col("__i")), at(c, F.col("__i") + 1)) for c in "xy"}
+    boxed = {f"{c}{k}": pick(*ends[c]) for c in "xy" for k, pick in ((1, F.least), (2, F.greatest))}
+    return pieces.withColumns(boxed).drop("__step", "__n", "__i")
 
 
 def _search(query: DataFrame, boxes: DataFrame, by: list[str], k: int, d2: Column) -> DataFrame:
@@ -81,7 +113,8 @@ def _search(query: DataFrame, boxes: DataFrame, by: list[str], k: int, d2: Colum
         return rows.join(frame, by) if by else rows.crossJoin(frame)
 
     boxes, left = framed(boxes), framed(left)
-    factor = first = _first_scale(boxes, by, k)
+    factor, fullest = _first_scale(boxes, by, k)
+    first = factor
     found: list[DataFrame] = []
     waiting = left.count()
     while True:
@@ -89,7 +122,8 @@ def _search(query: DataFrame, boxes: DataFrame, by: list[str], k: int, d2: Colum
         if waiting * 9 <= broadcast_rows(query.sparkSession):
             near = _nearest_of_few(left, boxes, by, k, size, d2)
         else:
-            salts = 1 if factor == first else -(-_fullest(boxes, by, factor) // _CROWDED)
+            load = fullest if factor == first else _load(boxes, by, factor)[0]
+            salts = max(1, -(-load // _CROWDED))
             near = _nearest_of_many(left, boxes, by, k, size, d2, salts)
         whole = Window.partitionBy(*by, "__bx", "__by", "__salt", "qx", "qy")
         # How far the block around the query reaches for certain.
@@ -238,12 +272,9 @@ def nearest_distance(
     by = list(by)
     if "x1" in targets.columns:
         ends = targets.select(*by, *[F.col(c).cast("double").alias(f"__{c}") for c in ("x1", "y1", "x2", "y2")])
-        lines = ends.distinct().select(
-            *by, "__x1", "__y1", "__x2", "__y2",
-            F.least("__x1", "__x2").alias("x1"), F.least("__y1", "__y2").alias("y1"),
-            F.greatest("__x1", "__x2").alias("x2"), F.greatest("__y1", "__y2").alias("y2"),
-            F.struct("__x1", "__y1", "__x2", "__y2").alias("cid"),
-        )
+        whole = F.struct("__x1", "__y1", "__x2", "__y2")
+        known = ends.distinct().dropna(subset=["__x1", "__y1", "__x2", "__y2"])
+        lines = cut_lines(known, by).withColumn("cid", whole)
         d2 = segment_distance2(*[F.col(c) for c in ("qx", "qy", "__x1", "__y1", "__x2", "__y2")])
         return _nearest(cells, lines, by, x, y, out, d2)
     points = _locations(targets, by, x, y).select(

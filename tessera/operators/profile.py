@@ -37,19 +37,21 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def examples(df: DataFrame) -> DataFrame:
-    """Up to three present values of each column, as text."""
+    """The three smallest different values of each column, as text."""
     out = None
     for i, field in enumerate(df.schema):
         shown = F.col(field.name)
         shown = shown.cast("string") if not isinstance(field.dataType, MapType) else F.to_json(shown)
-        few = df.where(F.col(field.name).isNotNull()).select(shown.alias("v")).limit(_EXAMPLES)
-        row = few.agg(F.collect_list("v").alias("examples")).select(F.lit(i).alias("position"), "examples")
+        few = df.where(F.col(field.name).isNotNull()).select(shown.alias("v")).distinct().orderBy("v").limit(_EXAMPLES)
+        row = few.agg(F.sort_array(F.collect_list("v")).alias("examples")).select(F.lit(i).alias("position"), "examples")
         out = row if out is None else out.unionByName(row)
     return out
 
 
 def preview(df: DataFrame) -> DataFrame:
-    return df.limit(_PREVIEW)
+    """The first rows in the order of their columns, so the same in every run."""
+    order = [f.name for f in df.schema if not isinstance(f.dataType, MapType)]
+    return df.orderBy(*order).limit(_PREVIEW)
 
 
 def bounds(df: DataFrame, x: str = "x", y: str = "y", by: list[str] | None = None) -> DataFrame:

@@ -58,6 +58,48 @@ def _(spark, sf):
     return geojson.feature_points(rows).drop("geometry_type", "coordinates")
 
 
+@query("geojson_table_round_trip", "SELECT cell_id, city, score, x AS lon, y AS lat FROM spot", ["score", "lon", "lat"], CUSTOMER)
+def _(spark, sf):
+    """A table written and read as GeoJSON by its suffix, its properties typed as they were."""
+    rows = spots(spark, sf).select("cell_id", "city", "score", F.col("x").alias("lon"), F.col("y").alias("lat"))
+    back = _round_trip(rows, ".geojson")
+    return geojson.feature_points(back).select("cell_id", "city", F.col("score").cast("double").alias("score"), "lon", "lat")
+
+
+@query("boundary_scan", """
+    SELECT country_iso, u.admin2_id, admin2_name, CAST(NULL AS VARCHAR) AS admin2_iso, CAST(4 AS BIGINT) AS n_edges, x0, y0, x1, y1 FROM units u""",
+       ["x0", "y0", "x1", "y1"], roles.UNITS)
+def _(spark, sf):
+    """Units written as one GeoJSON file of boundaries per country, and scanned together."""
+    boxes, _ = roles.units(spark, sf)
+    corners = F.array(*[F.array(a, b) for a, b in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))])
+    shapes = boxes.select(
+        "country_iso", F.col("admin2_id").alias("shapeID"), F.col("admin2_name").alias("shapeName"),
+        F.lit("Polygon").alias("geometry_type"), F.to_json(F.array(corners)).alias("coordinates"),
+    )
+    folder = shared_path(spark)
+    for country in [r[0] for r in roles.table(spark, sf, "region").select("r_name").collect()]:  # a file each
+        tables.write_table(shapes.where(F.col("country_iso") == country).drop("country_iso"), f"{folder}/{country}_adm2.geojson")
+    found, edges = geojson.read_boundaries(spark, folder)
+    box = edges.groupBy("admin2_id").agg(
+        F.count(F.lit(1)).alias("n_edges"), F.min("x1").alias("x0"), F.min("y1").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
+    )
+    # A blank in a country's name is written into the path as it is.
+    return found.withColumn("country_iso", F.url_decode("country_iso")).join(box, "admin2_id")
+
+
+@query("sample_scan", """
+    SELECT CAST(c_acctbal AS DOUBLE) AS rwi, y / 200 AS latitude, x / 100 AS longitude, CAST(NULL AS DOUBLE) AS error, city AS country_iso
+    FROM spot JOIN customer ON cell_id = c_custkey""", ["rwi", "latitude", "longitude"], CUSTOMER)
+def _(spark, sf):
+    """Samples in one csv file per country; the error is unreadable and becomes NULL."""
+    rows = spots(spark, sf).select((F.col("y") / 200).alias("latitude"), (F.col("x") / 100).alias("longitude"), F.col("score").alias("rwi"), F.lit("n/a").alias("error"), "city")
+    folder = shared_path(spark)
+    for country in [r[0] for r in rows.select("city").distinct().collect()]:  # five segments
+        rows.where(F.col("city") == country).drop("city").write.csv(f"{folder}/{country}_samples.csv", header=True)
+    return points.read_samples(spark, f"{folder}/*.csv").withColumn("country_iso", F.url_decode("country_iso"))
+
+
 @query("json_documents", "SELECT c_mktsegment AS city, count(*) AS n, max(c_acctbal) AS top FROM customer GROUP BY 1", ["top"])
 def _(spark, sf):
     rows = roles.table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("city")).agg(

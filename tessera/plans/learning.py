@@ -461,17 +461,24 @@ def _(spark, sf):
         "o_orderkey", "o_totalprice", "o_orderstatus",
         F.when(F.col("o_totalprice") > 400000, F.col("o_totalprice")).alias("big"),
     )
-    # The examples are the first rows seen, which no order defines.
     return profile.profile(rows).drop("examples")
 
 
+@query("profile_examples", """
+    SELECT 0 AS position, array_to_string(list_sort(list(DISTINCT o_orderkey))[1:3], ',') AS examples FROM (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM orders)
+    UNION ALL SELECT 1, array_to_string(list_sort(list(DISTINCT o_orderstatus))[1:3], ',') FROM orders""")
+def _(spark, sf):
+    rows = roles.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return profile.examples(rows).withColumn("examples", F.array_join("examples", ","))
+
+
 @query("profile_bounds", "SELECT city, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM cells GROUP BY 1",
        ["minx", "miny", "maxx", "maxy"], roles.CELLS)
 def _(spark, sf):
     return profile.bounds(roles.cells(spark, sf), by=["city"])
 
 
-@query("profile_preview")
+@query("profile_preview", "SELECT * FROM lineitem ORDER BY ALL LIMIT 5")
 def _(spark, sf):
-    """Five rows; which five is left open, as there is no order to a table."""
+    """The first five rows by their columns."""
     return profile.preview(roles.table(spark, sf, "lineitem"))

@@ -49,6 +49,28 @@ def _(spark, sf):
     return near.nearest_distance(spots(spark, sf), roles.roads(spark, sf), "d").select("cell_id", "d")
 
 
+HUB = """
+hub AS (SELECT city, 5003.5 AS x1, 5004.5 AS y1, 5003.5 + (x - 5003.5) * f AS x2, 5004.5 + (y - 5004.5) * f AS y2
+    FROM (SELECT *, CASE WHEN score < 0 THEN 20.0 ELSE 1.0 END AS f FROM spot))"""
+
+
+@query("nearest_hub", """
+    SELECT cell_id, sqrt(min(ex * ex + ey * ey)) AS d FROM (SELECT cell_id, x1 + t * (x2 - x1) - x AS ex, y1 + t * (y2 - y1) - y AS ey FROM (
+    SELECT *, CASE WHEN l2 > 0 THEN greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / l2)) ELSE 0.0 END AS t FROM (
+    SELECT *, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS l2 FROM (SELECT cell_id, city, x + 3 AS x, y - 2 AS y FROM spot) JOIN hub USING (city)))) GROUP BY 1""",
+       ["d"], CUSTOMER + "," + HUB)
+def _(spark, sf):
+    """All roads of a city meet in one point, and some are far longer than the rest."""
+    rows = spots(spark, sf)
+    far = F.when(F.col("score") < 0, 20.0).otherwise(1.0)
+    roads = rows.select(
+        "city", F.lit(5003.5).alias("x1"), F.lit(5004.5).alias("y1"),
+        (5003.5 + (F.col("x") - 5003.5) * far).alias("x2"), (5004.5 + (F.col("y") - 5004.5) * far).alias("y2"),
+    )
+    cells = rows.withColumns({"x": F.col("x") + 3, "y": F.col("y") - 2})
+    return near.nearest_distance(cells, roads, "d").select("cell_id", "d")
+
+
 @query("knn_samples", f"""
     SELECT cell_id, sample_id, distance, seq FROM (SELECT a.cell_id, b.sample_id, sqrt({D2}) AS distance,
     row_number() OVER (PARTITION BY a.cell_id ORDER BY {D2}, b.sample_id) AS seq FROM spot a JOIN points b ON a.city = b.city) WHERE seq <= 4""",
@@ -254,6 +276,45 @@ def _(spark, sf):
     return areas.centroids(roles.rectangle_edges(roles.parcels(spark, sf), ["city"]), ["city"])
 
 
+# Two parts side by side, the second turned the other way, the first with a hole.
+RECTS = roles.PARCELS + """,
+rects AS (
+    SELECT city, 1.0 AS sign, x0 AS a0, y0 AS b0, x0 + 0.4 * (x1 - x0) AS a1, y1 AS b1, x0, y0, x1, y1 FROM boxes
+    UNION ALL SELECT city, 1.0, x0 + 0.6 * (x1 - x0), y0, x1, y1, x0, y0, x1, y1 FROM boxes
+    UNION ALL SELECT city, -1.0, x0 + 0.1 * (x1 - x0), y0 + 0.25 * (y1 - y0), x0 + 0.3 * (x1 - x0), y0 + 0.75 * (y1 - y0), x0, y0, x1, y1 FROM boxes)"""
+
+
+def multipart(spark, sf):
+    boxes = roles.parcels(spark, sf)
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    shapes = []
+    for part, ring, (a, b, c, d), turned in ((0, 0, (0.0, 0.0, 0.4, 1.0), False), (1, 0, (0.6, 0.0, 1.0, 1.0), True), (0, 1, (0.1, 0.25, 0.3, 0.75), False)):
+        box = boxes.select("city", (F.col("x0") + a * w).alias("x0"), (F.col("y0") + b * h).alias("y0"), (F.col("x0") + c * w).alias("x1"), (F.col("y0") + d * h).alias("y1"))
+        edges = roles.rectangle_edges(box, ["city"]).withColumns({"part": F.lit(part), "ring": F.lit(ring)})
+        if turned:
+            edges = edges.selectExpr("city", "ring", "seq", "x2 AS x1", "y2 AS y1", "x1 AS x2", "y1 AS y2", "part")
+        shapes.append(edges.select("city", "part", "ring", "seq", "x1", "y1", "x2", "y2"))
+    return shapes[0].unionByName(shapes[1]).unionByName(shapes[2])
+
+
+@query("centroids_multipart", """
+    SELECT city, sum(m) AS area, sum(m * (a0 + a1) / 2) / sum(m) AS x, sum(m * (b0 + b1) / 2) / sum(m) AS y
+    FROM (SELECT *, sign * (a1 - a0) * (b1 - b0) AS m FROM rects) GROUP BY city""", ["area:3", "x", "y"], RECTS)
+def _(spark, sf):
+    return areas.centroids(multipart(spark, sf), ["city"])
+
+
+@query("grid_multipart", """
+    SELECT city, ix, iy, sum(m) AS area_m2 FROM (
+        SELECT city, ix, iy, sign * greatest(0.0, least(a1, x0 + ix * 500.0 + 500.0) - greatest(a0, x0 + ix * 500.0))
+            * greatest(0.0, least(b1, y0 + iy * 500.0 + 500.0) - greatest(b0, y0 + iy * 500.0)) AS m
+        FROM (SELECT *, unnest(range(0, CAST(ceil((y1 - y0) / 500.0) AS BIGINT))) AS iy
+            FROM (SELECT *, unnest(range(0, CAST(ceil((x1 - x0) / 500.0) AS BIGINT))) AS ix FROM rects)))
+    GROUP BY 1, 2, 3 HAVING sum(m) > 1e-6""", ["area_m2:3"], RECTS)
+def _(spark, sf):
+    return areas.grid(multipart(spark, sf)).select("city", "ix", "iy", "area_m2")
+
+
 @query("grid_cells", """
     SELECT city, regexp_replace(lower(city), '[^a-z0-9]+', '_', 'g') || '_' || lpad(CAST(row_number() OVER (PARTITION BY city ORDER BY ix, iy) AS VARCHAR), 5, '0') AS cell_id,
     ix, iy, cx0 AS x0, cy0 AS y0, (cx1 - cx0) * (cy1 - cy0) AS area_m2, (cx1 - cx0) * (cy1 - cy0) / 1000000.0 AS area_km2,

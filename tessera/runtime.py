@@ -77,8 +77,9 @@ def sized(kept: DataFrame) -> DataFrame:
 
 
 def lookup(small: DataFrame) -> DataFrame:
-    """Materialise a lookup table and mark how to join it."""
-    return sized(keep(small))
+    """Materialise a lookup table. Its files tell Spark its size, so whether it
+    is broadcast follows from that and needs no count."""
+    return keep(small)
 
 
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:

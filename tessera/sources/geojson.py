@@ -2,47 +2,79 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tessera.runtime import MissingColumns, require
 
-_FEATURES = (
-    "type string, features array<struct<properties: map<string, string>,"
-    " geometry: struct<type: string, coordinates: string>>>"
-)
-_FEATURE = "type string, properties map<string, string>, geometry struct<type: string, coordinates: string>"
+_GEOMETRY = "geometry struct<type: string, coordinates: string>"
+_EITHER = f"type string, features array<struct<properties: variant, {_GEOMETRY}>>, properties variant, {_GEOMETRY}, _corrupt_record string"
+_FORMS = ("Feature", "FeatureCollection")
 _POSITION = "array<double>"
+# A file of features may differ in its properties, but not in more than so many.
+MAX_PROPERTIES = 10_000
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """JSON documents of a path: one a line, which splits over tasks, if every
+    line is a feature or a collection; else one a file, which may span lines."""
+    known = F.coalesce(F.col("type").isin(*_FORMS), F.lit(False))
+    lines = spark.read.schema(_EITHER).json(path)
+    if lines.where(~known).isEmpty():
+        return lines
+    whole = spark.read.schema(_EITHER).json(path, multiLine=True)
+    if not whole.where(~known).isEmpty():
+        raise ValueError(f"{path} holds JSON that is neither a feature nor a feature collection")
+    return whole
 
 
 def _features(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(_FEATURES).json(path, multiLine=True)
-    return raw.select(
-        F.input_file_name().alias("source"), F.posexplode("features").alias("feature", "f")
-    ).select(
+    """One row per feature of either form; its number counts within its document."""
+    documents = _documents(spark, path).withColumn("source", F.input_file_name())
+    own = F.array(F.struct("properties", "geometry"))
+    held = F.when(F.col("type") == "Feature", own).otherwise(F.col("features"))
+    return documents.select("source", F.posexplode(held).alias("feature", "f")).select(
         "source", "feature", F.col("f.properties").alias("properties"),
         F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"),
     )
 
 
-def read_feature_lines(spark: SparkSession, path: str, properties: dict[str, str]) -> DataFrame:
-    """Features written one a line, which is what the sink writes. Unlike one
-    large collection such a file is split over tasks. ``properties`` maps names
-    to types."""
-    rows = spark.read.schema(_FEATURE).json(path)
-    return rows.select(
-        *[F.col("properties")[name].cast(kind).alias(name) for name, kind in properties.items()],
-        F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("coordinates"),
-    )
+def _path(name: str) -> str:
+    require("'" not in name and "\\" not in name, f"unsupported property name {name}")
+    return f"$['{name}']"
+
+
+def _typed(properties: Mapping[str, str]) -> list[Column]:
+    return [F.try_variant_get("properties", _path(name), kind).alias(name) for name, kind in properties.items()]
+
+
+def property_types(rows: DataFrame) -> dict[str, str]:
+    """Names and types of the properties, from one aggregate of their schemas."""
+    found = rows.agg(F.schema_of_variant_agg("properties").alias("s")).first()["s"]
+    if not found or not found.startswith("OBJECT<"):
+        return {}
+    ddl = re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", found).replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    schema = DataType.fromDDL(ddl)
+    require(len(schema.fields) <= MAX_PROPERTIES, f"more than {MAX_PROPERTIES} properties")
+    return {f.name: f.dataType.simpleString() for f in schema.fields}
+
+
+def read_feature_lines(spark: SparkSession, path: str, properties: Mapping[str, str]) -> DataFrame:
+    """Features with the named properties, ``properties`` mapping names to types."""
+    return _features(spark, path).select(*_typed(properties), "geometry_type", "coordinates")
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """One row per feature: ``feature``, one string column per property and the
-    geometry as its type and coordinate text."""
+def read_geojson(spark: SparkSession, path: str, properties: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per feature: ``feature``, one typed column per property and the
+    geometry as its type and coordinate text. Types that are given spare the
+    pass that finds them; a value of another type is NULL."""
     rows = _features(spark, path)
-    names = [r["k"] for r in rows.select(F.explode(F.map_keys("properties")).alias("k")).distinct().collect()]
-    properties = [F.col("properties")[n].alias(n) for n in sorted(names)]
-    return rows.select("feature", *properties, "geometry_type", "coordinates")
+    kinds = dict(sorted(property_types(rows).items())) if properties is None else properties
+    return rows.select("feature", *_typed(kinds), "geometry_type", "coordinates")
 
 
 def _parsed(kind: str, depth: int) -> Column:
@@ -96,13 +128,11 @@ def read_boundaries(
     a folder, in one scan. A missing ISO code is NULL."""
     require(level in LEVEL_SUFFIX, f"unsupported administrative level {level}")
     rows = _features(spark, f"{folder}/*_{LEVEL_SUFFIX[level]}.geojson")
-    country = F.regexp_extract("source", rf"([^/]+)_{LEVEL_SUFFIX[level]}\.geojson$", 1)
+    country = F.regexp_extract("source", rf"([^/]+)_{LEVEL_SUFFIX[level]}\.geojson(?:/[^/]*)?$", 1)  # a file, or a folder of parts
     unit, name, iso = f"{prefix}_id", f"{prefix}_name", f"{prefix}_iso"
     features = rows.select(
         country.alias("country_iso"),
-        F.col("properties")["shapeID"].alias(unit),
-        F.col("properties")["shapeName"].alias(name),
-        F.col("properties")["shapeISO"].alias(iso),
+        *[c.alias(out) for c, out in zip(_typed({"shapeID": "string", "shapeName": "string", "shapeISO": "string"}), (unit, name, iso), strict=True)],
         "geometry_type", "coordinates",
     )
     if not features.where(F.col(unit).isNull() | F.col(name).isNull()).isEmpty():

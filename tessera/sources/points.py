@@ -14,11 +14,11 @@ SAMPLE_COLUMNS = ("latitude", "longitude", "rwi", "error")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of all countries in one scan; the country is the part of the file
-    name before the first underscore."""
+    """Samples of all countries in one scan; the country is the part of the name
+    before the first underscore, of a csv file or a folder of its parts."""
     raw = spark.read.csv(path, header=True)
     require_columns(raw, SAMPLE_COLUMNS, "sample file")
-    country = F.regexp_extract(F.col("_metadata.file_name"), r"^([^_]+)_", 1)
+    country = F.regexp_extract(F.col("_metadata.file_path"), r"([^/_]+)_[^/]*\.csv(?:/[^/]*)?$", 1)
     return raw.select(*[numeric(c).alias(c) for c in SAMPLE_COLUMNS], country.alias("country_iso"))
 
 

@@ -21,6 +21,13 @@ def _suffix(path: str) -> str:
     return PurePosixPath(path).suffix.lower()
 
 
+def _named_types(schema: StructType | str | None) -> dict[str, str] | None:
+    if schema is None:
+        return None
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return {f.name: f.dataType.simpleString() for f in fields}
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """csv, tsv, json, GeoJSON or parquet. Give a schema to spare the pass that
     infers one."""
@@ -36,7 +43,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
         case ".jsonl":
             return reader.json(path)
         case ".geojson":
-            return read_geojson(spark, path)
+            return read_geojson(spark, path, _named_types(schema))
         case ".parquet" | "":
             return reader.parquet(path)
         case other:

@@ -124,3 +124,23 @@ def test_row_local_operators_on_a_stream(spark, tmp_path):
     assert [(r["scenario"], r["label"]) for r in out] == [("s", "a__missing"), ("s", "b__x")]
     batch = rowwise.mask_and_label(df, conditions, labels=["id", "kind"], scenario="s")
     assert rows(batch, "id") == out
+
+
+def test_geojson_of_either_form_keeps_types(spark, tmp_path):
+    df = spark.createDataFrame(
+        [(1, "007", 2.5, True, 10.0, 20.0), (2, "b", None, None, 11.0, 21.0)], "id long, name string, v double, ok boolean, lon double, lat double"
+    )
+    path = str(tmp_path / "points.geojson")
+    tables.write_table(df, path)
+    back = tables.read_table(spark, path)
+    assert {"id": "bigint", "name": "string", "v": "double", "ok": "boolean"}.items() <= dict(back.dtypes).items()
+    assert sorted(back.select("id", "name", "v", "ok").collect()) == sorted(df.select("id", "name", "v", "ok").collect())
+    feature = {"type": "Feature", "properties": {"a": 1}, "geometry": {"type": "Point", "coordinates": [1.5, 2]}}
+    for indent in (None, 2):
+        one = tmp_path / f"set{indent}.geojson"
+        one.write_text(json.dumps({"type": "FeatureCollection", "features": [feature, feature]}, indent=indent))
+        rows = tables.read_table(spark, str(one)).collect()
+        assert [(r["feature"], r["a"], r["geometry_type"]) for r in rows] == [(0, 1, "Point"), (1, 1, "Point")]
+    (tmp_path / "other.geojson").write_text('{"hello": 1}')
+    with pytest.raises(ValueError):
+        tables.read_table(spark, str(tmp_path / "other.geojson"))

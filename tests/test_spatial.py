@@ -292,3 +292,35 @@ def test_tiles(spark):
     given = spark.range(1).select(geo.resolve_tiles(
         F.array(F.lit("b"), F.lit("a"), F.lit("b")), F.lit("c"), F.array(F.lit("d"))).alias("t"))
     assert given.first()["t"] == ["a", "b"]
+
+
+def test_lines_that_meet_in_one_point_end(spark):
+    """Ten thousand segments from one junction: no bucket side parts them."""
+    pick = random.Random(4)
+    hub = [("A", 10.0, 20.0, 10.0 + 900 * math.cos(0.7 * i), 20.0 + 900 * math.sin(0.7 * i)) for i in range(10_000)]
+    hub.append(("A", 0.0, 0.0, 90_000.0, 45_000.0))  # and one road a hundred times as long
+    spots = [(i, "A", pick.uniform(-2000, 3000), pick.uniform(-2000, 3000)) for i in range(20)]
+    cells = spark.createDataFrame(spots, "cell_id int, city string, x double, y double")
+    lines = spark.createDataFrame(hub, "city string, x1 double, y1 double, x2 double, y2 double")
+    got = {r["cell_id"]: r["d"] for r in near.nearest_distance(cells, lines, "d").collect()}
+
+    def distance(x, y, line):
+        _, a, b, c, d = line
+        t = max(0.0, min(1.0, ((x - a) * (c - a) + (y - b) * (d - b)) / ((c - a) ** 2 + (d - b) ** 2)))
+        return math.hypot(a + t * (c - a) - x, b + t * (d - b) - y)
+
+    for i, _, x, y in spots:
+        assert abs(got[i] - min(distance(x, y, line) for line in hub)) < 1e-6
+
+
+def test_parts_of_either_turn_add_up(spark):
+    def square(part, x, turned):
+        corners = [(x, 0.0), (x + 1000, 0.0), (x + 1000, 1000.0), (x, 1000.0)]
+        corners = corners[::-1] if turned else corners
+        return [("A", part, 0, *a, *b) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)]
+
+    edges = spark.createDataFrame(square(0, 0.0, False) + square(1, 3000.0, True), "city string, part int, ring int, x1 double, y1 double, x2 double, y2 double")
+    cells = areas.grid(edges).collect()
+    assert len(cells) == 8 and sum(r["area_m2"] for r in cells) == 2_000_000.0
+    middle = areas.centroids(edges, ["city"]).first()
+    assert (middle["area"], middle["x"], middle["y"]) == (2_000_000.0, 2000.0, 500.0)
