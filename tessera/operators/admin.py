@@ -13,7 +13,7 @@ from tessera.operators.order import number_rows
 from tessera.operators.quantiles import quantile_table
 from tessera.operators.report import weighted_mean, weighted_mode
 from tessera.operators.transform import top_fraction_flag
-from tessera.runtime import attach, keep, require, require_columns
+from tessera.runtime import attach, has_hot_group, keep, require, require_columns
 
 _METRICS = ("population_weighted_mean_score", "citywide_q90_population_share", "hotspot_population_share")
 
@@ -116,10 +116,11 @@ def classify_units(
     eligible = units.where(F.col("eligible_priority_flag"))
     sizes = eligible.groupBy(by).agg(F.count(F.lit(1)).alias("__m"))
     ranked = attach(eligible, sizes, [by])
+    hot = has_hot_group(eligible, [by])
     top = F.greatest(F.lit(1), F.ceil(F.col("__m") * F.lit(float(priority_fraction))))
     tie = [F.col(k).asc_nulls_last() for k in (id, *[k for k in keys if k not in (by, id)])]
     for metric in _METRICS:
-        ranked = number_rows(ranked, [by], [F.col(metric).desc_nulls_last(), *tie], f"__r_{metric}")
+        ranked = number_rows(ranked, [by], [F.col(metric).desc_nulls_last(), *tie], f"__r_{metric}", hot)
         ranked = ranked.withColumn(
             f"{metric}_top_priority_flag",
             F.col(metric).isNotNull() & F.col("__m").isNotNull() & (F.col(f"__r_{metric}") <= top),
@@ -131,7 +132,7 @@ def classify_units(
         "district_priority_metric_count", "hotspot_population_share", "citywide_q90_population_share",
         "population_weighted_mean_score", "population_total",
     )]
-    ranked = number_rows(ranked, [by], [*order, *tie], "district_priority_rank")
+    ranked = number_rows(ranked, [by], [*order, *tie], "district_priority_rank", hot)
     rest = units.where(~F.col("eligible_priority_flag")).withColumns(
         {f: F.lit(False) for f in flags}
         | {"district_priority_metric_count": F.lit(0), "district_priority_rank": F.lit(None).cast("bigint")}

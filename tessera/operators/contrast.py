@@ -65,9 +65,10 @@ def binary_contrast(
     is_target = F.coalesce(label == str(target), F.lit(False))
     is_reference = ~is_target if reference is None else F.coalesce(label == str(reference), F.lit(False))
     side = F.when(is_target, "t").when(is_reference, "r").otherwise("x")
-    rows = with_numeric(grouped(df, by, [binary], filter), *features).select(
+    # Moments and medians take several passes; the input itself is computed once.
+    rows = keep(with_numeric(grouped(df, by, [binary], filter), *features).select(
         by, side.alias("__side"), *features
-    )
+    ))
     stats = keep(feature_stats(rows, [by, "__side"], features))
 
     def of(which: str, column: str) -> Column:
@@ -119,9 +120,9 @@ def category_profiles(
 ) -> DataFrame:
     features = available(df, values)
     require(len(features) > 0, "none of the requested value columns exists")
-    rows = with_numeric(grouped(df, by, [category], filter), *features).select(
+    rows = keep(with_numeric(grouped(df, by, [category], filter), *features).select(
         by, text(category).alias("__cat"), *features
-    )
+    ))
     whole = feature_stats(rows, [by], features).where(F.col("n") > 0).select(
         by, "feature", F.col("rows").alias("group_n"), F.col("mean").alias("group_mean"),
         F.col("median").alias("group_median"), F.col("std").alias("__sd"),

@@ -83,8 +83,8 @@ def category_shares(
     df: DataFrame, by: str, category: str, scenario: str | None = None, filter: tuple | None = None
 ) -> DataFrame:
     rows = grouped(df, by, [category], filter).where(F.col(category).isNotNull())
-    counts = rows.groupBy(by, category).agg(F.count(F.lit(1)).alias("count"))
-    totals = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__all"))
+    counts = keep(rows.groupBy(by, category).agg(F.count(F.lit(1)).alias("count")))
+    totals = counts.groupBy(by).agg(F.sum("count").alias("__all"))
     out = attach(counts, totals, [by]).withColumn("share", F.col("count") / F.col("__all")).drop("__all")
     return tag_scenario(out.select(by, category, "count", "share"), scenario)
 
@@ -93,8 +93,8 @@ def weighted_category_shares(
     df: DataFrame, by: str, category: str, weights: str, scenario: str | None = None, filter: tuple | None = None
 ) -> DataFrame:
     rows = grouped(df, by, [category, weights], filter).where(F.col(category).isNotNull())
-    sums = rows.groupBy(by, category).agg(F.sum(weight(weights)).alias("weight_sum"))
-    totals = rows.groupBy(by).agg(F.sum(weight(weights)).alias("__all"))
+    sums = keep(rows.groupBy(by, category).agg(F.sum(weight(weights)).alias("weight_sum")))
+    totals = sums.groupBy(by).agg(F.sum("weight_sum").alias("__all"))
     share = F.when(F.col("__all") > 0, F.col("weight_sum") / F.col("__all"))
     out = attach(sums, totals, [by]).withColumn("weight_share", share)
     return tag_scenario(out.select(by, category, "weight_sum", "weight_share"), scenario)

@@ -11,7 +11,7 @@ from tessera.functions.columns import numeric
 from tessera.operators.compare import finite_corr
 from tessera.operators.order import average_rank
 from tessera.operators.report import top_fraction_rows
-from tessera.runtime import has_hot_group, require, require_columns
+from tessera.runtime import has_hot_group, keep, require, require_columns
 
 _TINY = 1e-9
 
@@ -32,7 +32,7 @@ def validate_external(
     require(0 < top_fraction < 0.5, "top_fraction must be in (0, 0.5)")
     require_columns(df, [by, external, *scores, *tie])
     entries = F.array(*[F.struct(F.lit(s).alias("score_column"), numeric(s).alias("__s")) for s in scores])
-    rows = (
+    rows = keep(
         df.where(F.col(by).isNotNull())
         .select(by, *dict.fromkeys(tie), numeric(external).alias("__e"), F.explode(entries).alias("x"))
         .select(by, *dict.fromkeys(tie), "__e", "x.score_column", "x.__s")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ HOT_GROUP_ROWS = 2_000_000
 # A lookup side above this many rows is never broadcast.
 BROADCAST_CONF = "tessera.broadcastRows"
 BROADCAST_ROWS = 200_000
+# The folder of the open scope of kept tables.
+SCOPE_CONF = "tessera.scope"
 
 
 class MissingColumns(ValueError):
@@ -54,8 +57,27 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, suffix: str = "") -> str:
-    """A new path in the shared folder."""
-    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}{suffix}"
+    """A new path in the shared folder, or in the open scope's part of it."""
+    folder = spark.conf.get(SCOPE_CONF, None) or _shared_folder(spark)
+    return f"{folder}/{uuid.uuid4().hex}{suffix}"
+
+
+@contextmanager
+def kept_tables(spark: SparkSession) -> Iterator[str]:
+    """A scope for kept tables: what is kept inside lies in a folder of its own,
+    which is deleted at the end. Results must be written or collected before."""
+    outer = spark.conf.get(SCOPE_CONF, None)
+    folder = f"{outer or _shared_folder(spark)}/scope-{uuid.uuid4().hex}"
+    spark.conf.set(SCOPE_CONF, folder)
+    try:
+        yield folder
+    finally:
+        if outer:
+            spark.conf.set(SCOPE_CONF, outer)
+        else:
+            spark.conf.unset(SCOPE_CONF)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame) -> DataFrame:

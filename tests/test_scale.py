@@ -126,3 +126,16 @@ def test_wide_lookups_are_not_broadcast(spark, skewed):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     plan = attach(skewed, table, ["cell_id"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_a_scope_leaves_no_kept_table(spark):
+    import os
+
+    from tessera.runtime import keep, kept_tables, shared_path
+
+    with kept_tables(spark) as folder:
+        with kept_tables(spark) as inner:
+            assert inner.startswith(folder) and keep(spark.range(3)).count() == 3 and os.path.isdir(inner)
+        assert not os.path.exists(inner) and keep(spark.range(5)).count() == 5
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder) and not shared_path(spark).startswith(folder)
