@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -97,6 +100,14 @@ def _channel(i, patch: str, channels: int):
     return F.get(F.col("__stats"), F.floor(i * channels / F.size(patch)).cast("int"))
 
 
+def _each_protocol(rows: DataFrame, by: str, fit: Callable[[str], DataFrame], workers: int = 4) -> DataFrame:
+    """Fit the protocols side by side, a few at a time; their jobs share the cluster."""
+    names = sorted(r[by] for r in rows.select(by).distinct().collect())  # one entry per protocol
+    with ThreadPoolExecutor(workers) as pool:
+        scored = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), names))
+    return reduce(DataFrame.unionByName, scored)
+
+
 def linear_baseline(
     rows: DataFrame, score: str, truth: str, label: str, by: str = "protocol"
 ) -> DataFrame:
@@ -115,35 +126,36 @@ def linear_baseline(
     test = attach(rows.where(F.col("role") == "test"), line, [by])
     test = test.withColumn("rwi_pred", F.col("__a") + F.col("__b") * F.col("__x")).drop("__a", "__b")
     assembler = VectorAssembler(inputCols=["__x"], outputCol="__vec")
-    names = [r[by] for r in rows.select(by).distinct().collect()]  # one entry per protocol
-    out = None
-    for name in sorted(names):
+
+    def fit(name: str) -> DataFrame:
         part = assembler.transform(train.where((F.col(by) == name) & F.col("__x").isNotNull()))
         n = part.count()
         curve = LogisticRegression(
             featuresCol="__vec", labelCol=label, maxIter=500, regParam=1.0 / max(n, 1), standardization=False
         ).fit(part.withColumn(label, F.col(label).cast("double")))
         scored = curve.transform(assembler.transform(test.where(F.col(by) == name)))
-        out = _add(out, scored.withColumn("low_wealth_prob", vector_to_array("probability")[1]))
-    return out.drop("__x", "__vec", "rawPrediction", "probability", "prediction")
+        return scored.withColumn("low_wealth_prob", vector_to_array("probability")[1])
+
+    return _each_protocol(rows, by, fit).drop("__x", "__vec", "rawPrediction", "probability", "prediction")
 
 
 def boosted_trees(
     rows: DataFrame, features: Sequence[str], truth: str, label: str, by: str = "protocol",
     trees: int = 400, depth: int = 6, rate: float = 0.05, subsample: float = 0.9, seed: int = 42,
+    columns: float = 0.9,
 ) -> DataFrame:
-    """Gradient-boosted regression and classification per protocol, positives
-    weighted by the class ratio. Returns scored test rows."""
+    """Gradient-boosted regression and classification per protocol, each tree on
+    a share of the rows, each split on a share of the columns, positives weighted
+    by the class ratio. Returns scored test rows."""
     features = list(features)
     scaled = standardize_features(rows, features, by=[by])
     vectors = keep(VectorAssembler(inputCols=features, outputCol="__vec", handleInvalid="keep").transform(scaled))
-    names = [r[by] for r in rows.select(by).distinct().collect()]  # one entry per protocol
     settings = {
         "featuresCol": "__vec", "maxIter": trees, "maxDepth": depth, "stepSize": rate,
-        "subsamplingRate": subsample, "seed": seed,
+        "subsamplingRate": subsample, "featureSubsetStrategy": str(columns), "seed": seed,
     }
-    out = None
-    for name in sorted(names):
+
+    def fit(name: str) -> DataFrame:
         part = vectors.where(F.col(by) == name)
         train = part.where(F.col("role") == "train").withColumn("__y", F.col(label).cast("double"))
         counts = train.agg(F.count_if(F.col("__y") == 0).alias("q"), F.count_if(F.col("__y") == 1).alias("p")).first()
@@ -153,8 +165,9 @@ def boosted_trees(
         tree = GBTRegressor(labelCol=truth, predictionCol="rwi_pred", **settings).fit(train)
         klass = GBTClassifier(labelCol="__y", weightCol="__w", **settings).fit(weighted)
         scored = klass.transform(tree.transform(part.where(F.col("role") == "test")))
-        out = _add(out, scored.withColumn("low_wealth_prob", vector_to_array("probability")[1]))
-    return out.drop("__vec", "rawPrediction", "probability", "prediction")
+        return scored.withColumn("low_wealth_prob", vector_to_array("probability")[1])
+
+    return _each_protocol(rows, by, fit).drop("__vec", "rawPrediction", "probability", "prediction")
 
 
 def _add(out: DataFrame | None, more: DataFrame) -> DataFrame:
