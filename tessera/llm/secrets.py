@@ -91,11 +91,14 @@ def _listed(spans: Column) -> Column:
 
 
 def training_samples(docs: DataFrame, text: str = "text", texts: int = SAMPLE_TEXTS, strings: int = SAMPLE_STRINGS) -> DataFrame:
-    """Labelled samples (value, random): words of at most ``texts`` texts (those
+    """Labelled samples (value, random): words of at most ``texts`` different texts (those
     of smallest hash), alone and joined as identifiers are, dates and numbers; and ``strings``
     random strings of each usual make."""
     require_columns(docs, [text], "docs")
-    chosen = docs.select(F.col(text).alias("t")).where("t IS NOT NULL").orderBy(F.xxhash64("t"), "t").limit(texts)
+    hashed = docs.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).where("t IS NOT NULL")
+    # The hashes alone find the cut, so no task gathers more texts than are wanted.
+    last = hashed.select("h").distinct().orderBy("h").limit(texts).agg(F.max("h").alias("h")).first()["h"]
+    chosen = hashed.where(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"])
     words = F.filter(F.split("t", "[^A-Za-z]+"), lambda w: F.length(w) >= 2)
     pairs = chosen.select(words.alias("w")).where("size(w) > 1").select(F.explode(F.arrays_zip(F.slice("w", 1, 2000).alias("a"), F.slice("w", 2, 2000).alias("b"))).alias("x"))
     a, b = F.col("x.a"), F.col("x.b")
