@@ -14,7 +14,7 @@ Elements found often in a sample come last in the order, so that lists stay shor
 the order is the same for all sets, so the result does not depend on the sample.
 
 Only components are asked for, so no group is expanded into its pairs. Equal sets
-are one class. In each list every set is first held against the list's first one;
+are one class. In each list every set is first held against its most popular one;
 the links found contract the classes. Then only lists that still hold two components
 are scanned for pairs across components, in blocks of bounded size, where a parity
 bitmap of each set bounds the difference of two sets from below and drops pairs that
@@ -29,7 +29,7 @@ smaller than none; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,8 +47,12 @@ PERCENT = 90
 # Sampled texts for the order and the boundary, and elements known as common; bounds of what is broadcast.
 SAMPLE_TEXTS = 4_000
 COMMON = 50_000
+# Elements of the sets that share a home in one tile.
+TILE = 400_000
 # Sets of one list that a task holds against each other at once.
-BLOCK = 2_048
+BLOCK = 1_024
+# Comparisons in memory that cost as much as a row that is written and shuffled.
+LOOKS = 50.0
 _BITS = 1_024
 _LONGS = _BITS // 64
 
@@ -117,15 +121,16 @@ class Plan:
         return np.concatenate(out)
 
 
-def choose_boundary(sizes: Sequence[int], list_length: float, percent: int = PERCENT) -> int:
+def choose_boundary(sizes: Sequence[int], others: float, percent: int = PERCENT) -> int:
     """The light size limit of least cost: a light set costs a row for each
-    subset, a heavy one a row and a scan of ``list_length`` for each element."""
+    subset, a heavy one a row for each element and a look at each of the
+    ``others`` in its list, of which ``LOOKS`` cost as much as a row."""
     n = np.asarray(sorted(s for s in sizes if s), np.int64)
     if not len(n):
         return 0
     spare = n - needed(n, percent)
     light = (spare + 2) * (spare + 1) / 2.0
-    heavy = (spare + 1) * (1.0 + list_length)
+    heavy = (spare + 1) * (1.0 + others / LOOKS)
     cost = np.concatenate([[0.0], np.cumsum(light)]) + np.concatenate([np.cumsum(heavy[::-1])[::-1], [0.0]])
     best = int(np.argmin(cost))
     return int(n[best - 1]) if best else 0
@@ -152,27 +157,39 @@ def make_plan(docs: DataFrame, text: str, shingle: int, percent: int, texts: int
     seen = keep(sample.mapInArrow(cut, schema).groupBy("e", "n").agg(F.count(F.lit(1)).alias("c")))
     sizes = [(r["n"], r["c"]) for r in seen.where("n > 0").orderBy(F.desc("c"), "n").limit(COMMON).collect()]
     often = [r["e"] for r in seen.where("n = 0 AND c >= 4").orderBy(F.desc("c"), "e").limit(COMMON).collect()]
-    rare = seen.where("n = 0 AND c < 4").agg(F.sum(F.col("c") * F.col("c")).alias("a"), F.sum("c").alias("b")).first()
-    length = max(1.0, (rare["a"] or 1) / (rare["b"] or 1) * total / max(1, sum(c for _, c in sizes)) ** 0.5 / 10)
+    rare = seen.where("n = 0 AND c < 4").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("a"), F.sum("c").alias("b")).first()
+    # Other sets that hold an element, in the sample and then in the whole table.
+    others = (rare["a"] or 0) / (rare["b"] or 1) * max(1.0, total / max(1, sum(c for _, c in sizes)))
     common = np.sort(np.array(often, np.int64).view(np.uint64))
-    return Plan(common, choose_boundary([n for n, c in sizes for _ in range(c)], length, percent), percent)
+    return Plan(common, choose_boundary([n for n, c in sizes for _ in range(c)], others, percent), percent)
 
 
-def _bitmap(values: np.ndarray) -> np.ndarray:
+def _bitmap(values: np.ndarray, bits: int = _BITS) -> np.ndarray:
     """Parity of the elements by their place in a bitmap: two bitmaps differ in
-    at most as many bits as the sets do in elements."""
-    place = (values >> np.uint64(17)) % np.uint64(_BITS)
-    odd = (np.bincount(place.astype(np.int64), minlength=_BITS) & 1).astype(np.uint8)
+    at most as many bits as the sets do in elements. ``bits`` is a power of two,
+    so a wider bitmap folds into a narrower one."""
+    place = (values >> np.uint64(17)) % np.uint64(bits)
+    odd = (np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def _wide_bits(n: int) -> int:
+    """Bits of a large set's second bitmap, 0 where the first one tells enough:
+    the two of unrelated sets should differ in far more bits than sets that link."""
+    return 0 if n <= 2 * _BITS else 1 << (n - 1).bit_length() - 1
+
+
+def _folded(x: np.ndarray, longs: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(x.reshape(-1, longs), axis=0)
+
+
 def _signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, plan: Plan) -> DataFrame:
-    """(id, version, n, d1, d2, keys, bitmap) of each document; the version is a
+    """(id, version, n, d1, d2, keys, bitmap, wide) of each document; the version is a
     hash of the text, d1 and d2 tell sets apart."""
     shared = docs.sparkSession.sparkContext.broadcast(plan)
     longs = T.ArrayType(T.LongType())
     schema = T.StructType(
-        [T.StructField("id", docs.schema[doc_id].dataType), *[T.StructField(c, T.LongType()) for c in ("version", "n", "d1", "d2")], T.StructField("keys", longs), T.StructField("bitmap", longs)]
+        [T.StructField("id", docs.schema[doc_id].dataType), *[T.StructField(c, T.LongType()) for c in ("version", "n", "d1", "d2")], T.StructField("keys", longs), T.StructField("bitmap", longs), T.StructField("wide", longs)]
     )
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +207,14 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, plan: Pla
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
                 maps = np.concatenate([_bitmap(v) if len(k) else np.zeros(0, np.int64) for v, k in zip(own, keys, strict=True)]) if own else np.zeros(0, np.int64)
                 map_ends = np.concatenate([[0], np.cumsum([_LONGS if len(k) else 0 for k in keys])]).astype(np.int32)
+                more = [_bitmap(v, _wide_bits(len(v))) if _wide_bits(len(v)) else np.zeros(0, np.int64) for v in own]
+                more_ends = np.concatenate([[0], np.cumsum([len(m) for m in more])]).astype(np.int32)
+                wide = np.concatenate(more) if more else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(pa.array(map_ends), pa.array(maps)),
+                        pa.ListArray.from_arrays(pa.array(more_ends), pa.array(wide)),
                     ],
                     names=schema.names,
                 )
@@ -219,11 +240,74 @@ def _named(classes: DataFrame, side: str) -> DataFrame:
     return classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"bitmap_{side}"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+def _tiled(pairs: DataFrame, homes: DataFrame) -> DataFrame:
+    """The pairs with a tile each. Sets that meet often have the same home, and
+    a home of many sets is cut into parts by hash, so that a tile holds few sets
+    and a set goes to few tiles, however many partners it has."""
+    side = {c: homes.select(F.col("node").alias(c), F.col("home").alias(f"h{c}"), F.col("part").alias(f"p{c}")) for c in "ab"}
+    placed = pairs.join(side["a"], "a").join(side["b"], "b")
+    one, two = (F.struct(F.col(f"h{c}").alias("home"), F.col(f"p{c}").alias("part")) for c in "ab")
+    return placed.select("a", "b", F.xxhash64(F.least(one, two), F.greatest(one, two)).alias("tile"))
+
+
+def _homes(members: DataFrame, classes: DataFrame, elements: int) -> DataFrame:
+    """(node, home, part): the most popular head of the node's lists, and one of
+    the parts of about ``elements`` elements into which that home is cut."""
+    nearest = members.groupBy("node").agg(F.max(F.struct("popular", "head")).alias("h")).select("node", F.col("h.head").alias("home"))
+    nearest = keep(nearest.join(classes.select("node", "n"), "node"))
+    sizes = nearest.groupBy("home").agg(F.ceil(F.sum("n") / elements).cast("int").alias("m"))
+    return keep(nearest.join(sizes, "home").select("node", "home", F.pmod(F.xxhash64("node"), F.col("m")).alias("part")))
+
+
+_PAIR = T.StructType([T.StructField("tile", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _pass(pairs: DataFrame, values: DataFrame, test: Callable[[int, np.ndarray, int, np.ndarray], bool]) -> DataFrame:
+    """The pairs (tile, a, b) that pass the test of both sides' values (node, n,
+    array x). A value is sent once to each tile in which its node has partners."""
+    sides = pairs.select("tile", F.col("a").alias("node")).unionByName(pairs.select("tile", F.col("b").alias("node"))).distinct()
+    sent = sides.join(values, "node").select("tile", "node", F.lit(None).cast("long").alias("other"), "n", "x")
+    asked = pairs.select("tile", F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<bigint>").alias("x"))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each tile the values come first, then its pairs."""
+        tile, own = None, {}
+        for batch in batches:
+            out = []
+            lists = batch.column(4)
+            flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
+            for k, (t, node, other, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if t != tile:
+                    tile, own = t, {}
+                if other is None:
+                    own[node] = n, np.array(flat[ends[k] : ends[k + 1]])
+                elif node in own and other in own and test(*own[node], *own[other]):
+                    out.append((t, node, other))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=_PAIR.names)
+
+    together = sent.unionByName(asked).repartition("tile").sortWithinPartitions("tile", F.col("other").asc_nulls_first())
+    return together.mapInArrow(scan, _PAIR)
+
+
+def _verified(
+    pairs: DataFrame, homes: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int
+) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Only the texts of documents in a
-    pair are shuffled; their sets are made again where they arrive."""
-    pairs = keep(pairs)
-    wanted = keep(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "rep", "d1"), "node"))
+    pair are shuffled, once, after the wide bitmaps of large sets have had their
+    say; the sets are made again where the texts arrive, and sent to the tiles in
+    which they have partners."""
+    pairs = keep(_tiled(pairs, homes))
+
+    def near(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        if not len(x) or not len(y):
+            return True  # a small set's first bitmap has been looked at
+        longs = min(len(x), len(y))
+        apart = int(np.bitwise_count(_folded(x, longs) ^ _folded(y, longs)).sum())
+        return apart <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+    pairs = keep(_pass(pairs, classes.select("node", "n", F.col("wide").alias("x")), near))
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = keep(wanted.join(classes.select("node", "rep", "d1"), "node"))
     held = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
     texts = held.join(wanted, held["rep"].eqNullSafe(wanted["rep"])).select("node", "d1", "text")
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType()))])
@@ -238,11 +322,18 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str
                 made = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), made], names=schema.names).filter(pa.array(same))
 
-    sets = keep(texts.mapInArrow(cut, schema).dropDuplicates(["node"]))
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    sets = texts.mapInArrow(cut, schema)
+
+    def link(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        if n > m:
+            n, x, m, y = m, y, n, x
+        at = np.searchsorted(y, x)
+        at[at == m] = 0
+        common = int((y[at] == x).sum())
+        return 100 * common >= percent * (n + m - common)
+
+    values = sets.select("node", F.size("elements").cast("long").alias("n"), F.sort_array("elements").alias("x"))
+    return _pass(pairs, values, link).select("a", "b")
 
 
 def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
@@ -318,19 +409,26 @@ def jaccard_components(
     require(0 < percent <= 100 and shingle >= 1, "percent must be in 1 to 100, shingle at least 1")
     plan = make_plan(docs, text, shingle, percent)
     sets = keep(_signatures(docs, doc_id, text, shingle, plan))
-    grouped = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("bitmap").alias("bitmap"))
+    grouped = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("bitmap").alias("bitmap"), F.any_value("wide").alias("wide"))
     classes = keep(grouped.withColumn("node", F.monotonically_increasing_id()))
     keyed = classes.select(F.explode("keys").alias("key"), "node")
-    lists = keep(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    members = keep(keyed.join(lists, "key"))
-    stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    lists = keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    shared = keep(keyed.join(lists, "key"))
+    # A set whose elements many others have, such as the one that copies come from, is popular.
+    popular = shared.groupBy("node").agg(F.sum("size").alias("popular")).join(classes.select("node", F.size("keys").alias("k")), "node")
+    ranked = shared.join(keep(popular.select("node", (F.col("popular") / F.col("k")).alias("popular"))), "node")
+    heads = keep(ranked.groupBy("key").agg(F.max(F.struct("popular", "node")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.popular").alias("popular")))
+    members = keep(shared.join(heads, "key"))
+    homes = _homes(members, classes, TILE)
+    args = (homes, classes, docs, doc_id, text, shingle, percent)
+    stars = members.where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     likely = stars.join(_named(classes, "a"), "a").join(_named(classes, "b"), "b").where(_alike("a", "b", percent)).select("a", "b")
-    links = keep(_verified(likely, classes, docs, doc_id, text, shingle, percent))
+    links = keep(_verified(likely, *args))
     found = keep(components(links))
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     left = placed.join(keep(mixed), "key").join(classes.select("node", "n", "bitmap"), "node")
-    more = keep(_verified(_across(left, percent, block), classes, docs, doc_id, text, shingle, percent))
+    more = keep(_verified(_across(left, percent, block), *args))
     named = keep(components(links.unionByName(more)))
     owned = keep(classes.join(named, "node", "left").select("n", "d1", "d2", "rep", F.coalesce("component", "node").alias("component")))
     least = keep(owned.groupBy("component").agg(F.min("rep").alias("component_id")))
