@@ -70,7 +70,9 @@ def _first_scale(boxes: DataFrame, by: Sequence[str], k: int) -> tuple[float, in
     factor = 1.0
     fullest, covered = _load(boxes, by, factor)
     most = _COVERED * max(covered, 1)
-    while fullest > _DENSEST * max(k, 1):
+    for _ in range(16):
+        if fullest <= _DENSEST * max(k, 1):
+            break
         smaller, covered = _load(boxes, by, factor / _GROWTH)
         if covered > most:
             break
