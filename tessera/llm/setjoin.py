@@ -48,7 +48,7 @@ PERCENT = 90
 SAMPLE_TEXTS = 4_000
 COMMON = 50_000
 # Elements of the sets that share a home in one tile.
-TILE = 400_000
+TILE = 100_000
 # Sets of one list that a task holds against each other at once.
 BLOCK = 1_024
 # Comparisons in memory that cost as much as a row that is written and shuffled.
