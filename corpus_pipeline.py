@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, labelled, mixing, secrets, setjoin, toxicity
 from tessera.runtime import shared_path
 
+# Near copies of the corpus: words of a shingle, and hundredths of the union that two texts share at least.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go. The model learns from the labels, held-out ones left aside."""
@@ -19,8 +22,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked 3-word shingle sets stays."""
-    return setjoin.keep_one(docs)
+    """One document of each group of linked 5-word shingle sets stays."""
+    return setjoin.keep_one(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -359,3 +359,24 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
         if not ASSIGN.search(docs[i]["text"]) and not re.search("[0-9a-f]{24}|AKIA", docs[i]["text"]):
             assert r["text"] == docs[i]["text"]
         assert not re.search("[0-9a-f]{24}", r["text"])
+
+
+def test_pipeline_links_near_copies_by_five_words_at_0_8(spark, copies, prose):
+    import corpus_pipeline
+
+    texts = {r["doc_id"]: r["text"] for r in copies.collect()}
+    words = prose(100, 77, 4_000).split()
+    texts[900], words[30], words[70] = " ".join(words), "changed", "words"
+    texts[901] = " ".join(words)
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    group = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:  # the smallest id goes along the links
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates_out(spark, docs, "").collect()}
+    assert left == {i for i in sets if group[i] == i} and 900 in left and 901 not in left
