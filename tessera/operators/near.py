@@ -12,8 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.columns import numeric
 from tessera.functions.geo import segment_distance2
@@ -24,6 +27,7 @@ _GROWTH = 3.0
 _DENSEST = 64  # locations per wanted neighbour in the fullest first bucket
 _COVERED = 4  # times the buckets first covered, above which the side shrinks no more
 _CROWDED = 1_000_000  # candidates one task should compare with a query
+_BLOCK = 1_024  # vectors that one task holds against as many others
 
 
 def _frame(query: DataFrame, boxes: DataFrame, by: Sequence[str], k: int) -> DataFrame:
@@ -258,6 +262,84 @@ def knn_edges(
     )
 
 
+def _matrix(rows: pa.Table) -> np.ndarray:
+    lists = rows["v"].combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _nearest_vectors(queries: np.ndarray, candidates: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, squared distance) of the ``k`` nearest candidates of
+    each query, ties by place. A product of matrices only bounds the distances;
+    what its rounding leaves open is computed from the differences."""
+    k = min(k, len(candidates))
+    q2, c2 = (queries**2).sum(axis=1), (candidates**2).sum(axis=1)
+    near = q2[:, None] + c2[None, :] - 2 * (queries @ candidates.T)
+    slack = 8 * (queries.shape[1] + 4) * np.finfo(np.float64).eps * (q2 + c2.max())
+    open_ = near <= (np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * slack)[:, None]
+    picked, far = [], []
+    for x in range(len(queries)):
+        at = np.flatnonzero(open_[x])
+        d2 = ((candidates[at] - queries[x]) ** 2).sum(axis=1)
+        best = np.lexsort((at, d2))[:k]
+        picked.append(at[best])
+        far.append(d2[best])
+    return np.repeat(np.arange(len(queries)), k), np.concatenate(picked), np.concatenate(far)
+
+
+def vector_edges(df: DataFrame, by: Sequence[str], k: int, id: str, vector: str) -> DataFrame:
+    """``k`` nearest other rows of the same group by the distance of whole
+    vectors: ``by, src, dst, distance, seq``, ties by ``dst``. Vectors of
+    different lengths have no distance; vectors with a missing or not finite
+    element are left out. Copies of a vector are one query, and of its copies
+    only the first ``k + 1`` by id are candidates. Every block of queries meets
+    every block of candidates of its group, so the result is exact."""
+    by = list(by)
+    require_columns(df, [*by, id, vector], "df")
+    v = F.col(vector)
+    if df.schema[vector].dataType.elementType != T.FloatType():
+        v = v.cast("array<double>")
+    rows = df.select(*by, F.col(id).alias("src"), v.alias("v")).where(
+        (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    )
+    rows = keep(rows.dropna(subset=by) if by else rows)
+    groups = [*by, "__n"]
+    places = keep(rows.select(*by, "v").distinct().withColumns({"__n": F.size("v"), "node": F.monotonically_increasing_id()}))
+    named = keep(rows.join(places.select(*by, "v", "node"), [*by, "v"]).select(*by, "src", "node"))
+    copies = Window.partitionBy("node").orderBy("src")
+    first = named.withColumn("__c", F.row_number().over(copies)).where(F.col("__c") <= k + 1).select("node", F.col("src").alias("cid"))
+    candidates = keep(first.join(places, "node"))
+
+    def dealt(side: DataFrame, own: str, other: DataFrame, its: str, key: str) -> DataFrame:
+        """Each row in its own block, once for each block of the other side."""
+        for rows, name in ((side, own), (other, its)):
+            parts = rows.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias(f"__parts{name}"))
+            side = side.join(lookup(parts), groups)
+        side = side.withColumn(own, F.pmod(F.xxhash64(key), F.col(f"__parts{own}")).cast("int"))
+        return side.withColumn(its, F.explode(F.sequence(F.lit(0), F.col(f"__parts{its}") - 1))).drop(f"__parts{own}", f"__parts{its}")
+
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("cid", df.schema[id].dataType), T.StructField("d2", T.DoubleType())])
+
+    def meet(queries: pa.Table, others: pa.Table) -> pa.Table:
+        if not queries.num_rows or not others.num_rows:
+            return pa.table({"node": queries["node"].slice(0, 0), "cid": others["cid"].slice(0, 0), "d2": pa.array([], pa.float64())})
+        others = others.sort_by("cid")
+        x, y, d2 = _nearest_vectors(_matrix(queries), _matrix(others), k + 1)
+        return pa.table({"node": queries["node"].take(pa.array(x)), "cid": others["cid"].take(pa.array(y)), "d2": pa.array(d2)})
+
+    keys = [*groups, "__i", "__j"]
+    queries = dealt(places, "__i", candidates, "__j", "node").groupBy(*keys)
+    others = dealt(candidates, "__j", places, "__i", "cid").groupBy(*keys)
+    found = queries.cogroup(others).applyInArrow(meet, schema)
+    best = Window.partitionBy("node").orderBy("d2", "cid")
+    hits = keep(found.withColumn("__c", F.row_number().over(best)).where(F.col("__c") <= k + 1).drop("__c"))
+    # Each row has at most k + 1 candidates here, one of which may be itself.
+    pairs = named.join(hits, "node").where(F.col("src") != F.col("cid"))
+    place = Window.partitionBy(*by, "src").orderBy("d2", "cid")
+    return pairs.withColumn("seq", F.row_number().over(place)).where(F.col("seq") <= k).select(
+        *by, "src", F.col("cid").alias("dst"), F.sqrt("d2").alias("distance"), "seq"
+    )
+
+
 def _nearest(cells: DataFrame, boxes: DataFrame, by: list[str], x: str, y: str, out: str, d2: Column) -> DataFrame:
     hits = _search(_locations(cells, by, x, y), boxes, by, 1, d2)
     found = hits.select(*by, F.col("qx"), F.col("qy"), F.sqrt("d2").alias(out))

@@ -103,6 +103,15 @@ def _(spark, sf):
     return near.knn_edges(rows, ["label"], 3, "vec_id").select("label", "src", "dst")
 
 
+@query("embedding_neighbors_whole", """
+    SELECT label, src, dst FROM (SELECT a.label, a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY
+    list_distance(a.v, b.v), b.vec_id) AS seq FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE seq <= 3""",
+       base="e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)")
+def _(spark, sf):
+    """On all elements; ``embedding_neighbors`` reads the first two, as its SQL does."""
+    return near.vector_edges(roles.table(spark, sf, "embeddings"), ["label"], 3, "vec_id", "embedding").select("label", "src", "dst")
+
+
 GRAPH = KNN + """,
 links AS (SELECT city, src, dst FROM near UNION SELECT city, dst, src FROM near UNION SELECT city, cell_id, cell_id FROM spot),
 deg AS (SELECT src, count(*) AS d FROM links GROUP BY 1),

@@ -46,6 +46,22 @@ def test_knn_edges_equal_brute_force(spark, monkeypatch, k, way):
     assert got == brute(points, points, k, True)
 
 
+@pytest.mark.parametrize("block", [near._BLOCK, 7])
+def test_vector_edges_use_all_elements(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "_BLOCK", block)
+    rng = random.Random(4)
+    # The first two elements tell nothing, or the opposite of the rest.
+    points = [(i, "AB"[i % 2], [float(i % 3), -float(i), *(rng.choice([0.0, 50.0, 900.0]) + rng.random() for _ in range(6))]) for i in range(50)]
+    points += [(i, "A", points[0][2]) for i in range(50, 60)] + [(60, "A", [1.0, None] * 4), (61, "A", None), (62, None, points[0][2]), (63, "A", [0.0])]
+    df = spark.createDataFrame(points, "cell_id int, city string, v array<double>").repartition(3)
+    whole = [(i, c, v) for i, c, v in points[:60]]
+    expected = set()
+    for i, c, v in whole:
+        order = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for j, d, w in whole if d == c and j != i)
+        expected |= {(i, j, seq) for seq, (_, j) in enumerate(order[:3], 1)}
+    assert {(r["src"], r["dst"], r["seq"]) for r in near.vector_edges(df, ["city"], 3, "cell_id", "v").collect()} == expected
+
+
 def test_nearest_line_in_many_buckets(spark):
     rng = random.Random(9)
     cells = [(i, "A", rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(60)]
