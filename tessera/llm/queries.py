@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fixity, labelled, mixing, pairwise, rollups, rules, secrets, setjoin, suffixes, toxicity
+from tessera.llm import chat, decontaminate, fixity, labelled, manifest, mixing, pairwise, repair, rollups, rules, secrets, setjoin, suffixes, toxicity
 from tessera.llm.registry import ORACLE, QUERIES, query, table
 from tessera.runtime import keep, shared_path
 
@@ -228,3 +228,111 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _crc32(digits: str) -> str:
+    """The unsigned CRC-32 of an ASCII string."""
+    steps = f"flatten(list_transform(range(1, length({digits}) + 1), lambda i: [ord(substr({digits}, i, 1))::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {steps}), lambda a, b: xor(xor(a, b) >> 1, 3988292384::UBIGINT * (xor(a, b) & 1))), 4294967295::UBIGINT)"
+    )
+
+
+def _leaf(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({x}) AS VARCHAR) || ':' || {x}, '-')" for x in fields) + ")"
+
+
+def _tree_levels(first: str, count: int, by: str, name: str) -> str:
+    """Levels name0 to name{count} of runs of eight, and each level's runs."""
+    out = f"{name}0 AS ({first})"
+    for k in range(count):
+        out += f""",
+    {name}r{k} AS (SELECT {by}, node // 8 AS run, n, list(digest ORDER BY node) AS held FROM {name}{k} GROUP BY ALL),
+    {name}{k + 1} AS (SELECT {by}, run AS node, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(held, '')) ELSE held[1] END AS digest FROM {name}r{k})"""
+    return out
+
+
+def _proof_levels(first: str, count: int, by: str, runs: str, name: str) -> str:
+    """Proofs and folded digests, level by level, from ``first`` on."""
+    out = f"{name}0 AS ({first})"
+    for k in range(count):
+        others = "held[1:node % 8] || held[node % 8 + 2:]"
+        run = "held[1:node % 8] || [folded] || held[node % 8 + 2:]"
+        out += f""",
+    {name}{k + 1} AS (
+        SELECT d.* EXCLUDE (node, proof, folded), node // 8 AS node, CASE WHEN n > 1 THEN proof || array_to_string({others}, '') ELSE proof END AS proof,
+            CASE WHEN n > 1 THEN sha256(array_to_string({run}, '')) ELSE folded END AS folded
+        FROM {name}{k} d JOIN {runs}r{k} r ON node // 8 = run AND d.{by} IS NOT DISTINCT FROM r.{by})"""
+    return out
+
+
+_SPOILT = f"{_crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0"
+
+
+@query(
+    "op11_merkle_manifest",
+    sql=f"""
+    WITH leaves AS (SELECT doc_id, lang, {_leaf("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_SPOILT} THEN {_leaf(_LOWER)} ELSE {_leaf("text")} END AS told FROM documents),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS node, count(*) OVER (PARTITION BY lang) AS size FROM leaves),
+    {_tree_levels("SELECT lang, node, size AS n, leaf AS digest FROM placed", 9, "lang", "l")},
+    {_tree_levels("SELECT 0 AS top, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS node, count(*) OVER () AS n, digest, lang FROM l9", 4, "top", "s")},
+    {_proof_levels("SELECT doc_id, lang, leaf, node, '' AS proof, told AS folded FROM placed", 9, "lang", "l", "d")},
+    {_proof_levels("SELECT d9.* EXCLUDE (node), s0.node, 0 AS top, s0.digest AS subroot FROM d9 JOIN s0 ON d9.lang IS NOT DISTINCT FROM s0.lang", 4, "top", "s", "e")}
+    SELECT doc_id, leaf, subroot, s4.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = s4.digest AS verified FROM e4, s4
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Tampered documents are folded with the proofs of the untampered ones."""
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    spoilt = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    told = F.when(spoilt & F.rlike("text", F.lit("[A-Z]")), manifest.leaf_digest([*fields, lowered]))
+    leaves = docs.select("doc_id", "lang", manifest.leaf_digest([*fields, F.col("text")]).alias("digest"), told.alias("claimed"))
+    proven = manifest.merkle_proofs(leaves, "lang", "doc_id", claimed="claimed")
+    hexed = {new: F.lower(F.hex(old)).alias(new) for old, new in (("digest", "leaf"), ("subroot", "subroot"), ("root", "root"), ("folded_root", "folded_root"))}
+    others = F.sha2(F.array_join(F.transform("proof", lambda x: F.lower(F.hex(x))), ""), 256).alias("proof_sha256")
+    return proven.select("doc_id", hexed["leaf"], hexed["subroot"], hexed["root"], others, hexed["folded_root"], "verified")
+
+
+@query("op12_conversation_repair")  # the brute force walks all edits with their letters
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return repair.repair_digest(turns, repair.damaged(turns))
+
+
+_CONTROL = r"(?:\[\\*/?INST\]|<\\*/?s>)"
+
+
+@query(
+    "op13_chat_formatting",
+    sql=rf"""
+    WITH said AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, v.turn, v.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+    numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+            17 + length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}')) AS written
+        FROM said),
+    upto AS (SELECT *, 3 + sum(written) OVER (PARTITION BY conv_id ORDER BY i) AS example FROM numbered)
+    SELECT conv_id, CAST(any_value(n) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(example) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+    FROM upto GROUP BY conv_id
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """One conversation more, whose texts are control strings of the template."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -1L AS conv_id, x.turn, x.role, '{control}' AS text FROM (VALUES (0L, 'user'), (1L, 'assistant')) x(turn, role)")
+    held = chat.read_back(chat.format_examples(turns.unionByName(more)))
+    turn_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    trained = F.array_join("trained", "")
+    return held.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turn_text, 256).alias("turns_sha256"), F.length(trained).cast("long").alias("loss_chars"),
+        F.sha2(trained, 256).alias("loss_sha256"), F.col("n_chars").alias("formatted_chars"),
+    )
