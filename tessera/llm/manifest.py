@@ -5,7 +5,7 @@ neighbours are hashed together, level by level, to the tree's subroot; the subro
 reduced in the same way to one root. The proof of a leaf are the other digests of each run
 on its way up, so one row can be held against the root without the rest of the dataset.
 
-``BLOCK`` neighbours, four levels of runs, are a superblock. Going up, each superblock gives
+Neighbours under four levels of runs, 4,096 of them, are a superblock. Going up, each superblock gives
 one digest, and these are the nodes of the next tier, until every tree is one node; the
 subroots are tiers of one further tree. Going down, the nodes of a tier are cogrouped by
 superblock with the one outer row the superblock needs: the proof of its own digest.
@@ -33,8 +33,7 @@ from tessera.operators.order import number_rows
 from tessera.runtime import keep, require_columns
 
 FAN = 8
-BLOCK_LEVELS = 4
-BLOCK = FAN**BLOCK_LEVELS  # nodes of a superblock
+BLOCK_LEVELS = 4  # a superblock has FAN ** BLOCK_LEVELS nodes
 
 
 def encoded(value: Column) -> Column:
@@ -61,10 +60,10 @@ def levels_of(n: int) -> int:
     return levels
 
 
-def _reduced(digests: list[bytes], n: int) -> list[list[bytes]]:
-    """The levels of a superblock, its own nodes first; ``n`` nodes are in the tier."""
-    levels = [digests]
-    for _ in range(min(BLOCK_LEVELS, levels_of(n))):
+def _reduced(nodes: pd.DataFrame, block_levels: int) -> list[list[bytes]]:
+    """The levels of a superblock, its own nodes first; ``n`` nodes are in its tier."""
+    levels = [list(nodes["digest"])]
+    for _ in range(min(block_levels, levels_of(int(nodes["n"].iloc[0])))):
         levels.append([_joined(levels[-1][i : i + FAN]) for i in range(0, len(levels[-1]), FAN)])
     return levels
 
@@ -78,18 +77,20 @@ def fold(leaf: bytes, path: Sequence[int], proof: Sequence[bytes]) -> bytes:
     return leaf
 
 
-def _block_root(nodes: pd.DataFrame) -> pd.DataFrame:
-    nodes = nodes.sort_values("place")
-    first = nodes.iloc[0]
-    return pd.DataFrame({"owner": [first["owner"]], "place": [first["block"]], "digest": [_reduced(list(nodes["digest"]), int(first["n"]))[-1][0]]})
+def _block_root(block_levels: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def root(nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("place")
+        return pd.DataFrame({"owner": nodes["owner"][:1], "place": nodes["block"][:1], "digest": _reduced(nodes, block_levels)[-1]})
 
+    return root
 
-def _proven(columns: list[str], folded: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+
+def _proven(columns: list[str], block_levels: int, folded: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def prove(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
         if nodes.empty:
             return pd.DataFrame(columns=columns)
         nodes = nodes.sort_values("place").reset_index(drop=True)
-        levels = _reduced(list(nodes["digest"]), int(nodes["n"].iloc[0]))
+        levels = _reduced(nodes, block_levels)
         # The other digests of the run of each node, once for all leaves below it.
         others = []
         for level in levels[:-1]:
@@ -110,37 +111,39 @@ def _proven(columns: list[str], folded: bool) -> Callable[[pd.DataFrame, pd.Data
     return prove
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("place") / BLOCK))
+def _blocks(nodes: DataFrame, block_levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("place") / FAN**block_levels))
 
 
-def _descend(nodes: DataFrame, outer: DataFrame, folded: bool = False) -> DataFrame:
+def _descend(nodes: DataFrame, outer: DataFrame, block_levels: int, folded: bool = False) -> DataFrame:
     """Path, proof, subroot and root of every node of a tier."""
-    nodes = _blocks(nodes)
+    nodes = _blocks(nodes, block_levels)
     binary = T.BinaryType()
     added = [T.StructField("path", T.ArrayType(T.IntegerType())), T.StructField("proof", T.ArrayType(binary)), T.StructField("subroot", binary), T.StructField("root", binary)]
     schema = T.StructType([*nodes.schema.fields, *added, *([T.StructField("folded_root", binary)] if folded else [])])
-    return nodes.groupBy("owner", "block").cogroup(outer.groupBy("owner", "block")).applyInPandas(_proven(schema.names, folded), schema)
+    return nodes.groupBy("owner", "block").cogroup(outer.groupBy("owner", "block")).applyInPandas(_proven(schema.names, block_levels, folded), schema)
 
 
-def _ascend(nodes: DataFrame, most: int) -> list[DataFrame]:
+def _ascend(nodes: DataFrame, most: int, block_levels: int) -> list[DataFrame]:
     """Tiers of (owner, place, n, digest) above ``nodes``, until each owner is one node.
     ``most`` is the largest owner's count of nodes."""
     tiers = []
     while most > 1:
-        roots = _blocks(nodes).select("owner", "block", "place", "n", "digest").groupBy("owner", "block").applyInPandas(_block_root, "owner long, place long, digest binary")
-        counts = nodes.groupBy("owner").agg(F.ceil(F.max("n") / BLOCK).alias("n"))
+        blocks = _blocks(nodes, block_levels).select("owner", "block", "place", "n", "digest").groupBy("owner", "block")
+        roots = blocks.applyInPandas(_block_root(block_levels), "owner long, place long, digest binary")
+        counts = nodes.groupBy("owner").agg(F.ceil(F.max("n") / FAN**block_levels).alias("n"))
         nodes = keep(keep(roots).join(counts, "owner").select("owner", "place", "n", "digest"))
         tiers.append(nodes)
-        most = -(-most // BLOCK)
+        most = -(-most // FAN**block_levels)
     return tiers
 
 
-def merkle_proofs(leaves: DataFrame, tree: str, key: str, digest: str = "digest", claimed: str | None = None) -> DataFrame:
+def merkle_proofs(leaves: DataFrame, tree: str, key: str, digest: str = "digest", claimed: str | None = None, block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """One row per row of ``leaves``: tree, key, place in the tree, digest, subroot, root,
     ``path`` (place in its run at each level), ``proof`` (the run's other digests at each
     level, 32 bytes each, put together), ``folded_root`` and ``verified``. What is folded
-    is ``claimed``, where it is given and not null, else the digest itself."""
+    is ``claimed``, where it is given and not null, else the digest itself. The size of a
+    superblock does not change the result."""
     require_columns(leaves, [tree, key, digest, claimed], "leaves")
     claim = F.col(claimed) if claimed else F.lit(None).cast("binary")
     rows = keep(leaves.select(F.col(tree).alias("tree"), F.col(key).alias("key"), F.col(digest).alias("digest"), claim.alias("claimed")))
@@ -153,20 +156,24 @@ def merkle_proofs(leaves: DataFrame, tree: str, key: str, digest: str = "digest"
     placed = numbered.join(named, F.col("tree").eqNullSafe(F.col("__tree"))).select(
         "owner", (F.col("place") - 1).alias("place"), "n", "tree", F.col("key").cast("string").alias("key"), "digest", "claimed"
     )
-    tiers = [placed, *_ascend(placed, size["most"] or 0)]
+    tiers = [placed, *_ascend(placed, size["most"] or 0, block_levels)]
     # A tree of one row has no tier above its leaf, so subroots are the last tier's nodes.
     subroots = tiers[-1].select(F.lit(0).cast("long").alias("owner"), (F.col("owner") - 1).alias("place"), F.lit(size["trees"]).cast("long").alias("n"), "digest")
-    upper = [subroots, *_ascend(subroots, size["trees"])]
-    outer = upper[-1].select("owner", F.lit(0).cast("long").alias("block"), F.expr("array()").cast("array<int>").alias("path"), F.expr("array()").cast("array<binary>").alias("proof"), F.lit(None).cast("binary").alias("subroot"), F.col("digest").alias("root"))
+    upper = [subroots, *_ascend(subroots, size["trees"], block_levels)]
+    zero = F.lit(0).cast("long")
+    outer = upper[-1].select(
+        zero.alias("owner"), zero.alias("block"), F.array().cast("array<int>").alias("path"), F.array().cast("array<binary>").alias("proof"),
+        F.lit(None).cast("binary").alias("subroot"), F.col("digest").alias("root"),
+    )
     for nodes in reversed(upper):
-        proven = _descend(nodes, outer)
+        proven = _descend(nodes, outer, block_levels)
         outer = keep(proven.select("owner", F.col("place").alias("block"), "path", "proof", F.col("digest").alias("subroot"), "root"))
     # The place of a subroot names its tree, whose last tier is one block.
-    outer = outer.select((F.col("block") + 1).alias("owner"), F.lit(0).cast("long").alias("block"), "path", "proof", "subroot", "root")
+    outer = outer.select((F.col("block") + 1).alias("owner"), zero.alias("block"), "path", "proof", "subroot", "root")
     for nodes in reversed(tiers[1:]):
-        proven = _descend(nodes, outer)
+        proven = _descend(nodes, outer, block_levels)
         outer = keep(proven.select("owner", F.col("place").alias("block"), "path", "proof", "subroot", "root"))
-    proven = _descend(placed, outer, folded=True)
+    proven = _descend(placed, outer, block_levels, folded=True)
     verified = F.col("folded_root") == F.col("root")
     return proven.select(
         F.col("tree").alias(tree), F.col("key").cast(leaves.schema[key].dataType).alias(key), "place", F.col("digest").alias(digest),
