@@ -89,6 +89,19 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*kept: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote. No plan that is still to run may read
+    them, so whatever depends on them must have been kept or collected."""
+    for df in kept:
+        spark = df.sparkSession
+        root = _shared_folder(spark).rstrip("/")
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            require(f"/{root.rsplit('/', 1)[-1]}/" in folder, f"{folder} is not a kept table")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized(kept: DataFrame) -> DataFrame:
     """Mark a materialised join side by its counted rows: broadcast if they are
     few, else a merge join. The merge hint also keeps Spark from broadcasting
