@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import keep
+from tessera.runtime import discard, keep
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,8 +14,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are linked to its smallest one, then its smaller neighbours are, so that a
     chain takes a number of rounds near the logarithm of its length and a hub
     is only ever grouped by map-side combined minima. Links in either order,
-    repeated links and links to oneself are fine; no links give no rows."""
-    edges = keep(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    repeated links and links to oneself are fine, and a link to or from null is
+    none; no links give no rows."""
+    edges = keep(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
@@ -28,7 +29,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select("u", "v", "m")
         after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v")))
-        edges = keep(after.where("u <> v").distinct())
+        before, edges = edges, keep(after.where("u <> v").distinct())
+        discard(before, large)
         # A round that changes no link ends it: two sums over the links tell.
         mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
         if mark == seen:

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.components import components
 from tessera.llm.words import Words, mix, slices, spaced_words, windows, words_of
-from tessera.runtime import keep, require, require_columns
+from tessera.runtime import discard, keep, require, require_columns
 
 SHINGLE = 3
 PERCENT = 90
@@ -114,6 +114,8 @@ class Plan:
         out = []
         if n > self.boundary or n * 100 >= self.percent * (self.boundary + 1):
             out.append(mix(first[: spare + 1] ^ _SINGLE))
+        elif n * self.percent <= 100:
+            out.append(mix(first[: spare + 1] ^ _SINGLE))  # one shared element may do
         if n <= self.boundary:
             i, j = np.triu_indices(len(first), 1)
             with np.errstate(over="ignore"):
@@ -255,8 +257,12 @@ def _homes(members: DataFrame, classes: DataFrame, elements: int) -> DataFrame:
     the parts of about ``elements`` elements into which that home is cut."""
     nearest = members.groupBy("node").agg(F.max(F.struct("popular", "head")).alias("h")).select("node", F.col("h.head").alias("home"))
     nearest = keep(nearest.join(classes.select("node", "n"), "node"))
-    sizes = nearest.groupBy("home").agg(F.ceil(F.sum("n") / elements).cast("int").alias("m"))
-    return keep(nearest.join(sizes, "home").select("node", "home", F.pmod(F.xxhash64("node"), F.col("m")).alias("part")))
+    # Only homes that are cut are looked up; they are at most the elements of all sets over those of a tile.
+    cut = keep(nearest.groupBy("home").agg(F.ceil(F.sum("n") / elements).cast("int").alias("m")).where("m > 1"))
+    parts = F.pmod(F.xxhash64("node"), F.coalesce("m", F.lit(1))).alias("part")
+    homes = keep(nearest.join(cut, "home", "left").select("node", "home", parts))
+    discard(nearest, cut)
+    return homes
 
 
 _PAIR = T.StructType([T.StructField("tile", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -292,11 +298,11 @@ def _pass(pairs: DataFrame, values: DataFrame, test: Callable[[int, np.ndarray,
 def _verified(
     pairs: DataFrame, homes: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int
 ) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Only the texts of documents in a
+    """The pairs (a, b) whose whole sets link, kept. Only the texts of documents in a
     pair are shuffled, once, after the wide bitmaps of large sets have had their
     say; the sets are made again where the texts arrive, and sent to the tiles in
     which they have partners."""
-    pairs = keep(_tiled(pairs, homes))
+    tiled = keep(_tiled(pairs, homes))
 
     def near(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
         if not len(x) or not len(y):
@@ -305,7 +311,8 @@ def _verified(
         apart = int(np.bitwise_count(_folded(x, longs) ^ _folded(y, longs)).sum())
         return apart <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
 
-    pairs = keep(_pass(pairs, classes.select("node", "n", F.col("wide").alias("x")), near))
+    pairs = keep(_pass(tiled, classes.select("node", "n", F.col("wide").alias("x")), near))
+    discard(tiled)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = keep(wanted.join(classes.select("node", "rep", "d1"), "node"))
     held = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
@@ -333,7 +340,9 @@ def _verified(
         return 100 * common >= percent * (n + m - common)
 
     values = sets.select("node", F.size("elements").cast("long").alias("n"), F.sort_array("elements").alias("x"))
-    return _pass(pairs, values, link).select("a", "b")
+    linked = keep(_pass(pairs, values, link).select("a", "b"))
+    discard(pairs, wanted)
+    return linked
 
 
 def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
@@ -400,54 +409,74 @@ def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
     return dealt.mapInArrow(scan, schema).distinct()
 
 
-def jaccard_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK,
-) -> DataFrame:
-    """One row per document: its id, version (a hash of its text), n_shingles and
-    component_id, the smallest id that links reach."""
-    require_columns(docs, [doc_id, text], "docs")
-    require(0 < percent <= 100 and shingle >= 1, "percent must be in 1 to 100, shingle at least 1")
+def _linked(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, block: int) -> DataFrame:
+    """(id, version, n, component, component_id) of each document; the component
+    is a number, null for a text without words. What is kept on the way goes as
+    soon as the table that is made of it is there."""
     plan = make_plan(docs, text, shingle, percent)
     sets = keep(_signatures(docs, doc_id, text, shingle, plan))
+    ids = keep(sets.select("id", "version", "n", "d1", "d2"))
     grouped = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("bitmap").alias("bitmap"), F.any_value("wide").alias("wide"))
     classes = keep(grouped.withColumn("node", F.monotonically_increasing_id()))
+    discard(sets)
     keyed = classes.select(F.explode("keys").alias("key"), "node")
     lists = keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     shared = keep(keyed.join(lists, "key"))
     # A set whose elements many others have, such as the one that copies come from, is popular.
     popular = shared.groupBy("node").agg(F.sum("size").alias("popular")).join(classes.select("node", F.size("keys").alias("k")), "node")
-    ranked = shared.join(keep(popular.select("node", (F.col("popular") / F.col("k")).alias("popular"))), "node")
-    heads = keep(ranked.groupBy("key").agg(F.max(F.struct("popular", "node")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.popular").alias("popular")))
+    ranked = keep(popular.select("node", (F.col("popular") / F.col("k")).alias("popular")))
+    heads = keep(shared.join(ranked, "node").groupBy("key").agg(F.max(F.struct("popular", "node")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.popular").alias("popular")))
     members = keep(shared.join(heads, "key"))
+    discard(lists, shared, ranked, heads)
     homes = _homes(members, classes, TILE)
     args = (homes, classes, docs, doc_id, text, shingle, percent)
     stars = members.where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     likely = stars.join(_named(classes, "a"), "a").join(_named(classes, "b"), "b").where(_alike("a", "b", percent)).select("a", "b")
-    links = keep(_verified(likely, *args))
+    links = _verified(likely, *args)
     found = keep(components(links))
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = placed.join(keep(mixed), "key").join(classes.select("node", "n", "bitmap"), "node")
-    more = keep(_verified(_across(left, percent, block), *args))
+    mixed = keep(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
+    left = placed.join(mixed, "key").join(classes.select("node", "n", "bitmap"), "node")
+    more = _verified(_across(left, percent, block), *args)
     named = keep(components(links.unionByName(more)))
     owned = keep(classes.join(named, "node", "left").select("n", "d1", "d2", "rep", F.coalesce("component", "node").alias("component")))
+    discard(members, homes, mixed, found, links, more, classes, named)
     least = keep(owned.groupBy("component").agg(F.min("rep").alias("component_id")))
-    final = keep(owned.join(least, "component").select("n", "d1", "d2", "component_id"))
-    out = sets.select("id", "version", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
-    return out.select(F.col("id").alias(doc_id), "version", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    final = keep(owned.join(least, "component").select("n", "d1", "d2", "component", "component_id"))
+    discard(owned, least)
+    out = ids.join(final, ["n", "d1", "d2"], "left")
+    return out.select("id", "version", "n", "component", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def jaccard_components(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK,
+) -> DataFrame:
+    """One row per document: its id, version (a hash of its text), n_shingles and
+    component_id, the smallest id that links reach."""
+    require_columns(docs, [doc_id, text], "docs")
+    require(0 < percent <= 100 and shingle >= 1, "percent must be in 1 to 100, shingle at least 1")
+    out = _linked(docs, doc_id, text, shingle, percent, block)
+    return out.select(F.col("id").alias(doc_id), "version", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents with all their columns, one of each component: the one of
-    smallest id. A text without words is alone in its component and stays. Rows
-    equal in id and text are one document, of which one row stays; rows without
-    an id that are linked to nothing with an id all stay."""
-    found = keep(jaccard_components(docs, doc_id, text, shingle, percent))
+    smallest id, of equal ids the one whose text has the least hash; a row without
+    an id stays only if no row of its component has one. Rows equal in id and text
+    are one document, of which one row stays. Texts without words all stay."""
+    require_columns(docs, [doc_id, text], "docs")
+    found = _linked(docs, doc_id, text, shingle, percent, BLOCK)
+    rows = keep(found.where("component IS NOT NULL").groupBy("component", "id", "version").agg(F.count(F.lit(1)).alias("times")))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "version", "times")).alias("b"))
+    chosen = keep(best.select(F.col("b.id").alias("__id"), F.col("b.version").alias("__version"), F.col("b.times").alias("__times")))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version"))
+    gone = keep(rows.join(chosen, same, "left_anti").select(F.col("id").alias("__id"), F.col("version").alias("__version")))
     version = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    gone = found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("__gone"), F.col("version").alias("__version")).distinct()
-    left = docs.join(gone, (F.col(doc_id) == F.col("__gone")) & (version == F.col("__version")), "left_anti")
-    # Several rows of one component may share the smallest id; that is rare, and looked for on the ids alone.
-    owners = found.where(F.col(doc_id).eqNullSafe(F.col("component_id")) & F.col(doc_id).isNotNull() & (F.col("n_shingles") > 0))
-    if owners.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+    mine = F.col(doc_id).eqNullSafe(F.col("__id")) & (version == F.col("__version"))
+    left = docs.join(gone, mine, "left_anti")
+    # Rows of one document are rare, and looked for on the ids alone.
+    repeated = keep(chosen.where("__times > 1").select("__id", "__version"))
+    if repeated.isEmpty():
         return left
-    return left.withColumn("__v", version).dropDuplicates([doc_id, "__v"]).drop("__v")
+    once = left.join(repeated, mine, "left_semi").withColumn("__v", version).dropDuplicates([doc_id, "__v"]).drop("__v")
+    return left.join(repeated, mine, "left_anti").unionByName(once)

@@ -42,14 +42,14 @@ def copies(spark, prose):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
 
 
-def shingles(text):
+def shingles(text, n):
     w = (text or "").lower().split()
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def linked(texts):
+def linked(texts, shingle=3, percent=90):
     """Components by comparing all pairs."""
-    sets = {i: shingles(t) for i, t in texts.items()}
+    sets = {i: shingles(t, shingle) for i, t in texts.items()}
     parent = {i: i for i in sets}
 
     def root(x):
@@ -60,7 +60,7 @@ def linked(texts):
     for a in sets:
         for b in sets:
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(s), root(i)) for i, s in sets.items()}
@@ -80,6 +80,29 @@ def test_any_boundary_and_order_find_the_same_links(copies, boundary, monkeypatc
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.jaccard_components(copies).collect()} == expected
 
 
+@pytest.mark.parametrize("percent", [30, 50, 60])
+@pytest.mark.parametrize("boundary", [0, 10, 10**6])
+def test_low_similarities_lose_no_link(spark, boundary, percent, monkeypatch):
+    """Sets that share one element only link at half or less."""
+    monkeypatch.setattr(setjoin, "choose_boundary", lambda sizes, others, percent: boundary)
+    pick = random.Random(percent)
+    texts = {i: " ".join(pick.sample("abcdefghijklmnop", pick.randint(1, 6))) for i in range(12)} | {90: "q", 91: "q r", 92: "q r s t"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.jaccard_components(docs, shingle=1, percent=percent).collect()}
+    assert got == linked(texts, 1, percent)
+
+
+def test_one_row_of_each_group_stays(spark, prose):
+    """Null and repeated ids, repeated rows and texts without words."""
+    a, b = prose(60, 1), prose(60, 2)
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(None, a), (6, a), (6, near), (7, near), (None, b), (None, b), (8, None), (8, ""), (8, ""), (9, prose(60, 3)), (9, prose(60, 4)), (6, prose(60, 5))]
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, version string, id int, component int")
+    left = [(r["doc_id"], r["text"]) for r in setjoin.keep_one(docs).collect()]
+    assert sorted(left, key=str) == sorted([r for r in rows[6:]] + [(None, b)] + [r for r in left if r[0] == 6 and r[1] in (a, near)], key=str)
+    assert sum(r[0] == 6 and r[1] in (a, near) for r in left) == 1
+
+
 def test_boundary_falls_with_cheap_lists_and_rises_with_long_ones():
     sizes = list(range(1, 2000))
     assert setjoin.choose_boundary(sizes, 0.0) < setjoin.choose_boundary(sizes, 500.0) < setjoin.choose_boundary(sizes, 10_000.0)
@@ -343,7 +366,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     everything = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {r["doc_id"] for r in corpus_pipeline.toxic_out(spark, everything, SMALL).collect()}
-    components_of = linked({i: docs[i]["text"] for i in kept})
+    components_of = linked({i: docs[i]["text"] for i in kept}, corpus_pipeline.NEAR_SHINGLE, corpus_pipeline.NEAR_PERCENT)
     kept = {i for i in kept if components_of[i][1] == i}
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     runs = set()
