@@ -5,9 +5,10 @@ them away, and a revision is the old version taken away and the new one added. C
 are additive, so a batch of changes is one small table of signed totals by source,
 language and tokenizer version, and the rollup is the sum of all batches.
 
-A batch is committed by writing the partition of its id. Writing it again, after a lost
-driver or a replayed feed, replaces that partition: no count enters twice. Totals read
-committed batches only; ``compact`` folds those up to an id into one.
+A batch is committed by writing the folder of its id. Writing it again, after a lost
+driver or a replayed feed, replaces that folder, also by an empty one: no count enters
+twice. Totals read committed batches only; ``compact`` folds those up to an id into one,
+and may be repeated too.
 
 Defined cases: a null text has no tokens but is a document; null sources and languages
 are groups of their own; groups whose counts cancel out stay, with zeros, unless
@@ -88,11 +89,12 @@ _STORED = T.StructType([
 
 
 def commit(delta: DataFrame, path: str, batch: int) -> None:
-    """Write the delta as batch ``batch``, in place of any earlier try. The
-    partition appears when the whole write has succeeded."""
+    """Write the delta as batch ``batch``, in place of any earlier try, of which
+    nothing is left even if the delta is empty. Its rows appear when the whole
+    write has succeeded."""
     require(batch >= 0, "batches are numbered from 0")
-    rows = delta.select(*[F.col(f.name).cast(f.dataType) for f in _STORED.fields[:-1]], F.lit(batch).cast("long").alias("batch")).coalesce(1)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    rows = delta.select(*[F.col(f.name).cast(f.dataType) for f in _STORED.fields[:-1]]).coalesce(1)
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def batches(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +112,9 @@ def totals(spark: SparkSession, path: str, upto: int | None = None, nonzero: boo
 
 def compact(spark: SparkSession, path: str, upto: int, target: str) -> None:
     """Write the batches up to ``upto`` as one, and the later ones as they are,
-    to a new folder; readers move over when it is whole."""
-    commit(totals(spark, path, upto), target, upto)
+    to another folder, in place of all that is there; readers move over when it is
+    whole. Batches are small tables of totals, whatever the documents were."""
+    folded = totals(spark, path, upto).withColumn("batch", F.lit(upto).cast("long"))
     later = batches(spark, path).where(F.col("batch") > upto)
-    later.write.mode("append").partitionBy("batch").parquet(target)
+    together = folded.unionByName(later).repartition("batch")
+    together.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch").parquet(target)
