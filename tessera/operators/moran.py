@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.columns import numeric
 from tessera.functions.geo import normal_sf
 from tessera.operators.near import knn_edges
 from tessera.operators.order import number_rows
 from tessera.operators.quantiles import quantile_table
-from tessera.runtime import attach, keep, require, require_columns, sized
+from tessera.runtime import attach, keep, lookup, require, require_columns
 
 # Cluster names by Moran quadrant, and the significance level.
 QUADRANTS = {1: "high_high", 2: "low_high", 3: "low_low", 4: "high_low"}
 SIGNIFICANCE = 0.05
+# Random neighbour sets behind a pseudo p-value, and rows compared with all of them at once.
+PERMUTATIONS = 999
+_BLOCK = 1_024
 
 
 def moran(
@@ -27,15 +33,16 @@ def moran(
     k: int = 8,
     by: str | None = None,
     id: str = "cell_id",
-    permutations: int | None = None,
+    permutations: int | None = PERMUTATIONS,
     seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """Global and local Moran statistics with row-standardised kNN weights.
 
     Returns one row per group, and the rows with ``local_moran_i``, its pseudo
-    p-value, quadrant and cluster label. The p-value is the one-sided normal
-    tail of the lag under conditional randomisation; with ``permutations`` it is
-    counted from that many seeded random neighbour sets instead.
+    p-value, quadrant and cluster label. The p-value is counted from
+    ``permutations`` seeded random neighbour sets (``conditional_p``); without
+    them it is the one-sided normal tail of the lag under conditional
+    randomisation. The global p-value is the normal one.
     """
     keys = [by] if by else []
     require_columns(df, [score, x, y, id, *keys])
@@ -65,7 +72,7 @@ def moran(
         "__p_normal": _conditional_p(n, z, lag, F.col("__k"), m2),
     })
     if permutations:
-        local = _permuted(local, rows, keys, id, k, permutations, seed)
+        local = _permuted(keep(local), rows, keys, id, permutations, seed)
     else:
         local = local.withColumn("local_moran_p", F.col("__p_normal"))
     label = F.when(F.col("local_moran_p") >= SIGNIFICANCE, "not_significant")
@@ -122,24 +129,78 @@ def _global_p(i: Column, n: Column, s1: Column, s2: Column) -> Column:
     return F.when(variance > 0, normal_sf(F.abs(i - mean) / F.sqrt(variance)))
 
 
+def neighbour_draws(sizes: DataFrame, keys: Sequence[str], n: str, k: str, permutations: int, seed: int) -> DataFrame:
+    """(keys, r, j, place) of ``permutations`` random sets of ``k`` different places
+    in 0 to n - 2, the places of a row's other rows. ``sizes`` has n and k of each
+    group. A set is drawn without replacement: the hash of (seed, r, j) picks one of
+    the places that are left, counted from the lowest."""
+    sets = sizes.select(*keys, n, k, F.explode(F.sequence(F.lit(1), F.lit(int(permutations)))).alias("r"))
+
+    def added(drawn: Column, j: Column) -> Column:
+        code = F.md5(F.concat_ws(":", F.lit(int(seed)), F.col("r"), j).cast("binary"))
+        rank = F.pmod(F.conv(F.substring(code, 1, 12), 16, 10).cast("bigint"), F.col(n) - j)
+        place = F.aggregate(F.array_sort(drawn), rank, lambda t, c: t + (t >= c).cast("bigint"))
+        return F.array_append(drawn, place)
+
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col(k).cast("int")), F.array().cast("array<bigint>"), added)
+    return sets.select(*keys, "r", F.posexplode(drawn).alias("j", "place"))
+
+
+def _extreme(keys: list[str], id: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    names = [*keys, id, "local_moran_p"]
+
+    def count(block: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        if block.empty or drawn.empty:
+            return pd.DataFrame(columns=names)
+        own = block["__i"].to_numpy()[:, None]
+        place, low, high = (np.stack(list(drawn[c].iloc[0])) for c in ("place", "low", "high"))
+        sums = np.zeros((len(block), len(place)))
+        for j in range(place.shape[1]):
+            # Places behind the row's own move up by one.
+            sums += np.where(place[:, j] + 1 < own, low[:, j], high[:, j])
+        z = block["__z"].to_numpy()[:, None]
+        larger = (z * (sums / place.shape[1]) >= z * block["__lag"].to_numpy()[:, None]).sum(axis=1)
+        out = block[[*keys, id]].copy()
+        out["local_moran_p"] = (np.minimum(larger, len(place) - larger) + 1.0) / (len(place) + 1.0)
+        return out[names]
+
+    return count
+
+
 def _permuted(
-    local: DataFrame, rows: DataFrame, keys: list[str], id: str, k: int, permutations: int, seed: int
+    local: DataFrame, rows: DataFrame, keys: list[str], id: str, permutations: int, seed: int
 ) -> DataFrame:
-    """Pseudo p-values from seeded random neighbours of each row: the share of
-    draws at least as extreme as the observed lag."""
-    dense = number_rows(rows.select(*keys, id, F.col("__z").alias("__zd")), keys, [F.col(id)], "__i")
-    dense = keep(dense.select(*keys, F.col("__i").cast("bigint"), "__zd", F.col(id).alias("__d")))
-    own = dense.select(*keys, F.col("__d").alias(id), F.col("__i").alias("__own"))
-    draws = local.select(*keys, id, "__n", "__k", "__z", "__lag").join(own, [*keys, id]).withColumn(
-        "__r", F.explode(F.sequence(F.lit(1), F.lit(int(permutations))))
-    ).withColumn("__j", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int"))))
-    pick = F.pmod(F.xxhash64(F.col(id), F.col("__r"), F.col("__j"), F.lit(seed)), F.col("__n") - 1) + 1
-    # Skipping over the row's own place keeps it out of its random neighbours.
-    draws = draws.withColumn("__i", pick)
-    draws = draws.withColumn("__i", F.when(F.col("__i") >= F.col("__own"), F.col("__i") + 1).otherwise(F.col("__i")))
-    lags = draws.join(sized(dense.drop("__d")), [*keys, "__i"]).groupBy(*keys, id, "__r").agg(
-        (F.first("__z") * F.avg("__zd")).alias("__sim"), (F.first("__z") * F.first("__lag")).alias("__obs")
-    )
-    larger = F.count_if(F.col("__sim") >= F.col("__obs"))
-    p = (F.least(larger, F.lit(permutations) - larger) + 1) / F.lit(permutations + 1.0)
-    return local.join(lags.groupBy(*keys, id).agg(p.alias("local_moran_p")), [*keys, id])
+    """Add pseudo p-values by conditional permutation: the share of random sets of
+    other rows, drawn without replacement, whose mean is at least as extreme as the
+    observed lag.
+
+    The sets are places in the order of ``id`` and the same for all rows of a group.
+    Only the values at those places, P x k of them and their neighbours, are looked up
+    and put into arrays; rows meet them in blocks of bounded size, as matrices. So
+    what is shuffled grows with the rows, not with rows x P x k.
+    """
+    dense = keep(number_rows(rows.select(*keys, id, "__z"), keys, [F.col(id)], "__i").withColumn("__i", F.col("__i").cast("bigint")))
+    sizes = local.groupBy(*keys) if keys else local
+    small = lookup(sizes.agg(F.first("__n").alias("n"), F.max("__k").alias("k")))
+    draws = keep(neighbour_draws(small, keys, "n", "k", permutations, seed))
+    both = draws.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("up")).withColumn("__i", F.col("place") + F.col("up"))
+    # The highest place has no row above it, and is always met as the row above.
+    found = both.join(dense.select(*keys, "__i", F.col("__z").alias("v")), [*keys, "__i"], "left")
+    cells = found.groupBy(*keys, "r", "j", "place").agg(F.max(F.when(F.col("up") == 1, F.col("v"))).alias("low"), F.max(F.when(F.col("up") == 2, F.col("v"))).alias("high"))
+    sets = cells.groupBy(*keys, "r").agg(F.sort_array(F.collect_list(F.struct("j", "place", "low", "high"))).alias("s"))
+    grouped = sets.groupBy(*keys) if keys else sets.groupBy()
+    # One row per group, of P x k entries whatever the group's rows.
+    listed = grouped.agg(F.sort_array(F.collect_list(F.struct("r", "s"))).alias("a"))
+
+    def matrix(name: str) -> Column:
+        return F.transform("a", lambda x: F.transform(x["s"], lambda y: y[name])).alias(name)
+
+    arrays = keep(listed.select(*keys, *[matrix(c) for c in ("place", "low", "high")]))
+    observed = dense.drop("__z").join(local.select(*keys, id, F.col("__z").cast("double").alias("__z"), F.col("__lag").cast("double").alias("__lag")), [*keys, id])
+    blocked = observed.withColumn("__block", F.floor(F.col("__i") / _BLOCK))
+    each = arrays.join(small.select(*keys, "n"), keys) if keys else arrays.crossJoin(small.select("n"))
+    sent = each.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("n") / _BLOCK)))).drop("n")
+    schema = T.StructType([*[local.schema[c] for c in (*keys, id)], T.StructField("local_moran_p", T.DoubleType())])
+    on = [*keys, "__block"]
+    p = blocked.groupBy(*on).cogroup(sent.groupBy(*on)).applyInPandas(_extreme(keys, id), schema)
+    return local.join(p, [*keys, id])

@@ -201,22 +201,39 @@ lm AS (SELECT cell_id, city, n, m, sd, z, lag, m2, (n - 1) * z * lag / m2 AS loc
     WHEN local_moran_quadrant = 1 THEN 'high_high' WHEN local_moran_quadrant = 2 THEN 'low_high' WHEN local_moran_quadrant = 3 THEN 'low_low' ELSE 'high_low' END
     AS local_moran_cluster FROM lm""", ["local_moran_i", "local_moran_p"], CUSTOMER + "," + MORAN)
 def _(spark, sf):
-    return moran.moran(spots(spark, sf), "score", by="city")[1].select(
+    return moran.moran(spots(spark, sf), "score", by="city", permutations=None)[1].select(
         "cell_id", "local_moran_i", "local_moran_p", "local_moran_quadrant", "local_moran_cluster"
     )
 
 
-@query("moran_global", """
-    SELECT city, any_value(n) AS n_observations, CAST(8 AS BIGINT) AS k_neighbors, sum(z * lag) / any_value(m2) AS moran_i,
-    any_value(m) AS score_mean, any_value(sd) AS score_std FROM lm GROUP BY 1""",
-       ["moran_i", "score_mean", "score_std"], CUSTOMER + "," + MORAN)
+_NORMAL_TAIL = """exp(-dev * dev / 2) / sqrt(2 * pi()) * (0.319381530::DOUBLE * t - 0.356563782::DOUBLE * t ^ 2 + 1.781477937::DOUBLE * t ^ 3 - 1.821255978::DOUBLE * t ^ 4 + 1.330274429::DOUBLE * t ^ 5)"""
+
+
+@query("moran_global", f"""
+    SELECT city, n_observations, k_neighbors, moran_i, score_mean, score_std, {_NORMAL_TAIL} AS moran_p FROM (
+        SELECT *, 1.0 / (1.0 + 0.2316419::DOUBLE * dev) AS t FROM (SELECT *, abs(moran_i + 1.0 / (n - 1)) / sqrt((n * n * s1 - n * s2 + 3 * n * n) / ((n - 1) * (n + 1) * n * n) - 1.0 / (n - 1) ^ 2) AS dev FROM (
+            SELECT city, any_value(n) AS n_observations, any_value(n)::DOUBLE AS n, CAST(8 AS BIGINT) AS k_neighbors, sum(z * lag) / any_value(m2) AS moran_i, any_value(m) AS score_mean, any_value(sd) AS score_std
+            FROM lm GROUP BY 1) JOIN sym USING (city) JOIN ins USING (city)))""",
+       ["moran_i", "moran_p", "score_mean", "score_std"], CUSTOMER + "," + MORAN + """,
+sym AS (SELECT city, sum(w * w) / 2 AS s1 FROM (SELECT city, src, dst, sum(0.125::DOUBLE) AS w FROM (SELECT city, src, dst FROM near UNION ALL SELECT city, dst, src FROM near) GROUP BY ALL) GROUP BY 1),
+ins AS (SELECT city, sum((1 + coalesce(c, 0) / 8.0::DOUBLE) ^ 2) AS s2 FROM spot LEFT JOIN (SELECT dst AS cell_id, count(*) AS c FROM near GROUP BY 1) USING (cell_id) GROUP BY 1)""")
 def _(spark, sf):
-    return moran.moran(spots(spark, sf), "score", by="city")[0].drop("moran_p")
+    return moran.moran(spots(spark, sf), "score", by="city", permutations=None)[0]
 
 
-@query("moran_permutation")
+@query("moran_permutation", """
+    SELECT cell_id, (least(larger, 999 - larger) + 1) / 1000.0::DOUBLE AS local_moran_p, local_moran_i,
+    CASE WHEN (least(larger, 999 - larger) + 1) / 1000.0::DOUBLE >= 0.05 THEN 'not_significant' WHEN local_moran_quadrant = 1 THEN 'high_high'
+    WHEN local_moran_quadrant = 2 THEN 'low_high' WHEN local_moran_quadrant = 3 THEN 'low_low' ELSE 'high_low' END AS local_moran_cluster
+    FROM (SELECT cell_id, count(*) FILTER (sim >= z * lag) AS larger FROM sims GROUP BY 1) JOIN lm USING (cell_id)""",
+       ["local_moran_i"], CUSTOMER + "," + MORAN + """,
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY city ORDER BY cell_id) AS i FROM lm),
+coded AS (SELECT city, n, r, list_transform(range(1, 9), lambda j: [('0x' || substr(md5('42:' || r || ':' || j), 1, 12))::BIGINT]) AS h FROM (SELECT DISTINCT city, n FROM lm), range(1, 1000) x(r)),
+drawn AS MATERIALIZED (SELECT city, r, unnest(list_reduce(list_prepend([]::BIGINT[], h), lambda a, x: list_append(a, list_reduce(list_prepend(x[1] % (n - 1 - len(a)), list_sort(a)), lambda t, c: t + (t >= c)::BIGINT)))) AS q FROM coded),
+known AS MATERIALIZED (SELECT d.city, r, q, lo.z AS low, hi.z AS high FROM drawn d JOIN placed lo ON lo.city = d.city AND lo.i = q + 1 LEFT JOIN placed hi ON hi.city = d.city AND hi.i = q + 2),
+sims AS (SELECT cell_id, r, any_value(z) * avg(CASE WHEN q + 1 < i THEN low ELSE high END) AS sim, any_value(z) AS z, any_value(lag) AS lag FROM placed JOIN known USING (city) GROUP BY ALL)""")
 def _(spark, sf):
-    return moran.moran(spots(spark, sf), "score", by="city", permutations=99)[1].select(
+    return moran.moran(spots(spark, sf), "score", by="city")[1].select(
         "cell_id", "local_moran_i", "local_moran_p", "local_moran_cluster"
     )
 

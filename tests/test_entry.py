@@ -12,8 +12,8 @@ def test_contract():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 100
     assert all(callable(q) for q in queries.values())
-    # Queries without SQL: random permutations and fitted models.
-    assert set(QUERIES) - set(sql) == {"moran_permutation", "kmeans_groups", "run_benchmark"}
+    # Queries without SQL: fitted models.
+    assert set(QUERIES) - set(sql) == {"kmeans_groups", "run_benchmark"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the supplied tables")

@@ -284,7 +284,7 @@ def test_patches(spark):
 def test_moran_finds_clusters(spark):
     data = [(i, "A", float(i % 10), float(i // 10), 100.0 if i % 10 < 5 else 0.0) for i in range(100)]
     df = spark.createDataFrame(data, "cell_id int, city string, x double, y double, score double")
-    overall, local = moran.moran(df, "score", k=4)
+    overall, local = moran.moran(df, "score", k=4, permutations=None)
     assert rows(overall)[0]["moran_i"] > 0.7 and rows(overall)[0]["moran_p"] < 1e-6
     labels = {r["cell_id"]: r["local_moran_cluster"] for r in local.collect()}
     assert labels[50] == "high_high" and labels[59] == "low_low"
@@ -292,6 +292,52 @@ def test_moran_finds_clusters(spark):
         moran.moran(df.limit(2), "score")
 
 
+def test_neighbour_draws_are_without_replacement(spark):
+    sizes = spark.createDataFrame([("a", 9, 8), ("b", 200, 4), ("c", 3, 2)], "g string, n long, k long")
+    sets, places = {}, {}
+    for r in moran.neighbour_draws(sizes, ["g"], "n", "k", 400, 1).collect():
+        sets.setdefault((r["g"], r["r"]), []).append(r["place"])
+        places.setdefault(r["g"], []).append(r["place"])
+    assert len(sets) == 3 * 400 and all(len(set(s)) == len(s) for s in sets.values())
+    assert {g: len(s) for (g, _), s in sets.items()} == {"a": 8, "b": 4, "c": 2}
+    assert {g: (min(p), max(p)) for g, p in places.items()} == {"a": (0, 7), "b": (0, 198), "c": (0, 1)}
+    counts = [places["b"].count(p) for p in range(199)]
+    assert max(counts) < 3 * sum(counts) / 199  # no place is favoured
+
+
+@pytest.mark.parametrize("by", [None, "city"])
+def test_permutation_p_equals_counting_all_sets(spark, by, monkeypatch):
+    """Against loops over the same sets; rows of several blocks and two groups."""
+    import random
+
+    monkeypatch.setattr(moran, "_BLOCK", 7)
+    pick = random.Random(4)
+    data = [(i, "AB"[i % 3 == 0], pick.random(), pick.random(), pick.choice([None, 1.0, 5.0, pick.random()])) for i in range(50)]
+    df = spark.createDataFrame(data, "cell_id int, city string, x double, y double, score double")
+    _, local = moran.moran(df, "score", k=3, by=by, permutations=60, seed=9)
+    _, normal = moran.moran(df, "score", k=3, by=by, permutations=None)
+    got, plain = ({r["cell_id"]: r for r in t.collect()} for t in (local, normal))
+    groups = {}
+    for i, city, x, y, score in data:
+        groups.setdefault(city if by else "all", []).append((i, x, y, score))
+    sizes = spark.createDataFrame([(g, len(rows), 3) for g, rows in groups.items()], "g string, n long, k long")
+    sets = {}
+    for r in moran.neighbour_draws(sizes, ["g"], "n", "k", 60, 9).collect():
+        sets.setdefault((r["g"], r["r"]), []).append(r["place"])
+    for g, members in groups.items():
+        known = sorted(s for *_, s in members if s is not None)
+        median = (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2
+        y = [median if s is None else s for *_, s in members]
+        z = [v - sum(y) / len(y) for v in y]
+        for i, (cell, cx, cy, _) in enumerate(members):
+            near = sorted(((x - cx) ** 2 + (yy - cy) ** 2, c, z[j]) for j, (c, x, yy, _) in enumerate(members) if j != i)[:3]
+            lag = sum(v for *_, v in near) / 3
+            others = z[:i] + z[i + 1 :]
+            larger = sum(z[i] * (sum(others[p] for p in s) / 3) >= z[i] * lag - 1e-12 for (h, _), s in sets.items() if h == g)
+            assert got[cell]["local_moran_p"] == (min(larger, 60 - larger) + 1) / 61, cell
+            assert math.isclose(got[cell]["local_moran_i"], plain[cell]["local_moran_i"], rel_tol=1e-9)
+
+
 def test_utm_matches_known_point(spark):
     # A survey mark at 9 E on the central meridian of zone 32.
     df = spark.createDataFrame([("a", 9.0, 0.0), ("a", 9.0, 48.0)], "g string, lon double, lat double")
