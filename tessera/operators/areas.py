@@ -239,6 +239,60 @@ def grid(edges: DataFrame, cell_size: float = 500.0, by: str = "city", unit: str
     )
 
 
+def _widest_spans(pieces: DataFrame, cell: Sequence[str], size: Column) -> DataFrame:
+    """(cell, across, along): the middle of the widest stretch inside the boundary on
+    one line through a cell. ``pieces`` has the ends ``u1, v1, u2, v2`` of directed
+    boundary pieces with the inside on their left, and the cell's corner ``u0``.
+
+    The line goes through the tallest piece of the cell, between two heights at which
+    pieces end, so it meets pieces between their ends only. A piece that goes up has
+    the inside before it, one that goes down has it behind.
+    """
+    cell = list(cell)
+    tall = pieces.where("v1 <> v2").groupBy(*cell).agg(F.max_by((F.col("v1") + F.col("v2")) / 2.0, F.struct(F.abs(F.col("v2") - F.col("v1")), "v1", "u1")).alias("__mid"))
+    ends = pieces.select(*cell, F.explode(F.array("v1", "v2")).alias("v")).join(keep(tall), cell)
+    below, above = F.max(F.when(F.col("v") <= F.col("__mid"), F.col("v"))), F.min(F.when(F.col("v") > F.col("__mid"), F.col("v")))
+    lines = keep(ends.groupBy(*cell).agg(((below + above) / 2.0).alias("along")))
+    met = pieces.join(lines, cell).where((F.col("v1") > F.col("along")) != (F.col("v2") > F.col("along")))
+    at = F.col("u1") + (F.col("along") - F.col("v1")) * (F.col("u2") - F.col("u1")) / (F.col("v2") - F.col("v1"))
+    ordered = Window.partitionBy(*cell).orderBy("__at", "__up")
+    crossed = met.select(*cell, "along", "u0", at.alias("__at"), (F.col("v2") > F.col("v1")).alias("__up")).withColumns({
+        "__first": F.row_number().over(ordered) == 1, "__next": F.coalesce(F.lead("__at").over(ordered), F.col("u0") + size)
+    })
+    spans = F.array(
+        F.when(~F.col("__up"), F.struct(F.col("__at").alias("a"), F.col("__next").alias("b"))),
+        F.when(F.col("__up") & F.col("__first"), F.struct(F.col("u0").alias("a"), F.col("__at").alias("b"))),
+    )
+    found = crossed.select(*cell, "along", F.explode(spans).alias("s")).where("s IS NOT NULL")
+    middle = F.max_by((F.col("s.a") + F.col("s.b")) / 2.0, F.struct(F.col("s.b") - F.col("s.a"), -F.col("s.a")))
+    return found.groupBy(*cell).agg(middle.alias("across"), F.first("along").alias("along"))
+
+
+def interior_points(edges: DataFrame, cells: DataFrame, cell_size: float = 500.0, by: str = "city") -> DataFrame:
+    """Add ``inner_x`` and ``inner_y`` to the cells that ``grid`` made: a point inside
+    both the cell and the boundary, also where the centroid of a concave piece lies
+    outside. Cells that the boundary does not cut have their middle."""
+    s = F.lit(float(cell_size))
+    rings = edges if "ring" in edges.columns else edges.withColumn("ring", F.lit(0))
+    turned = _oriented(_local(rings, lookup(grid_origins(rings, by)), by), [by], "ring").select(by, "x1", "y1", "x2", "y2")
+    cell = [by, "ix", "iy"]
+    left, low = F.col("ix") * s, F.col("iy") * s
+    # A piece along the cell's border cuts nothing off.
+    border = (F.col("x1") == F.col("x2")) & F.col("x1").isin(left, left + s) | (F.col("y1") == F.col("y2")) & F.col("y1").isin(low, low + s)
+    pieces = keep(split_on_grid(turned, s).where(~border))
+    ends = ("x1", "y1", "x2", "y2")
+    across = pieces.select(*cell, *[F.col(c).alias(n) for c, n in zip(ends, ("u1", "v1", "u2", "v2"), strict=True)], left.alias("u0"))
+    level = keep(_widest_spans(across, cell, s).select(*cell, F.col("across").alias("__px"), F.col("along").alias("__py")))
+    # Cells with level pieces alone are looked at from the side; a mirrored piece runs the other way.
+    flat = pieces.join(level.select(*cell), cell, "left_anti")
+    mirrored = flat.select(*cell, F.col("y2").alias("u1"), F.col("x2").alias("v1"), F.col("y1").alias("u2"), F.col("x1").alias("v2"), low.alias("u0"))
+    upright = _widest_spans(mirrored, cell, s).select(*cell, F.col("along").alias("__px"), F.col("across").alias("__py"))
+    inner = lookup(level.unionByName(upright))
+    return cells.join(inner, cell, "left").withColumns({
+        "inner_x": F.coalesce(F.col("origin_x") + F.col("__px"), F.col("x0") + s / 2.0), "inner_y": F.coalesce(F.col("origin_y") + F.col("__py"), F.col("y0") + s / 2.0)
+    }).drop("__px", "__py")
+
+
 def centroids(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Area and centroid of each polygon from moments of its edges."""
     keys = list(keys)

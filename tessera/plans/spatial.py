@@ -8,6 +8,7 @@ from tessera.functions import columns as C
 from tessera.operators import areas, features, moran, near, raster, targets
 from tessera.plans import roles
 from tessera.plans.registry import query
+from tessera.runtime import keep
 from tessera.sources import geojson
 
 D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
@@ -341,6 +342,25 @@ def _(spark, sf):
     return areas.grid(multipart(spark, sf)).select("city", "ix", "iy", "area_m2")
 
 
+@query("interior_points", """
+    SELECT city, ix, iy, true AS in_cell, true AS in_boundary FROM (
+        SELECT city, ix, iy, sum(m) AS area_m2 FROM (
+            SELECT city, ix, iy, sign * greatest(0.0, least(a1, x0 + ix * 500.0 + 500.0) - greatest(a0, x0 + ix * 500.0))
+                * greatest(0.0, least(b1, y0 + iy * 500.0 + 500.0) - greatest(b0, y0 + iy * 500.0)) AS m
+            FROM (SELECT *, unnest(range(0, CAST(ceil((y1 - y0) / 500.0) AS BIGINT))) AS iy
+                FROM (SELECT *, unnest(range(0, CAST(ceil((x1 - x0) / 500.0) AS BIGINT))) AS ix FROM rects)))
+        GROUP BY 1, 2, 3 HAVING sum(m) > 1e-6)""", base=RECTS)
+def _(spark, sf):
+    edges = multipart(spark, sf)
+    found = keep(areas.interior_points(edges, areas.grid(edges)))
+    held = F.col("inner_x").between(F.col("x0"), F.col("x1")) & F.col("inner_y").between(F.col("y0"), F.col("y1"))
+    points = found.select("city", F.col("inner_x").alias("qx"), F.col("inner_y").alias("qy"))
+    hits = areas.containing_units(points.distinct(), edges.withColumn("unit", F.lit(0)), "city", "unit")
+    named = keep(hits.select("city", F.col("qx").alias("inner_x"), F.col("qy").alias("inner_y"), F.lit(True).alias("hit")))
+    joined = found.join(named, ["city", "inner_x", "inner_y"], "left")
+    return joined.select("city", "ix", "iy", held.alias("in_cell"), F.coalesce("hit", F.lit(False)).alias("in_boundary"))
+
+
 @query("grid_cells", """
     SELECT city, regexp_replace(lower(city), '[^a-z0-9]+', '_', 'g') || '_' || lpad(CAST(row_number() OVER (PARTITION BY city ORDER BY ix, iy) AS VARCHAR), 5, '0') AS cell_id,
     ix, iy, cx0 AS x0, cy0 AS y0, (cx1 - cx0) * (cy1 - cy0) AS area_m2, (cx1 - cx0) * (cy1 - cy0) / 1000000.0 AS area_km2,

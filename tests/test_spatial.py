@@ -292,6 +292,33 @@ def test_moran_finds_clusters(spark):
         moran.moran(df.limit(2), "score")
 
 
+def test_interior_points_of_concave_cells(spark):
+    """Stars, combs and a ring with a hole: every point lies in its cell and inside."""
+    import random
+
+    pick = random.Random(8)
+    rings = []
+    for c in range(6):
+        n = 40
+        reach = [pick.uniform(150, 900) for _ in range(n)]
+        turned = [(900 + r * math.cos(2 * math.pi * i / n), 900 + r * math.sin(2 * math.pi * i / n)) for i, r in enumerate(reach)]
+        rings.append((f"star{c}", 0, turned if c % 2 else turned[::-1]))
+    comb = [(0.0, 0.0)] + [p for i in range(12) for p in ((130.0 * i, 950.0), (130.0 * i + 10, 950.0), (130.0 * i + 20, 30.0), (130.0 * i + 120, 30.0))] + [(1600.0, 0.0)]
+    rings += [("comb", 0, comb), ("hole", 0, [(0.0, 0.0), (1250.0, 0.0), (1250.0, 1250.0), (0.0, 1250.0)]), ("hole", 1, [(20.0, 20.0), (20.0, 1230.0), (1230.0, 1230.0), (1230.0, 20.0)])]
+    rings.append(("flat", 0, [(0.0, 0.0), (1000.0, 0.0), (1000.0, 620.0), (0.0, 620.0)]))
+    data = [(g, r, *p, *q) for g, r, ring in rings for p, q in zip(ring, ring[1:] + ring[:1], strict=True)]
+    edges = spark.createDataFrame(data, "city string, ring int, x1 double, y1 double, x2 double, y2 double")
+    out = areas.interior_points(edges, areas.grid(edges)).collect()
+    assert len(out) > 70
+    outside = 0
+    for r in out:
+        def odd(x, y):
+            return sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for g, _, x1, y1, x2, y2 in data if g == r["city"]) % 2  # noqa: B023
+        assert r["x0"] < r["inner_x"] < r["x1"] and r["y0"] < r["inner_y"] < r["y1"] and odd(r["inner_x"], r["inner_y"]), r
+        outside += not odd(r["x"], r["y"])
+    assert outside > 3  # centroids do lie outside
+
+
 def test_neighbour_draws_are_without_replacement(spark):
     sizes = spark.createDataFrame([("a", 9, 8), ("b", 200, 4), ("c", 3, 2)], "g string, n long, k long")
     sets, places = {}, {}
