@@ -30,34 +30,85 @@ def edges_from_rings(rings: DataFrame, keys: Sequence[str], points: str = "point
     )
 
 
+def _index_frame(edges: DataFrame, group: str) -> DataFrame:
+    """Per group: origin and side of square index cells. There are about as many
+    cells as edges, and an edge covers two of them on average."""
+    low = [F.least("x1", "x2"), F.least("y1", "y2")]
+    high = [F.greatest("x1", "x2"), F.greatest("y1", "y2")]
+    wide, tall = high[0] - low[0], high[1] - low[1]
+    extent = F.greatest(F.max(high[0]) - F.min(low[0]), F.max(high[1]) - F.min(low[1]))
+    side = F.greatest(extent / F.sqrt(F.count(F.lit(1))), F.avg(F.greatest(wide, tall)), extent * 1e-6)
+    return edges.groupBy(group).agg(
+        F.min(low[0]).alias("__ox"), F.min(low[1]).alias("__oy"), F.when(side > 0, side).otherwise(1.0).alias("__side")
+    )
+
+
+def _place(value: Column, origin: str) -> Column:
+    return F.floor((value - F.col(origin)) / F.col("__side"))
+
+
+def unit_index(edges: DataFrame, group: str, unit: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A two-level index of units: the frame of each group, its cells (``group,
+    unit, __row, __col, __edge``, true where the outline may pass), and the
+    edges by the rows they reach. A cell without an edge is wholly inside or
+    outside its unit; those outside are not in the table. Inside cells are at
+    most the grid's cells for each layer of overlapping units.
+    """
+    frame = lookup(_index_frame(edges, group))
+    x1, y1, x2, y2, side = (F.col(c) for c in ("x1", "y1", "x2", "y2", "__side"))
+    rows = F.sequence(_place(F.least(y1, y2), "__oy"), _place(F.greatest(y1, y2), "__oy"))
+    banded = keep(
+        edges.select(group, unit, "x1", "y1", "x2", "y2").join(frame, group).withColumn("__row", F.explode(rows))
+    )
+    # The part of an edge within its row, a little widened, covers these cells.
+    floor = F.col("__oy") + F.col("__row") * side
+
+    def at(y: Column) -> Column:
+        return F.when(y1 == y2, x1).otherwise(x1 + (y - y1) * (x2 - x1) / (y2 - y1))
+
+    def cut(y: Column) -> Column:
+        return at(F.least(F.greatest(y, F.least(y1, y2)), F.greatest(y1, y2)))
+
+    ends = [F.when(y1 == y2, e).otherwise(cut(y)) for e, y in ((x1, floor), (x2, floor + side))]
+    slack = side * 1e-6
+    columns = F.sequence(_place(F.least(*ends) - slack, "__ox"), _place(F.greatest(*ends) + slack, "__ox"))
+    key = [group, unit, "__row"]
+    outline = keep(banded.select(*key, F.explode(columns).alias("__col")).distinct())
+    # Along the middle of a row the unit lies between odd and even crossings,
+    # which are first summed by cell, so a window holds one row of the grid.
+    middle = floor + side / 2.0
+    flips = banded.where((y1 > middle) != (y2 > middle)).groupBy(*key, _place(at(middle), "__ox").alias("__col")).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    along = Window.partitionBy(*key).orderBy("__col")
+    spans = flips.select(
+        *key, F.col("__col").alias("__from"), F.lead("__col").over(along).alias("__to"), F.sum("__n").over(along).alias("__n")
+    ).where("__n % 2 = 1 AND __to - __from > 1")
+    held = spans.select(*key, F.explode(F.sequence(F.col("__from") + 1, F.col("__to") - 1)).alias("__col"))
+    held = held.join(outline, [*key, "__col"], "left_anti")
+    cells = outline.withColumn("__edge", F.lit(True)).unionByName(held.withColumn("__edge", F.lit(False)))
+    return frame, lookup(cells), banded.drop("__ox", "__oy", "__side")
+
+
 def containing_units(points: DataFrame, edges: DataFrame, group: str, unit: str) -> DataFrame:
     """Units around each location: ``group, qx, qy, unit``.
 
-    A ray to the right crosses the outline of a containing unit an odd number of
-    times. Edges are spread over horizontal bands, so a location meets only the
-    edges at its own height whose unit's bounding box holds it.
+    A location in a cell wholly inside a unit is answered by the cell. In a cell
+    that an outline passes, a ray to the right crosses the outline of a
+    containing unit an odd number of times; it meets only edges at its own
+    height, and only of the units that pass the cell.
     """
-    bands = keep(edges.agg(F.avg(F.abs(F.col("y2") - F.col("y1"))).alias("a"), F.min("y1").alias("lo"),
-                           F.max("y1").alias("hi")).select(
-        F.greatest(F.coalesce(F.col("a"), F.lit(1.0)), (F.col("hi") - F.col("lo")) / 65536.0, F.lit(1e-12)).alias("__h")
-    ))
-    extent = edges.groupBy(group, unit).agg(
-        F.min("x1").alias("__x0"), F.max("x1").alias("__x1"), F.min("y1").alias("__y0"), F.max("y1").alias("__y1")
-    )
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = (
-        attach(edges.where(F.col("y1") != F.col("y2")), extent, [group, unit])
-        .crossJoin(F.broadcast(bands))
-        .withColumn("__band", F.explode(F.sequence(F.floor(low / F.col("__h")), F.floor(high / F.col("__h")))))
+    frame, cells, banded = unit_index(edges, group, unit)
+    own = points.select(group, "qx", "qy").join(frame, group).select(
+        group, "qx", "qy", _place(F.col("qy"), "__oy").alias("__row"), _place(F.col("qx"), "__ox").alias("__col")
     )
-    probes = points.crossJoin(F.broadcast(bands)).withColumn("__band", F.floor(F.col("qy") / F.col("__h"))).drop("__h")
+    met = own.join(cells, [group, "__row", "__col"])
     px, py = F.col("qx"), F.col("qy")
-    boxed = (px >= F.col("__x0")) & (px <= F.col("__x1")) & (py >= F.col("__y0")) & (py <= F.col("__y1"))
     spans = (F.col("y1") > py) != (F.col("y2") > py)
     at = F.col("x1") + (py - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    crossings = probes.join(lookup(banded), [group, "__band"]).where(boxed & spans & (px < at))
-    odd = F.count(F.lit(1)) % 2 == 1
-    return crossings.groupBy(group, "qx", "qy", unit).agg(odd.alias("__odd")).where("__odd").drop("__odd")
+    near = met.where("__edge").join(banded, [group, unit, "__row"]).where(spans).where(px < at)
+    odd = near.groupBy(group, "qx", "qy", unit).agg((F.count(F.lit(1)) % 2).alias("__odd")).where("__odd = 1")
+    return met.where(~F.col("__edge")).select(group, "qx", "qy", unit).unionByName(odd.drop("__odd"))
 
 
 def inside(points: DataFrame, edges: DataFrame, group: str, x: str = "x", y: str = "y") -> DataFrame:

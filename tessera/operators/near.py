@@ -59,29 +59,42 @@ def _cell(value: str, origin: str, size: Column) -> Column:
     return F.floor((F.col(value) - F.col(origin)) / size)
 
 
+def _loads(boxes: DataFrame, by: Sequence[str], factors: Sequence[float]) -> list[tuple[int, int]]:
+    """For each factor: boxes in the fullest bucket, and buckets covered by all
+    boxes together. One pass for all factors."""
+    tries = boxes.withColumn("__f", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
+    buckets = _covering(tries, F.col("__s") * F.col("__f"), 0).groupBy("__f", *by, "__bx", "__by").agg(F.count(F.lit(1)).alias("n"))
+    found = {r["__f"]: (r["top"], r["all"]) for r in buckets.groupBy("__f").agg(F.max("n").alias("top"), F.sum("n").alias("all")).collect()}
+    return [found.get(float(f), (0, 0)) for f in factors]
+
+
 def _load(boxes: DataFrame, by: Sequence[str], factor: float) -> tuple[int, int]:
-    """Boxes in the fullest bucket, and buckets covered by all boxes together."""
-    covered = _covering(boxes, F.col("__s") * F.lit(factor), 0)
-    row = covered.groupBy(*by, "__bx", "__by").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
-    return row["n"] or 0, row["all"] or 0
+    return _loads(boxes, by, [factor])[0]
 
 
 def _first_scale(boxes: DataFrame, by: Sequence[str], k: int) -> tuple[float, int]:
     """Shrink factor of the bucket side and the load of its fullest bucket. The
     side shrinks until no bucket is overfull, or until boxes would cover many
     buckets each: lines that meet in a point are not parted by smaller buckets,
-    and a full bucket is then salted instead."""
-    factor = 1.0
-    fullest, covered = _load(boxes, by, factor)
-    most = _COVERED * max(covered, 1)
-    for _ in range(16):
-        if fullest <= _DENSEST * max(k, 1):
-            break
-        smaller, covered = _load(boxes, by, factor / _GROWTH)
-        if covered > most:
-            break
-        factor, fullest = factor / _GROWTH, smaller
-    return factor, fullest
+    and a full bucket is then salted instead. The covered buckets of all factors
+    are counted before any is laid out; the first is tried alone, the others
+    three in a pass."""
+    def covers(factor: float) -> Column:
+        size = F.col("__s") * F.lit(factor)
+        wide = [_cell(f"{c}2", f"__o{c}", size) - _cell(f"{c}1", f"__o{c}", size) + 1 for c in "xy"]
+        return F.sum(wide[0].cast("double") * wide[1])
+
+    factors = [_GROWTH**-i for i in range(17)]
+    covered = boxes.agg(*[covers(f).alias(f"c{i}") for i, f in enumerate(factors)]).first()
+    most = _COVERED * max(covered[0] or 0, 1)
+    allowed = [f for i, f in enumerate(factors) if all((covered[j] or 0) <= most for j in range(1, i + 1))]
+    best = (1.0, 0)
+    for chunk in (allowed[:1], *(allowed[i : i + 3] for i in range(1, len(allowed), 3))):
+        for factor, (fullest, _) in zip(chunk, _loads(boxes, by, chunk)):
+            best = (factor, fullest)
+            if fullest <= _DENSEST * max(k, 1):
+                return best
+    return best
 
 
 def cut_lines(lines: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -368,13 +381,15 @@ def nearest_distance(
     return _nearest(cells, points, by, x, y, out, _point_d2())
 
 
-# Buckets per radius for up to so many locations in a bucket one radius wide.
-_PARTS = ((1, 32), (4, 50_000), (12, float("inf")))
+_LEAF = 128  # locations in a node of the count tree that are compared, not split
+_DEPTH = 16  # halvings of the radius after which a node is split no more
 
 
-def _sub_buckets(parts: int) -> list[tuple[int, int]]:
-    reach = parts + 1
-    return [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+def _nodes(places: DataFrame, key: Sequence[str], level: int) -> DataFrame:
+    """Places with their node at a level, by the ids of the finest nodes."""
+    up = _DEPTH - level
+    node = {"__bx": F.shiftright("__fx", up), "__by": F.shiftright("__fy", up)}
+    return places.select(*key, "__px", "__py", "__n", "__fx", "__fy", *[c.alias(n) for n, c in node.items()])
 
 
 def count_within(
@@ -386,59 +401,68 @@ def count_within(
     id: str = "cell_id",
     x: str = "x",
     y: str = "y",
-    parts: int | None = None,
+    leaf: int = _LEAF,
 ) -> DataFrame:
     """Add the number of points closer than ``radius``.
 
-    Buckets have side ``radius / parts``. A bucket wholly inside the circle adds
-    its count without its points being compared; only the ring of buckets the
-    circle cuts is compared, against distinct point locations. The more
-    locations the fullest bucket holds, the finer the buckets are made.
+    Circles descend a quadtree of counts whose first nodes are one radius wide.
+    A node wholly inside the circle adds its count; a node the circle cuts is
+    split if it holds more than ``leaf`` distinct locations, else its locations
+    are compared. Each node is split by its own load, so a dense spot makes
+    deep nodes only where it lies, and a circle compares few locations of it.
     """
     by = list(by)
     require_columns(cells, [*by, id, x, y], "cells")
     require_columns(points, [*by, x, y], "points")
-    r2 = float(radius) ** 2
+    r, r2 = float(radius), float(radius) ** 2
+    fine = {f"__f{c}": F.floor(F.col(f"__p{c}") / r * 2**_DEPTH) for c in "xy"}
     places = placed(points, x, y).groupBy(
         *by, F.col(x).cast("double").alias("__px"), F.col(y).cast("double").alias("__py")
     ).agg(F.count(F.lit(1)).alias("__n"))
-    places = keep(places)
-    if parts is None:
-        wide = [F.floor(F.col(c) / float(radius)).alias(c) for c in ("__px", "__py")]
-        fullest = places.groupBy(*by, *wide).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        parts = next(p for p, limit in _PARTS if (fullest or 0) <= limit)
-    s = float(radius) / parts
-    places = places.withColumns({"__bx": F.floor(F.col("__px") / s), "__by": F.floor(F.col("__py") / s)})
-    totals = lookup(places.groupBy(*by, "__bx", "__by").agg(F.sum("__n").alias("__total")))
-    places = sized(places)
-    query = keep(_locations(cells, by, x, y))
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _sub_buckets(parts)])
-    probes = (
-        query.withColumn("__o", F.explode(offsets))
-        .withColumn("__bx", F.floor(F.col("qx") / s) + F.col("__o.i"))
-        .withColumn("__by", F.floor(F.col("qy") / s) + F.col("__o.j"))
-        .drop("__o")
-    )
+    places = keep(places.withColumns(fine))
 
-    def gap(value: str, bucket: str) -> tuple[Column, Column]:
-        low = F.col(bucket) * s - F.col(value)
-        return F.greatest(low, -(low + s), F.lit(0.0)), F.greatest(F.abs(low), F.abs(low + s))
+    def around(value: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(value) / r) - 1, F.floor(F.col(value) / r) + 1))
 
-    (nx, fx), (ny, fy) = gap("qx", "__bx"), gap("qy", "__by")
-    # The slack keeps buckets next to the circle on the exact side.
+    probes = _locations(cells, by, x, y).withColumn("__bx", around("qx")).withColumn("__by", around("qy"))
+    key, place = [*by, "__bx", "__by"], [*by, "qx", "qy"]
+    # The slack keeps nodes next to the circle on the exact side.
     slack = 1e-9 * (r2 + 1.0)
-    inside = fx * fx + fy * fy < r2 - slack
-    touching = nx * nx + ny * ny < r2 + slack
-    probes = probes.withColumns({"__in": inside, "__touch": touching}).where(F.col("__touch"))
-    key = [*by, "__bx", "__by"]
-    whole = probes.where(F.col("__in")).join(totals, key).select(*by, "qx", "qy", F.col("__total").alias("__n"))
-    dx, dy = F.col("__px") - F.col("qx"), F.col("__py") - F.col("qy")
-    partly = probes.where(~F.col("__in")).join(places, key).where(dx * dx + dy * dy < r2)
-    counted = whole.unionByName(partly.select(*by, "qx", "qy", "__n")).groupBy(*by, "qx", "qy").agg(
-        F.sum("__n").alias(out)
-    )
+    counted: list[DataFrame] = []
+    for level in range(_DEPTH + 1):
+        side = r / 2**level
+        held = _nodes(places, by, level)
+        nodes = lookup(held.groupBy(*key).agg(F.sum("__n").alias("__total"), F.count(F.lit(1)).alias("__load")))
+        split = F.col("__load") > (leaf if level < _DEPTH else F.lit(float("inf")))
+
+        def gap(value: str, node: str) -> tuple[Column, Column]:
+            low = F.col(node) * side - F.col(value)
+            return F.greatest(low, -(low + side), F.lit(0.0)), F.greatest(F.abs(low), F.abs(low + side))
+
+        (nx, fx), (ny, fy) = gap("qx", "__bx"), gap("qy", "__by")
+        inside = fx * fx + fy * fy < r2 - slack
+        met = probes.where(nx * nx + ny * ny < r2 + slack).join(nodes, key).withColumns({"__in": inside, "__split": split})
+        deeper = level < _DEPTH and not nodes.where(split).isEmpty()
+        if deeper:
+            met = keep(met)
+        dx, dy = F.col("__px") - F.col("qx"), F.col("__py") - F.col("qy")
+        counted.append(met.where("__in").select(*place, F.col("__total").alias("__n")))
+        compared = met.where("NOT __in AND NOT __split").select(*place, "__bx", "__by")
+        # Nodes to compare hold few locations, so the smaller side is known.
+        counted.append(compared.join(sized(held), key).where(dx * dx + dy * dy < r2).select(*place, "__n"))
+        if not deeper:
+            break
+        halves = {n: F.explode(F.sequence(F.col(n) * 2, F.col(n) * 2 + 1)) for n in ("__bx", "__by")}
+        probes = met.where("NOT __in AND __split").select(*key, "qx", "qy")
+        for name, half in halves.items():
+            probes = probes.withColumn(name, half)
+        places = keep(held.join(nodes.where(split).select(*key), key, "left_semi").drop("__bx", "__by"))
+    total = counted[0]
+    for more in counted[1:]:
+        total = total.unionByName(more)
+    total = total.groupBy(*place).agg(F.sum("__n").alias(out))
     keyed = cells.withColumns({"qx": F.col(x).cast("double"), "qy": F.col(y).cast("double")})
-    joined = keyed.join(counted, [*by, "qx", "qy"], "left").drop("qx", "qy")
+    joined = keyed.join(total, place, "left").drop("qx", "qy")
     return joined.withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint"))
 
 

@@ -90,14 +90,28 @@ def test_knn_samples_equal_brute_force(spark):
 
 def test_count_within_equals_brute_force(spark):
     cells, points = clustered(7, 60, 10), clustered(8, 90, 50)
-    for radius, parts in ((1000.0, None), (25000.0, None), (25000.0, 1), (25000.0, 12)):
+    for radius, leaf in ((1000.0, 128), (25000.0, 128), (25000.0, 1), (25000.0, 12)):
         got = {r["cell_id"]: r["n"] for r in near.count_within(
-            table(spark, cells), table(spark, points).drop("cell_id"), radius, "n", parts=parts).collect()}
+            table(spark, cells), table(spark, points).drop("cell_id"), radius, "n", leaf=leaf).collect()}
         want = {i: sum(d == c and (a - x) ** 2 + (b - y) ** 2 < radius ** 2 for _, d, a, b in points)
                 for i, c, x, y in cells}
         assert got == want
 
 
+def test_count_within_a_crowded_spot(spark):
+    """All points in a few metres, and on the circles' very edge."""
+    rng = random.Random(19)
+    points = [(i, "A", 500.0 + rng.uniform(0, 3), 500.0 + rng.uniform(0, 3)) for i in range(300)]
+    points += [(300 + i, "A", 0.0, float(y)) for i, y in enumerate((-1000, -999, 0, 999, 1000, 1001))]
+    cells = [(i, "A", x, y) for i, (x, y) in enumerate([(0.0, 0.0), (-500.0, 500.0), (501.0, -498.5), (501.0, 501.0), (1500.5, 501.0), (9e6, 0.0)])]
+    cells.append((99, "A", None, 1.0))
+    got = {r["cell_id"]: r["n"] for r in near.count_within(table(spark, cells), table(spark, points).drop("cell_id"), 1000.0, "n", leaf=8).collect()}
+    want = {i: 0 if x is None else sum((a - x) ** 2 + (b - y) ** 2 < 1e6 for _, _, a, b in points) for i, _, x, y in cells}
+    assert got == want and 0 < want[1] < 306
+    none = near.count_within(table(spark, cells), table(spark, points).drop("cell_id").limit(0), 1000.0, "n")
+    assert {r["n"] for r in none.collect()} == {0}
+
+
 def test_nearest_distance_to_points_and_lines(spark):
     cells = table(spark, [(1, "A", 0.0, 5.0), (2, "A", 100.0, 3.0), (3, "B", 0.0, 0.0)])
     lines = spark.createDataFrame(
@@ -237,6 +251,47 @@ def test_points_in_random_polygons(spark):
     assert {r["cell_id"] for r in got.collect()} == {i for i, _, x, y in points if held(x, y)}
 
 
+def ray_held(shapes, x, y):
+    """Whether an odd number of outlines' edges lies to the right of a place."""
+    odd = False
+    for shape in shapes:
+        for (a, b), (c, d) in zip(shape, shape[1:] + shape[:1]):
+            if (b > y) != (d > y) and x < a + (y - b) * (c - a) / (d - b):
+                odd = not odd
+    return odd
+
+
+def test_unit_index_equals_rays(spark):
+    """Overlapping and nested units, a hole, integer corners that lie on cell
+    borders, and all points of one group at one height."""
+    rng = random.Random(23)
+    star = [(50 + rng.uniform(8, 45) * math.cos(t / 40 * math.tau), 50 + rng.uniform(8, 45) * math.sin(t / 40 * math.tau)) for t in range(40)]
+    box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    units = {"star": [star], "wide": [box(0, 0, 100)], "hollow": [box(10, 10, 80), box(40, 40, 16)], "small": [box(20, 20, 4)], "flat": [[(0, 30), (100, 30), (50, 30)]]}
+    edges = [("g", u, k, *e[2:]) for u, shapes in units.items() for k, s in enumerate(shapes) for e in polygon_edges("g", s)]
+    edges = spark.createDataFrame(edges, "city string, unit string, ring int, x1 double, y1 double, x2 double, y2 double")
+    places = {(rng.uniform(-5, 105), rng.uniform(-5, 105)) for _ in range(400)} | {(float(x), float(y)) for x in range(0, 101, 5) for y in (0, 10, 24, 30, 40, 90, 100)}
+    places |= {(x / 4 + 0.1, 50.0) for x in range(400)}
+    points = spark.createDataFrame([("g", x, y) for x, y in places] + [("other", 1.0, 1.0)], "city string, qx double, qy double")
+    got = {(r["qx"], r["qy"], r["unit"]) for r in areas.containing_units(points, edges, "city", "unit").collect()}
+    assert got == {(x, y, u) for x, y in places for u, shapes in units.items() if ray_held(shapes, x, y)}
+    assert not areas.containing_units(points, edges.limit(0), "city", "unit").collect()
+
+
+def test_places_within_a_unit_meet_no_edges(spark):
+    """A long outline on one height: places inside meet the cell, not its edges."""
+    n = 400
+    comb = [(float(i), 100.0 + (i % 2)) for i in range(n, -1, -1)]
+    edges = polygon_edges("g", [(0.0, 0.0), (float(n), 0.0), *comb])
+    edges = spark.createDataFrame(edges, EDGES).withColumn("unit", F.lit(7))
+    _, cells, banded = areas.unit_index(edges, "city", "unit")
+    frame = areas._index_frame(edges, "city").first()
+    assert banded.count() < 4 * (n + 3) and cells.count() < 4 * (n + 3)
+    low, side = frame["__oy"], frame["__side"]
+    inner = cells.where((F.col("__row") > 0) & ((F.col("__row") + 1) * side + low < 100.0) & (F.col("__col") > 0) & ((F.col("__col") + 1) * side < n))
+    assert inner.count() and not inner.where("__edge").count()
+
+
 def test_zonal_means_ignore_shared_edges(spark):
     cells = spark.createDataFrame(
         [("a", "A", 0.0, 0.0, 1.0, 1.0), ("b", "A", 1.0, 0.0, 2.0, 1.0), ("c", "A", 5.0, 0.0, 6.0, 1.0)],
