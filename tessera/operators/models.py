@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -108,12 +108,66 @@ def _each_protocol(rows: DataFrame, by: str, fit: Callable[[str], DataFrame], wo
     return reduce(DataFrame.unionByName, scored)
 
 
+def logistic_curves(
+    train: DataFrame, x: str, label: str, by: str, penalty: float = 1.0, passes: int = 64
+) -> DataFrame:
+    """Logistic regression of a 0/1 label on one variable for every group at once:
+    ``by, intercept, slope``. Half the squared slope times ``penalty`` is added
+    to the summed loss; the intercept is free.
+
+    Each pass is one grouped aggregation that gives all groups the loss, gradient
+    and 2 x 2 Hessian at their candidate; a candidate with a higher loss is drawn
+    back by half. Passes end when no group moves. Rows without the variable or
+    label are left out; a group of one class has an infinite intercept.
+    """
+    rows = keep(train.select(by, numeric(x).alias("__x"), F.col(label).cast("double").alias("__y")).dropna())
+    zero = F.lit(0.0)
+    classes = F.log(F.try_divide(F.sum("__y"), F.sum(1 - F.col("__y"))))
+    state = keep(rows.groupBy(by).agg(
+        F.avg("__x").alias("m"), F.when(F.stddev_pop("__x") > 0, F.stddev_pop("__x")).otherwise(1.0).alias("s"),
+        F.avg("__y").alias("share"), classes.alias("da"),
+    ).select(by, "m", "s", "share", zero.alias("a"), zero.alias("b"), F.coalesce("da", zero).alias("da"), zero.alias("db"),
+             F.lit(float("inf")).alias("loss")))
+    mixed = (F.col("share") > 0) & (F.col("share") < 1)
+    for _ in range(passes):
+        tried = state.where(mixed).select(by, "m", "s", (F.col("a") + F.col("da")).alias("u"), (F.col("b") + F.col("db")).alias("v"))
+        z = (F.col("__x") - F.col("m")) / F.col("s")
+        held = rows.join(tried, by).select(by, "__y", z.alias("z"), (F.col("u") + F.col("v") * z).alias("t"))
+        y, z, t = F.col("__y"), F.col("z"), F.col("t")
+        p = 1 / (1 + F.exp(-t))
+        w = p * (1 - p)
+        sums = held.groupBy(by).agg(
+            F.sum(F.greatest(t, zero) + F.log1p(F.exp(-F.abs(t))) - y * t).alias("f"), F.sum(p - y).alias("g0"), F.sum((p - y) * z).alias("g1"),
+            F.sum(w).alias("h00"), F.sum(w * z).alias("h01"), F.sum(w * z * z).alias("h11"),
+        )
+        u, v = F.col("a") + F.col("da"), F.col("b") + F.col("db")
+        pull = F.lit(float(penalty)) / (F.col("s") * F.col("s"))
+        f, g1, h11 = F.col("f") + pull * v * v / 2, F.col("g1") + pull * v, F.col("h11") + pull
+        det = F.col("h00") * h11 - F.col("h01") * F.col("h01")
+        better = f <= F.col("loss")
+        moved = {
+            "a": (u, F.col("a")), "b": (v, F.col("b")), "loss": (f, F.col("loss")),
+            "da": (F.try_divide(F.col("h01") * g1 - h11 * F.col("g0"), det), F.col("da") / 2),
+            "db": (F.try_divide(F.col("h01") * F.col("g0") - F.col("h00") * g1, det), F.col("db") / 2),
+        }
+        after = state.where(mixed).join(sums, by).select(
+            by, "m", "s", "share", *[F.coalesce(F.when(better, new).otherwise(old), zero).alias(c) for c, (new, old) in moved.items()]
+        )
+        state = keep(after.unionByName(state.where(~mixed)))
+        if state.where(mixed & (F.abs("da") + F.abs("db") > 1e-10)).isEmpty():
+            break
+    slope = F.col("b") / F.col("s")
+    endless = F.when(F.col("share") >= 1, float("inf")).when(F.col("share") <= 0, float("-inf"))
+    return state.select(by, F.coalesce(endless, F.col("a") - slope * F.col("m")).alias("intercept"), slope.alias("slope"))
+
+
 def linear_baseline(
     rows: DataFrame, score: str, truth: str, label: str, by: str = "protocol"
 ) -> DataFrame:
     """Least-squares line and logistic curve on the negated score, fitted per
     protocol on its training rows. Returns test rows with ``rwi_pred`` and
-    ``low_wealth_prob``. The line is closed form, in one aggregation."""
+    ``low_wealth_prob``; a protocol without training rows gets NULL. The line is
+    closed form, in one aggregation; the curves of all protocols share theirs."""
     rows = rows.withColumn("__x", -numeric(score))
     train = rows.where(F.col("role") == "train")
     y, x = F.col(truth).cast("double"), F.col("__x")
@@ -123,20 +177,13 @@ def linear_baseline(
     slope = F.when(F.var_pop(x) > 0, F.covar_pop(y, x) / F.var_pop(x)).otherwise(0.0)
     line = train.groupBy(by).agg(slope.alias("__b"), F.avg(y).alias("__my"), F.avg(x).alias("__mx"))
     line = line.select(by, "__b", (F.col("__my") - F.col("__b") * F.col("__mx")).alias("__a"))
-    test = attach(rows.where(F.col("role") == "test"), line, [by])
-    test = test.withColumn("rwi_pred", F.col("__a") + F.col("__b") * F.col("__x")).drop("__a", "__b")
-    assembler = VectorAssembler(inputCols=["__x"], outputCol="__vec")
-
-    def fit(name: str) -> DataFrame:
-        part = assembler.transform(train.where((F.col(by) == name) & F.col("__x").isNotNull()))
-        n = part.count()
-        curve = LogisticRegression(
-            featuresCol="__vec", labelCol=label, maxIter=500, regParam=1.0 / max(n, 1), standardization=False
-        ).fit(part.withColumn(label, F.col(label).cast("double")))
-        scored = curve.transform(assembler.transform(test.where(F.col(by) == name)))
-        return scored.withColumn("low_wealth_prob", vector_to_array("probability")[1])
-
-    return _each_protocol(rows, by, fit).drop("__x", "__vec", "rawPrediction", "probability", "prediction")
+    curve = logistic_curves(train, "__x", label, by).select(by, F.col("intercept").alias("__c"), F.col("slope").alias("__d"))
+    test = attach(rows.where(F.col("role") == "test"), line.join(curve, by, "left"), [by])
+    fitted = {
+        "rwi_pred": F.col("__a") + F.col("__b") * F.col("__x"),
+        "low_wealth_prob": 1 / (1 + F.exp(-(F.col("__c") + F.col("__d") * F.col("__x")))),
+    }
+    return test.withColumns(fitted).drop("__a", "__b", "__c", "__d", "__x")
 
 
 def boosted_trees(

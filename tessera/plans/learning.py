@@ -215,15 +215,42 @@ def _(spark, sf):
 # -------------------------------------------------------------------- models
 
 
+def baseline_rows(spark, sf):
+    return roles.keep(roles.cells(spark, sf).select(
+        "cell_id", "score", "spend", (F.col("spend") > 2200000).cast("int").alias("rich"), F.lit("p").alias("protocol"),
+        F.when(F.col("cell_id") % 4 > 0, "train").otherwise("test").alias("role"),
+    ))
+
+
 @query("linear_baseline_line", """
     SELECT cell_id, a + b * -score AS rwi_pred FROM cells, (SELECT regr_slope(spend, -score) AS b, regr_intercept(spend, -score) AS a FROM cells WHERE cell_id % 4 > 0)
     WHERE cell_id % 4 = 0""", ["rwi_pred:2"], roles.CELLS)
 def _(spark, sf):
-    rows = roles.keep(roles.cells(spark, sf).select(
-        "cell_id", "score", "spend", (F.col("spend") > 2200000).cast("int").alias("rich"), F.lit("p").alias("protocol"),
-        F.when(F.col("cell_id") % 4 > 0, "train").otherwise("test").alias("role"),
-    ))
-    return models.linear_baseline(rows, "score", "spend", "rich").select("cell_id", "rwi_pred")
+    return models.linear_baseline(baseline_rows(spark, sf), "score", "spend", "rich").select("cell_id", "rwi_pred")
+
+
+# Newton steps of three protocols' curves, from the classes' log odds; the penalty is on the slope of the raw score.
+CURVES = """
+    WITH RECURSIVE train AS (SELECT cell_id % 3 AS k, -score AS x, CAST(CAST(spend > 2200000 AS INTEGER) AS DOUBLE) AS y
+        FROM cells WHERE cell_id % 4 > 0 AND score IS NOT NULL AND spend IS NOT NULL),
+    scale AS (SELECT k, avg(x) AS m, stddev_pop(x) AS s, ln(sum(y) / sum(1 - y)) AS c FROM train GROUP BY k),
+    unit AS (SELECT k, (x - m) / s AS z, y, s, c FROM train JOIN scale USING (k)),
+    newton AS (
+        SELECT k, 0 AS i, c AS a, 0.0::DOUBLE AS b FROM scale
+        UNION ALL
+        SELECT k, i + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+            SELECT k, i, a, b, sum(p - y) AS g0, sum((p - y) * z) + b / any_value(s * s) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * z) AS h01,
+                sum(p * (1 - p) * z * z) + 1 / any_value(s * s) AS h11
+            FROM (SELECT n.k, i, a, b, z, y, s, 1 / (1 + exp(-(a + b * z))) AS p FROM newton n JOIN unit u ON n.k = u.k WHERE i < 25)
+            GROUP BY k, i, a, b))
+    SELECT cell_id, 1 / (1 + exp(-(a + b * (-score - m) / s))) AS low_wealth_prob
+    FROM cells JOIN newton ON k = cell_id % 3 AND i = 25 JOIN scale USING (k) WHERE cell_id % 4 = 0"""
+
+
+@query("linear_baseline_probability", CURVES, ["low_wealth_prob"], roles.CELLS)
+def _(spark, sf):
+    rows = baseline_rows(spark, sf).withColumn("protocol", F.concat(F.lit("p"), F.col("cell_id") % 3))
+    return models.linear_baseline(rows, "score", "spend", "rich").select("cell_id", "low_wealth_prob")
 
 
 @query("kmeans_groups")

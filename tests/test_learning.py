@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -109,6 +110,26 @@ def test_benchmark_runs_all_protocols(spark):
     assert predictions.where("protocol = 'holdout_c1'").select("city").distinct().collect()[0][0] == "C1"
 
 
+def test_logistic_curves_of_all_groups_at_once(spark):
+    """At the optimum the gradient of the penalised loss is zero. Groups: noisy,
+    far from the origin, separable, of one class, with a constant variable."""
+    rng = random.Random(5)
+    data = [("noisy", rng.gauss(0, 1), None) for _ in range(200)] + [("far", 1e5 + rng.gauss(0, 30), None) for _ in range(200)]
+    data = [(g, x, int(rng.random() < 1 / (1 + math.exp(-(x if g == "noisy" else (x - 1e5) / 10))))) for g, x, _ in data]
+    data += [("split", float(i), int(i > 50)) for i in range(100)] + [("one", float(i), 1) for i in range(5)] + [("flat", 3.0, i % 4 == 0) for i in range(40)]
+    data += [("noisy", None, 1), ("noisy", 1.0, None)]
+    df = spark.createDataFrame([(g, x, None if y is None else int(y)) for g, x, y in data], "g string, x double, y int")
+    got = {r["g"]: (r["intercept"], r["slope"]) for r in models.logistic_curves(df, "x", "y", "g").collect()}
+    assert got["one"] == (math.inf, 0.0) and set(got) == {"noisy", "far", "split", "one", "flat"}
+    for g in ("noisy", "far", "split", "flat"):
+        a, b = got[g]
+        part = [(x, y, 1 / (1 + math.exp(-(a + b * x)))) for h, x, y in data if h == g and x is not None and y is not None]
+        mean = sum(x for x, _, _ in part) / len(part)
+        assert abs(sum(p - y for _, y, p in part)) < 1e-6 and abs(sum((p - y) * (x - mean) for x, y, p in part) + b) < 1e-4, g
+    assert math.isclose(got["flat"][0] + 3 * got["flat"][1], math.log(1 / 3), rel_tol=1e-9)
+    assert not models.logistic_curves(df.limit(0), "x", "y", "g").collect()
+
+
 METRICS = [
     ("pooled_random", "tree", "rmse", 0.2), ("pooled_random", "graph", "rmse", 0.3),
     ("holdout_accra", "tree", "rmse", 0.9), ("holdout_accra", "graph", "rmse", 0.7),
