@@ -109,8 +109,9 @@ def _count(characters: str, text: str = "t") -> str:
     """,
 )
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    based = rules.with_base(table(spark, folder, "documents").select("doc_id", "text"))
-    judged = rules.cascade(based, passed=~F.col("base_failed"))
+    docs, passed = table(spark, folder, "documents").select("doc_id", "text"), ~F.col("base_failed")
+    measured = rules.order_rules(docs, reached=lambda drawn: rules.with_base(drawn).where(passed))
+    judged = rules.cascade(rules.with_base(docs), order=[m.name for m in measured], passed=passed)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import math
 import random
 import re
 
@@ -345,6 +346,27 @@ def test_cheap_rules_that_reject_much_come_first(spark):
     assert first == {"much", None}
 
 
+def test_rules_are_measured_on_what_reaches_the_cascade(spark):
+    """``long`` rejects most rows, but few of those that pass what comes before."""
+    docs = spark.createDataFrame([("x" * (10 + i % 3),) for i in range(90)] + [("x" * 500,)] * 210, "text string")
+    long, odd = rules.Rule("long", lambda t: F.length(t) > 400), rules.Rule("odd", lambda t: F.length(t) == 11)
+    measured = {m.name: m for m in rules.order_rules(docs, (long, odd), reached=lambda d: d.where("length(text) < 100"))}
+    assert measured["long"].rejected == 0 and math.isclose(measured["odd"].rejected, 1 / 3, abs_tol=0.15)
+    assert [m.name for m in rules.order_rules(docs, (long, odd), reached=lambda d: d.where("false"))]
+    kept = rules.cascade(docs, (long, odd), passed=F.length("text") < 100).groupBy("failed_rule").count()
+    assert {r["failed_rule"]: r["count"] for r in kept.collect()} == {"base": 210, "odd": 30, None: 60}
+
+
+def test_rule_costs_stand_above_the_job(spark, prose):
+    """A rule of real work costs many times one of hardly any, in every call."""
+    docs = spark.createDataFrame([(prose(300, i),) for i in range(60)], "text string")
+    heavy = rules.Rule("heavy", lambda t: rules.repeated_words(rules.word_array(t)) > 10**6)
+    light = rules.Rule("light", lambda t: F.length(t) < 0)
+    for _ in range(2):
+        costs = {m.name: m.cost for m in rules.order_rules(docs, (heavy, light))}
+        assert costs["heavy"] > 2 * costs["light"]
+
+
 def test_repeated_words_cover_all_windows(spark):
     pick = random.Random(6)
     texts = [" ".join(pick.choice("abc") for _ in range(pick.randrange(40))) for _ in range(200)]
