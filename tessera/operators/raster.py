@@ -294,7 +294,10 @@ def _road_slots(cells, segments, by, id, patch_size, context) -> DataFrame:
         (F.col("x1") - F.col("__wx")).alias("x1"), (F.col("y1") - F.col("__wy")).alias("y1"),
         (F.col("x2") - F.col("__wx")).alias("x2"), (F.col("y2") - F.col("__wy")).alias("y2"),
     )
-    cut = split_on_grid(local, F.lit(res))
+    still = (F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2"))
+    cut = split_on_grid(local.withColumn("__still", still), F.lit(res))
+    # Where a segment meets a corner, rounding leaves a piece of no length.
+    cut = cut.where(F.col("__still") | (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) > 1e-6))
     inside = F.col("ix").between(0, patch_size - 1) & F.col("iy").between(0, patch_size - 1)
     road = F.lit(CHANNELS.index("roads"))
     return cut.where(inside).select(
@@ -302,32 +305,89 @@ def _road_slots(cells, segments, by, id, patch_size, context) -> DataFrame:
     ).distinct()
 
 
-def _raster_slots(cells, pixels, by, id, patch_size, context, pixel_size) -> DataFrame:
-    """Nearest-pixel samples of the population and land-cover rasters."""
+def _axis(start: Column, sign: int, res: float, size: float, shift: float, patch_size: int):
+    """Along one axis: the source pixels a window is read from, and for one of
+    them, ``g``, the patch pixels ``i`` that are read from it, with how far past its
+    centre each lies, ``f`` in pixels."""
+    step, last = float(sign) * res, patch_size - 1
+
+    def at(i: Column) -> Column:
+        return (start + (i + 0.5) * F.lit(step)) / size - shift
+
+    def readers(g: Column) -> Column:
+        ends = [((g + k + shift) * size - start) / step - 0.5 for k in (0, 1)]
+        # One more on both sides than rounding could need; the test below decides.
+        first = F.greatest(F.lit(0), F.floor(F.least(*ends)) - 1)
+        stop = F.least(F.lit(last), F.ceil(F.greatest(*ends)) + 1)
+        near = F.filter(F.sequence(first, stop), lambda i: F.floor(at(i)) == g)
+        return F.transform(near, lambda i: F.struct(i.alias("i"), (at(i) - g).alias("f")))
+
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.floor(at(i)))), readers
+
+
+def _sampled(cells, grid, by, id, patch_size, context, size, shift) -> DataFrame:
+    """Patch pixels ``r, c`` with the row of ``grid`` they are read from and their
+    offsets ``fx, fy``. A window is dealt out by source pixel before the join and by
+    patch pixel after it, so coarse rasters shuffle few rows for each cell."""
     res, half = context / patch_size, context / 2.0
-    steps = F.sequence(F.lit(0), F.lit(patch_size - 1))
-    spots = (
+    columns, across = _axis(F.col("__wx"), 1, res, size, shift, patch_size)
+    lines, down = _axis(F.col("__wy"), -1, res, size, shift, patch_size)
+    places = (
         cells.select(*by, id, (F.col("x") - half).alias("__wx"), (F.col("y") + half).alias("__wy"))
-        .withColumn("r", F.explode(steps)).withColumn("c", F.explode(steps))
-        .select(
-            *by, id, "r", "c",
-            F.floor((F.col("__wx") + (F.col("c") + 0.5) * res) / pixel_size).alias("__gx"),
-            F.floor((F.col("__wy") - (F.col("r") + 0.5) * res) / pixel_size).alias("__gy"),
-        )
+        .withColumn("__gx", F.explode(columns))
+        .withColumn("__gy", F.explode(lines))
+    )
+    hits = places.join(grid.hint("merge"), [*by, "__gx", "__gy"])
+    hits = hits.withColumn("__c", F.explode(across(F.col("__gx"))))
+    hits = hits.withColumn("__r", F.explode(down(F.col("__gy"))))
+    kept = [c for c in grid.columns if c not in (*by, "__gx", "__gy")]
+    return hits.select(
+        *by, id, *kept, F.col("__r.i").alias("r"), F.col("__c.i").alias("c"), F.col("__c.f").alias("fx"), F.col("__r.f").alias("fy")
+    )
+
+
+def _located(pixels: DataFrame, channel: str, by: Sequence[str], size: float) -> DataFrame:
+    return pixels.where((F.col("channel") == channel) & F.col("value").isNotNull()).select(
+        *by, F.floor(F.col("x") / size).alias("__gx"), F.floor(F.col("y") / size).alias("__gy"), F.col("value").cast("double").alias("value")
+    )
+
+
+def _cover_slots(cells, pixels, by, id, patch_size, context, size) -> DataFrame:
+    """Built and open pixels by the class of the nearest land-cover pixel."""
+    grid = _located(pixels, "cover", by, size).groupBy(*by, "__gx", "__gy").agg(F.max("value").alias("__class"))
+    hits = _sampled(cells, grid, by, id, patch_size, context, size, 0.0)
+    channel = F.when(F.col("__class") == BUILT_CLASS, CHANNELS.index("built_up")).when(
+        F.col("__class").isin(*OPEN_CLASSES), CHANNELS.index("open_space")
+    )
+    return hits.withColumn("__ch", channel).where(F.col("__ch").isNotNull()).select(
+        *by, id, _slot(F.col("__ch"), F.col("r"), F.col("c"), patch_size).alias("slot"), F.lit(1.0).alias("v")
     )
-    grid = pixels.select(
-        *by, "channel", F.floor(F.col("x") / pixel_size).alias("__gx"), F.floor(F.col("y") / pixel_size).alias("__gy"),
-        "value",
+
+
+def _population_slots(cells, pixels, by, id, patch_size, context, size) -> DataFrame:
+    """Log population, bilinear between the centres of the four pixels around.
+    Each pixel is sent to the four squares it is a corner of, so a window meets
+    whole squares and looks nothing up a second time."""
+    corner = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    spread = _located(pixels, "population", by, size).withColumn("__o", F.explode(corner)).select(
+        *by, (F.col("__gx") - F.col("__o.i")).alias("__gx"), (F.col("__gy") - F.col("__o.j")).alias("__gy"),
+        (F.col("__o.i") * 2 + F.col("__o.j")).alias("__k"), "value",
     )
-    hits = spots.join(grid.hint("merge"), [*by, "__gx", "__gy"])
-    value = F.col("value")
-    population = F.struct(F.lit(0).alias("ch"), F.log1p(F.greatest(value, F.lit(0.0))).alias("v"))
-    built = F.struct(F.lit(1).alias("ch"), (value == BUILT_CLASS).cast("double").alias("v"))
-    open_space = F.struct(F.lit(2).alias("ch"), value.isin(*OPEN_CLASSES).cast("double").alias("v"))
-    entries = F.when(F.col("channel") == "population", F.array(population)).otherwise(F.array(built, open_space))
-    return hits.select(*by, id, "r", "c", F.explode(entries).alias("e")).where(F.col("e.v") != 0).select(
-        *by, id, _slot(F.col("e.ch"), F.col("r"), F.col("c"), patch_size).alias("slot"), F.col("e.v").alias("v")
+    squares = spread.groupBy(*by, "__gx", "__gy").agg(
+        *[F.max(F.when(F.col("__k") == k, F.col("value"))).alias(f"__v{k}") for k in range(4)]
     )
+    hits = _sampled(cells, squares, by, id, patch_size, context, size, 0.5)
+    fx, fy = F.col("fx"), F.col("fy")
+    weights = [(1 - fx) * (1 - fy), (1 - fx) * fy, fx * (1 - fy), fx * fy]
+    value, weight = F.lit(0.0), F.lit(0.0)
+    for k, w in enumerate(weights):
+        value = value + F.coalesce(w * F.col(f"__v{k}"), F.lit(0.0))
+        weight = weight + F.when(F.col(f"__v{k}").isNotNull(), w).otherwise(0.0)
+    rows = hits.select(
+        *by, id, _slot(F.lit(CHANNELS.index("population")), F.col("r"), F.col("c"), patch_size).alias("slot"),
+        value.alias("__s"), weight.alias("__w"),
+    ).where((F.col("__w") > 0) & (F.col("__s") > 0))
+    return rows.select(*by, id, "slot", F.log1p(F.col("__s") / F.col("__w")).alias("v"))
 
 
 def patch_features(
@@ -340,19 +400,25 @@ def patch_features(
     patch_size: int = 64,
     context: float = 1500.0,
     pixel_size: float = 100.0,
+    cover_size: float | None = None,
 ) -> DataFrame:
     """A square context window per cell as one flat channel-row-column array.
 
     ``pixels`` has ``channel`` ('population' or 'cover'), pixel centre ``x, y``
     and ``value``; ``points`` has ``channel`` (a name of ``CHANNELS``) and
-    ``x, y``. Only non-zero slots travel through the shuffle; a patch has a
-    fixed number of slots, so its assembly is bounded.
+    ``x, y``. Population is bilinear over the pixels that exist, land cover is the
+    nearest pixel's; their pixels are ``pixel_size`` and ``cover_size`` wide (the
+    same if that is None). A pixel without a value is none; of several at one
+    place the greatest counts. A road marks every pixel it passes through; a
+    corner alone is no passage. Only non-zero slots travel through the shuffle; a
+    patch has a fixed number of slots, so its assembly is bounded.
     """
     by = list(by)
     number = F.coalesce(*[F.when(F.col("channel") == c, F.lit(i)) for i, c in enumerate(CHANNELS)])
     marked = points.select(*by, number.alias("channel"), "x", "y").where(F.col("channel").isNotNull())
     slots = _point_slots(cells, marked, by, id, patch_size, context)
-    slots = slots.unionByName(_raster_slots(cells, pixels, by, id, patch_size, context, float(pixel_size)))
+    slots = slots.unionByName(_population_slots(cells, pixels, by, id, patch_size, context, float(pixel_size)))
+    slots = slots.unionByName(_cover_slots(cells, pixels, by, id, patch_size, context, float(cover_size or pixel_size)))
     if segments is not None:
         slots = slots.unionByName(_road_slots(cells, segments, by, id, patch_size, context))
     total = len(CHANNELS) * patch_size * patch_size

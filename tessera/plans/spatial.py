@@ -553,6 +553,68 @@ def _(spark, sf):
     )
 
 
+WINDOW_BASE = CUSTOMER + "," + roles.AMENITY + "," + roles.ROADS + "," + roles.PIXELS + """,
+raster AS (SELECT CAST(floor(px / 100) AS BIGINT) AS gx, CAST(floor(py / 100) AS BIGINT) AS gy, max(value) AS pop, CAST(sum(cover / 10) AS BIGINT) % 10 * 10 AS cls
+    FROM pixels GROUP BY 1, 2),
+steps AS (SELECT r, c FROM range(64) a(r), range(64) b(c)),
+looks AS (SELECT cell_id, r, c, (x - 750 + (c + 0.5::DOUBLE) * 23.4375::DOUBLE) / 100 AS u, (y + 750 - (r + 0.5::DOUBLE) * 23.4375::DOUBLE) / 100 AS v FROM spot, steps),
+bases AS (SELECT cell_id, r, c, CAST(floor(u - 0.5) AS BIGINT) AS gx, CAST(floor(v - 0.5) AS BIGINT) AS gy, u - 0.5 - floor(u - 0.5) AS fx, v - 0.5 - floor(v - 0.5) AS fy FROM looks),
+shares AS (SELECT cell_id, r, c, s.pop AS a, t.pop AS b, p.pop AS d, q.pop AS e, (1 - fx) * (1 - fy) AS wa, (1 - fx) * fy AS wb, fx * (1 - fy) AS wd, fx * fy AS we FROM bases k
+    LEFT JOIN raster s ON s.gx = k.gx AND s.gy = k.gy LEFT JOIN raster t ON t.gx = k.gx AND t.gy = k.gy + 1
+    LEFT JOIN raster p ON p.gx = k.gx + 1 AND p.gy = k.gy LEFT JOIN raster q ON q.gx = k.gx + 1 AND q.gy = k.gy + 1),
+people AS (SELECT cell_id, 0 AS ch, r, c, ln(1 + (coalesce(wa * a, 0) + coalesce(wb * b, 0) + coalesce(wd * d, 0) + coalesce(we * e, 0)) / w) AS v FROM (SELECT *,
+    CASE WHEN a IS NULL THEN 0 ELSE wa END + CASE WHEN b IS NULL THEN 0 ELSE wb END + CASE WHEN d IS NULL THEN 0 ELSE wd END + CASE WHEN e IS NULL THEN 0 ELSE we END AS w
+    FROM shares) WHERE w > 0),
+classes AS (SELECT cell_id, CASE WHEN cls = 50 THEN 1 ELSE 2 END AS ch, r, c, 1.0 AS v FROM looks JOIN raster
+    ON CAST(floor(u) AS BIGINT) = gx AND CAST(floor(v) AS BIGINT) = gy WHERE cls IN (10, 20, 30, 50, 60, 90, 95)),
+near AS (SELECT cell_id, x1 - (x - 750) AS x1, y1 - (y - 750) AS y1, x2 - (x - 750) AS x2, y2 - (y - 750) AS y2 FROM spot JOIN roads USING (city)
+    WHERE least(x1, x2) < x + 750 AND greatest(x1, x2) >= x - 750 AND least(y1, y2) < y + 750 AND greatest(y1, y2) >= y - 750),
+touched AS (SELECT n.*, i, j FROM near n, LATERAL (SELECT unnest(range(greatest(0, CAST(floor(least(x1, x2) / 23.4375) AS BIGINT)), least(63, CAST(floor(greatest(x1, x2) / 23.4375) AS BIGINT)) + 1)) AS i),
+    LATERAL (SELECT unnest(range(greatest(0, CAST(floor(least(y1, y2) / 23.4375) AS BIGINT)), least(63, CAST(floor(greatest(y1, y2) / 23.4375) AS BIGINT)) + 1)) AS j)),
+spanned AS (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS len,
+    CASE WHEN x1 = x2 THEN 0 ELSE least((i * 23.4375 - x1) / (x2 - x1), ((i + 1) * 23.4375 - x1) / (x2 - x1)) END AS low_x, CASE WHEN x1 = x2 THEN 1 ELSE greatest((i * 23.4375 - x1) / (x2 - x1), ((i + 1) * 23.4375 - x1) / (x2 - x1)) END AS high_x,
+    CASE WHEN y1 = y2 THEN 0 ELSE least((j * 23.4375 - y1) / (y2 - y1), ((j + 1) * 23.4375 - y1) / (y2 - y1)) END AS low_y, CASE WHEN y1 = y2 THEN 1 ELSE greatest((j * 23.4375 - y1) / (y2 - y1), ((j + 1) * 23.4375 - y1) / (y2 - y1)) END AS high_y
+    FROM touched),
+lanes AS (SELECT DISTINCT cell_id, 3 AS ch, 63 - j AS r, i AS c, 1.0 AS v FROM spanned WHERE len = 0 OR (least(1, high_x, high_y) - greatest(0, low_x, low_y)) * len > 1e-6),
+marks AS (SELECT city, x, y, 4 AS ch FROM amenities WHERE coalesce(lower(amenity) NOT IN ('bench', 'parking'), true)
+    UNION ALL SELECT city, x, y, 5 FROM amenities WHERE lower(amenity) IN ('school', 'university')
+    UNION ALL SELECT city, x, y, 6 FROM amenities WHERE coalesce(lower(amenity) IN ('clinic', 'pharmacy'), false) OR coalesce(healthcare IN ('yes', 'doctors'), false)
+    UNION ALL SELECT city, x, y, 7 FROM amenities WHERE street_count >= 3),
+counted AS (SELECT cell_id, ch, r, c, ln(1 + count(*)) AS v FROM (SELECT cell_id, ch, 63 - CAST(floor((m.y - (s.y - 750)) / 23.4375) AS BIGINT) AS r, CAST(floor((m.x - (s.x - 750)) / 23.4375) AS BIGINT) AS c
+    FROM spot s JOIN marks m USING (city) WHERE m.x >= s.x - 750 AND m.x < s.x + 750 AND m.y >= s.y - 750 AND m.y < s.y + 750) GROUP BY 1, 2, 3, 4),
+filled AS (SELECT cell_id, ch, r * 64 + c AS slot, CAST(floor(CAST(CAST(v AS FLOAT) AS DOUBLE) * 1000 + 0.5) AS BIGINT) AS v FROM (
+    FROM people UNION ALL FROM classes UNION ALL FROM lanes UNION ALL FROM counted) WHERE CAST(v AS FLOAT) <> 0)"""
+
+
+@query("patch_channels", """
+    SELECT cell_id, CAST(ch AS BIGINT) AS channel, count(slot) AS n_filled, sha256(coalesce(string_agg(slot || ':' || v, ',' ORDER BY slot), '')) AS slots_sha256
+    FROM (SELECT cell_id, ch FROM spot, range(8) t(ch)) LEFT JOIN filled USING (cell_id, ch) GROUP BY 1, 2""", base=WINDOW_BASE)
+def _(spark, sf):
+    """All slots of all channels: 64 x 64 patches over filled rasters and roads,
+    a digest of the filled slots of each channel in thousandths."""
+    pois = roles.amenities(spark, sf)
+    channels = F.array(
+        F.when(C.is_service(), F.lit("amenities")), F.when(C.is_school(), F.lit("schools")), F.when(C.is_clinic(pois), F.lit("clinics")),
+        F.when(F.col("street_count") >= 3, F.lit("intersections")),
+    )
+    points = pois.select("city", F.explode(channels).alias("channel"), "x", "y")
+    raster_cells = roles.pixels(spark, sf).groupBy(F.floor(F.col("px") / 100).alias("gx"), F.floor(F.col("py") / 100).alias("gy")).agg(
+        F.max("value").cast("double").alias("pop"), (F.sum(F.col("cover") / 10).cast("bigint") % 10 * 10).cast("double").alias("cls")
+    )
+    layers = F.array(F.struct(F.lit("population").alias("channel"), F.col("pop").alias("value")), F.struct(F.lit("cover").alias("channel"), F.col("cls").alias("value")))
+    pixels = raster_cells.withColumn("l", F.explode(layers)).select(
+        F.explode(F.array(*[F.lit(c) for c in roles.CITIES])).alias("city"), "l.channel", "l.value",
+        ((F.col("gx") + 0.5) * 100).alias("x"), ((F.col("gy") + 0.5) * 100).alias("y"),
+    )
+    rows = raster.patch_features(spots(spark, sf), pixels, points, roles.roads(spark, sf))
+    part = F.slice("patch", F.col("channel") * 4096 + 1, 4096)
+    numbered = F.filter(F.transform(part, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0)
+    listed = F.transform("slots", lambda e: F.concat_ws(":", e["i"], F.floor(e["v"].cast("double") * 1000 + 0.5)))
+    return rows.select("cell_id", "patch", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("channel")).select(
+        "cell_id", "channel", numbered.alias("slots")
+    ).select("cell_id", "channel", F.size("slots").cast("bigint").alias("n_filled"), F.sha2(F.array_join(listed, ","), 256).alias("slots_sha256"))
+
+
 def _sql_nearest(layer: str, where: str, out: str) -> str:
     return f"""{out} AS (SELECT g.city, ix, iy, sqrt(min((g.x - b.x) * (g.x - b.x) + (g.y - b.y) * (g.y - b.y))) AS d
     FROM cellz g JOIN {layer} b ON g.z = b.z WHERE {where} GROUP BY 1, 2, 3)"""

@@ -468,3 +468,29 @@ def test_parts_of_either_turn_add_up(spark):
     assert len(cells) == 8 and sum(r["area_m2"] for r in cells) == 2_000_000.0
     middle = areas.centroids(edges, ["city"]).first()
     assert (middle["area"], middle["x"], middle["y"]) == (2_000_000.0, 2000.0, 500.0)
+
+
+def test_population_of_a_patch_is_bilinear_over_pixels_that_exist(spark):
+    random = __import__("random").Random(5)
+    values = {(i, j): float(random.randint(0, 50)) for i in range(-2, 8) for j in range(-2, 8) if random.random() < 0.8}
+    pixels = spark.createDataFrame(
+        [("A", "population", i * 30.0 + 15.0, j * 30.0 + 15.0, v) for (i, j), v in values.items()]
+        + [("A", "population", 15.0, 15.0, None), ("A", "cover", 5.0, 5.0, 50.0)],
+        "city string, channel string, x double, y double, value double",
+    )
+    points = spark.createDataFrame([], "city string, channel string, x double, y double")
+    cells = table(spark, [(1, "A", 77.0, 91.0), (2, "A", 3.0, -4.0), (3, "A", 9000.0, 0.0)])
+    out = rows(raster.patch_features(cells, pixels, points, patch_size=8, context=100.0, pixel_size=30.0, cover_size=10.0), "cell_id")
+    for row, (x, y) in zip(out, [(77.0, 91.0), (3.0, -4.0), (9000.0, 0.0)], strict=True):
+        for r in range(8):
+            for c in range(8):
+                px, py = x - 50 + (c + 0.5) * 12.5, y + 50 - (r + 0.5) * 12.5
+                u, v = px / 30 - 0.5, py / 30 - 0.5
+                corners = [
+                    ((1 - abs(u - i)) * (1 - abs(v - j)), values[i, j])
+                    for i in (math.floor(u), math.floor(u) + 1) for j in (math.floor(v), math.floor(v) + 1) if (i, j) in values
+                ]
+                weight = sum(w for w, _ in corners)
+                want = math.log1p(sum(w * z for w, z in corners) / weight) if weight else 0.0
+                assert math.isclose(row["patch"][8 * r + c], want, rel_tol=1e-5, abs_tol=1e-6)
+                assert row["patch"][64 + 8 * r + c] == float(0 <= px < 10 and 0 <= py < 10)
