@@ -144,3 +144,31 @@ def test_geojson_of_either_form_keeps_types(spark, tmp_path):
     (tmp_path / "other.geojson").write_text('{"hello": 1}')
     with pytest.raises(ValueError):
         tables.read_table(spark, str(tmp_path / "other.geojson"))
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_large_collection_is_read_by_many_tasks(spark, tmp_path, indent):
+    random = __import__("random").Random(3)
+    odd = ["", "}", "{", '"', "\\", '\\"}', "[{", "]}]", "ü}\n{", 'a"b{c}"', "\\\\}"]
+    features = [
+        {"type": "Feature", "properties": {"id": i, "s": random.choice(odd) + random.choice(odd), "o": {"k": [{"x": "}"}, {}]}, "e": {}},
+         "geometry": {"type": "Point", "coordinates": [i / 8, -1.5]}}
+        for i in range(1500)
+    ]
+    head = {"type": "FeatureCollection", "name": 'x}"{[', "crs": {"type": "name", "properties": {"name": "n}"}}}
+    one, two = tmp_path / "one.geojson", tmp_path / "two.geojson"
+    one.write_text(json.dumps({**head, "features": features}, indent=indent, ensure_ascii=False) + "\n")
+    two.write_text(json.dumps({"type": "FeatureCollection", "features": [], "bbox": [1, 2]}, indent=indent))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(one.stat().st_size // 20))
+    try:
+        pieces = geojson._pieces(spark, str(tmp_path))
+        assert pieces.where("value <> ''").select(F.spark_partition_id()).distinct().count() > 10
+        out = geojson.read_geojson(spark, str(tmp_path), {"id": "int", "s": "string"}).orderBy("feature").collect()
+        assert [(r["feature"], r["id"], r["s"]) for r in out] == [(i, i, f["properties"]["s"]) for i, f in enumerate(features)]
+        assert json.loads(out[9]["coordinates"]) == [9 / 8, -1.5]
+        two.write_text(one.read_text()[:-40])
+        with pytest.raises(ValueError):
+            geojson.read_geojson(spark, str(two))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
