@@ -91,7 +91,7 @@ def _listed(spans: Column) -> Column:
 
 
 def training_samples(docs: DataFrame, text: str = "text", texts: int = SAMPLE_TEXTS, strings: int = SAMPLE_STRINGS) -> DataFrame:
-    """Labelled samples (value, random): words of at most ``texts`` different texts (those
+    """Labelled samples (value, random): all words of at most ``texts`` different texts (those
     of smallest hash), alone and joined as identifiers are, dates and numbers; and ``strings``
     random strings of each usual make."""
     require_columns(docs, [text], "docs")
@@ -100,10 +100,10 @@ def training_samples(docs: DataFrame, text: str = "text", texts: int = SAMPLE_TE
     last = hashed.select("h").distinct().orderBy("h").limit(texts).agg(F.max("h").alias("h")).first()["h"]
     chosen = hashed.where(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"])
     words = F.filter(F.split("t", "[^A-Za-z]+"), lambda w: F.length(w) >= 2)
-    pairs = chosen.select(words.alias("w")).where("size(w) > 1").select(F.explode(F.arrays_zip(F.slice("w", 1, 2000).alias("a"), F.slice("w", 2, 2000).alias("b"))).alias("x"))
+    pairs = chosen.select(words.alias("w")).where("size(w) > 1").select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("x"))
     a, b = F.col("x.a"), F.col("x.b")
     joined = F.array(a, F.concat_ws("_", a, b), F.concat_ws("-", a, b), F.concat_ws(".", a, b), F.concat_ws("/", a, b), F.concat(a, F.initcap(b)), F.upper(F.concat_ws("_", a, b)), F.concat(a, F.lit("1"), b))
-    ordinary = pairs.where(b.isNotNull()).select(F.explode(joined).alias("value"), F.lit(False).alias("random"))
+    ordinary = pairs.select(F.explode(joined).alias("value"), F.lit(False).alias("random"))
     spark = docs.sparkSession
     moment = F.timestamp_seconds(F.col("id") * 7_654_321 + 1_000_000_007)
     dated = F.array(F.date_format(moment, "yyyy-MM-dd'T'HH-mm-ss.SSS"), F.date_format(moment, "yyyyMMdd'T'HHmmss'Z'"), F.concat(F.lit("v"), F.date_format(moment, "H.m.s-yyyy")), F.concat(F.lit("id-"), F.col("id") * 7_654_321))
