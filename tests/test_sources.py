@@ -172,3 +172,10 @@ def test_large_collection_is_read_by_many_tasks(spark, tmp_path, indent):
             geojson.read_geojson(spark, str(two))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_element_of_a_collection_that_is_no_feature_is_an_error(spark, tmp_path):
+    one = tmp_path / "one.geojson"
+    one.write_text('{"type": "FeatureCollection", "features": [{"type": "Point", "coordinates": [1, 2]}]}')
+    with pytest.raises(Exception, match="is no feature"):
+        geojson.read_geojson(spark, str(one), {"id": "int"}).collect()
