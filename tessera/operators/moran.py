@@ -123,7 +123,9 @@ def _rows(keys: Sequence[str]):
 
 
 def _global_p(i: Column, n: Column, s1: Column, s2: Column) -> Column:
-    """One-sided normal tail of the global statistic under normality."""
+    """One-sided normal tail of the global statistic under normality. The size
+    enters to the fourth power, which no long holds above 55,000 rows."""
+    n = n.cast("double")
     mean = -1.0 / (n - 1)
     variance = (n * n * s1 - n * s2 + 3 * n * n) / ((n - 1) * (n + 1) * n * n) - mean * mean
     return F.when(variance > 0, normal_sf(F.abs(i - mean) / F.sqrt(variance)))

@@ -347,6 +347,14 @@ def test_moran_finds_clusters(spark):
         moran.moran(df.limit(2), "score")
 
 
+def test_global_moran_of_a_large_group(spark):
+    n = 200_000
+    df = spark.createDataFrame([(n, 0.001, float(n), 4.1 * n)], "n bigint, i double, s1 double, s2 double")
+    p = df.select(moran._global_p(*[F.col(c) for c in ("i", "n", "s1", "s2")]).alias("p")).first()["p"]
+    spread = (n * n * n - n * 4.1 * n + 3 * n * n) / ((n - 1) * (n + 1) * n * n) - 1 / (n - 1) ** 2
+    assert math.isclose(p, 0.5 * math.erfc((0.001 + 1 / (n - 1)) / math.sqrt(2 * spread)), rel_tol=1e-5)
+
+
 def test_interior_points_of_concave_cells(spark):
     """Stars, combs and a ring with a hole: every point lies in its cell and inside."""
     import random
