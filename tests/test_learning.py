@@ -237,3 +237,15 @@ def test_profile(spark):
     out = {r["name"]: r for r in rows(profile.profile(df))}
     assert (out["s"]["non_null"], out["s"]["nulls"], out["s"]["n_unique"]) == (2, 1, 2)
     assert out["i"]["n_unique"] == 2 and sorted(out["i"]["examples"]) == ["1", "2", "2"] and out["l"]["rows"] == 3
+
+
+def test_examples_without_copies(spark):
+    df = spark.createDataFrame([(2, "b"), (1, "a"), (1, "a"), (1, "a"), (None, "a"), (10, None)], "i int, s string")
+    assert [r["examples"] for r in rows(profile.examples(df, distinct=True), "position")] == [["1", "10", "2"], ["a", "b"]]
+
+
+def test_profile_examples_query_counts_a_value_once(spark):
+    from tessera.plans import ORACLE, QUERIES
+
+    out = {r["position"]: r["examples"] for r in QUERIES["profile_examples"](spark, "/root/testdata/sf0.001").collect()}
+    assert out[1] == "F,O,P" and ORACLE["profile_examples"].count("DISTINCT") == 2
