@@ -73,6 +73,15 @@ def test_quantiles(skewed):
                 assert all(abs(p - q) < 1e-9 for p, q in zip(b[c], want))
 
 
+def test_quantiles_of_both_forms_are_equal_doubles(spark):
+    """Interpolation must round alike: ranks behind it are compared exactly."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(g, rng.uniform(0, 1)) for g in range(40) for _ in range(8)] + [(40, 0.1), (40, 0.7)], "g int, v double")
+    probs = [0.02, 0.3, 0.5, 0.98]
+    small, large = (rows(quantiles.quantile_table(df, ["g"], ["v"], probs, hot=hot), "g") for hot in (False, True))
+    assert small == large and [r["v"][1] for r in large if r["g"] == 40] == [0.1 * 0.7 + 0.7 * 0.3]
+
+
 def test_quantiles_by_full_sort(skewed):
     keyed = skewed.where("city is not null")
     groups = keyed.select("city").distinct()
