@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents for the trained operators."""
+"""Labelled documents for the trained operators: all of them, or bounded samples."""
 
 from __future__ import annotations
 
@@ -15,6 +15,15 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
+def labelled_ids(labels: DataFrame, label: str, doc_id: str = "doc_id", learnable: Column | None = None) -> DataFrame:
+    """(doc_id, label) of the labelled documents; one with several labels counts
+    by their largest, rows with a null id or label are left out."""
+    usable = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
+    if learnable is not None:
+        usable = usable.where(learnable)
+    return keep(usable.groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("label")))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id", text: str = "text", learnable: Column | None = None,
 ) -> DataFrame:
@@ -23,10 +32,7 @@ def labelled_sample(
     of the labelled documents. A document with several labels counts by their
     largest; rows with a null id, text or label are left out. The chosen ids, at
     most 4 x ``rows``, are broadcast, so the texts are read once and not shuffled."""
-    usable = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
-    if learnable is not None:
-        usable = usable.where(learnable)
-    ids = keep(usable.groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("label")))
+    ids = labelled_ids(labels, label, doc_id, learnable)
     near = F.xxhash64(doc_id)
     # Twice as many ids as texts are wanted, as copies fall away.
     chosen = [ids.where(F.col("label") == v).orderBy(near, doc_id).limit(2 * rows) for v in (0, 1)]

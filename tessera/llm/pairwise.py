@@ -4,7 +4,7 @@ A document has a score w . x of its features; that a good document is preferred
 a bad one has the probability sigmoid(w . (x_good - x_bad)). The weights are learnt
 by logistic loss on feature differences of labelled pairs, without an intercept, as
 any constant cancels. The threshold is a quantile of the scores: the one below which
-the labelled sample has as many documents as the labels call bad. Scores are then
+the labelled texts hold as many documents as the labels call bad. Scores are then
 mapped to 0 to 1 so that the threshold falls on 0.7.
 
 Defined cases: a null or empty text has all features 0; an infinite or missing
@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.labelled import as_vector, labelled_sample, sigmoid
+from tessera.llm.labelled import as_vector, labelled_ids, sigmoid
 from tessera.llm.words import Words, inside, slices, spaced_words, windows, words_of
+from tessera.operators.order import number_rows, running_sums
 from tessera.runtime import keep, require_columns
 
-SAMPLE_ROWS = 3_000
 PARTNERS = 4
 THRESHOLD = 0.7
 FEATURES = (
@@ -166,33 +166,43 @@ def preference_pairs(good: DataFrame, bad: DataFrame, partners: int = PARTNERS)
 
 
 def learn_quality(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS,
-    learnable: Column | None = None,
-) -> PairwiseModel:
-    """Weights and threshold from at most ``rows`` different labelled texts of
-    each kind."""
+    docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", learnable: Column | None = None,
+) -> PairwiseModel:
+    """Weights and threshold from all different labelled texts. Only features are
+    shuffled, no texts; a text that has both labels counts by the larger."""
     from pyspark.ml.classification import LogisticRegression
 
-    sample = labelled_sample(docs, labels, label, rows, doc_id, text, learnable)
-    found = keep(with_features(sample).select("features", "label", "weight", F.xxhash64("text").alias("h")))
-    if found.select("label").distinct().count() < 2:
+    ids = labelled_ids(labels, label, doc_id, learnable)
+    texts = with_features(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).where("__id IS NOT NULL AND text IS NOT NULL"))
+    featured = texts.select("__id", "features", F.xxhash64("text").alias("h"))
+    known = featured.join(ids.select(F.col(doc_id).alias("__id"), "label"), "__id")
+    # Equal texts have equal features, so any copy's will do.
+    found = keep(known.groupBy("h").agg(F.first("features").alias("features"), F.max("label").alias("label")))
+    sizes = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not {0, 1} <= set(sizes):
         return PairwiseModel((0.0,) * len(FEATURES), 0.0)
-    from pyspark.sql import Window
-
-    numbered = keep(found.withColumn("i", (F.row_number().over(Window.partitionBy("label").orderBy("h")) - 1).cast("long")))  # 2 x rows at most
-    pairs = preference_pairs(numbered.where("label = 1"), numbered.where("label = 0"))
+    numbered = number_rows(found.where("label IN (0, 1)"), ["label"], [F.col("h")], "i").withColumn("i", F.col("i") - 1)
+    numbered = keep(numbered.select("label", "features", "i"))
+    pairs = keep(preference_pairs(numbered.where("label = 1"), numbered.where("label = 0")))
     vector = as_vector([F.col("x")[i] for i in range(len(FEATURES))])
     fitted = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=200).setFeaturesCol("v").fit(pairs.select(vector.alias("v"), "label"))
     model = PairwiseModel(tuple(float(w) for w in fitted.coefficients), 0.0)
-    # At most 2 x rows numbers; the quantile at which as much lies below as is labelled bad.
-    scores = sorted((r["s"], r["weight"], r["label"]) for r in numbered.select(model.raw(F.col("features")).alias("s"), "weight", "label").collect())
-    bad = sum(w for _, w, k in scores if k == 0)
-    upto, at = 0.0, 0
-    while at < len(scores) - 1 and upto + scores[at][1] <= bad + 1e-12:
-        upto += scores[at][1]
-        at += 1
-    between = (scores[max(at - 1, 0)][0] + scores[at][0]) / 2.0
-    return PairwiseModel(model.weights, between)
+    counted = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = {k: counted[k] / sizes[k] for k in (0, 1)}
+    return PairwiseModel(model.weights, _threshold(numbered.select(model.raw(F.col("features")).alias("s"), "label"), weight))
+
+
+def _threshold(scored: DataFrame, weight: dict[int, float]) -> float:
+    """The middle between the scores ``s`` on both sides of the place below which
+    as much lies as is labelled bad, each text counting by its label's ``weight``."""
+    both = {"n0": F.count_if(F.col("label") == 0), "n1": F.count_if(F.col("label") == 1)}
+    values = keep(scored.groupBy("s").agg(*[c.alias(n) for n, c in both.items()]))
+    ranked = running_sums(values, [], [F.col("s")], {"u0": "n0", "u1": "n1"})
+    bad = values.agg(F.sum("n0")).first()[0] * weight[0]
+    below = F.col("u0") * weight[0] + F.col("u1") * weight[1] <= bad * (1.0 + 1e-12)
+    ends = ranked.agg(F.max(F.when(below, F.col("s"))).alias("a"), F.min(F.when(~below, F.col("s"))).alias("b")).first()
+    low, high = (ends["a"] if ends["a"] is not None else ends["b"]), (ends["b"] if ends["b"] is not None else ends["a"])
+    return (low + high) / 2.0
 
 
 def score_quality(docs: DataFrame, model: PairwiseModel, text: str = "text") -> DataFrame:

@@ -219,6 +219,23 @@ def test_quality_on_held_out_rows(spark):
     assert total > 60 and right / total > 0.95
 
 
+def test_quality_is_learnt_from_all_labelled_texts(spark, monkeypatch):
+    docs = spark.range(7_400).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), (F.col("id") % 7_200).cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    met, made = [], pairwise.preference_pairs
+    monkeypatch.setattr(pairwise, "preference_pairs", lambda good, bad: met.append(good.count() + bad.count()) or made(good, bad))
+    pairwise.learn_quality(docs, labels)
+    assert met == [7_200]
+
+
+def test_quality_threshold_counts_every_text_by_weight(spark):
+    scored = spark.createDataFrame([(float(i), int(i >= 6)) for i in range(10)] + [(2.0, 0)], "s double, label int")
+    assert pairwise._threshold(scored, {0: 1.0, 1: 1.0}) == 5.5
+    assert pairwise._threshold(scored, {0: 2.0, 1: 7.0}) == 5.5
+    level = spark.createDataFrame([(1.5, 0), (1.5, 1)], "s double, label int")
+    assert pairwise._threshold(level, {0: 1.0, 1: 1.0}) == 1.5
+
+
 def test_preference_pairs_are_differences(spark):
     good = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "i long, features array<double>")
     bad = spark.createDataFrame([(i, [100.0 + i]) for i in range(2)], "i long, features array<double>")
