@@ -80,6 +80,39 @@ def test_nearest_line_in_many_buckets(spark):
         assert all(math.isclose(got[i], min(far(x, y, line) for line in lines), abs_tol=1e-9) for i, _, x, y in cells)
 
 
+def _bucketed(spark, cells, lines):
+    places = table(spark, cells).selectExpr("city", "x AS qx", "y AS qy")
+    ends = spark.createDataFrame(lines, "city string, __x1 double, __y1 double, __x2 double, __y2 double")
+    framed = ends.join(near._line_frame(places, ends, ["city"]), "city")
+    return near._line_buckets(framed, ["city"], F.col("__s")).count()
+
+
+def test_buckets_of_lines_follow_the_queries(spark):
+    rng = random.Random(4)
+    cells = [(i, "A", rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(70)]
+    lines = [("A", x, y, x + 100, y - 60) for x, y in ((rng.uniform(0, 1000), rng.uniform(0, 1000)) for _ in range(2000))]
+    assert _bucketed(spark, cells, lines) < 4 * len(lines)
+
+
+def test_lines_of_a_hub_are_cut_only_near_the_queries(spark, monkeypatch):
+    rng = random.Random(14)
+    cells = [(i, "A", rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(70)] + [(70, "A", -4e4, 9e4)]
+    turns = [rng.uniform(0, 7) for _ in range(300)]
+    lines = [("A", 500.0, 500.0, 500 + 1e5 * math.cos(a), 500 + 1e5 * math.sin(a)) for a in turns]
+    assert _bucketed(spark, cells[:70], lines) < 40 * len(lines)
+    df = spark.createDataFrame(lines, "city string, x1 double, y1 double, x2 double, y2 double")
+
+    def far(x, y):
+        return min(math.hypot(x - 500, y - 500) if (x - 500) * math.cos(a) + (y - 500) * math.sin(a) < 0 else
+                   abs((x - 500) * math.sin(a) - (y - 500) * math.cos(a)) for a in turns)
+
+    monkeypatch.setattr(near, "_CROWDED", 1)  # salted
+    spark.conf.set("tessera.broadcastRows", "0")
+    got = {r["cell_id"]: r["d"] for r in near.nearest_distance(table(spark, cells), df, "d").collect()}
+    spark.conf.unset("tessera.broadcastRows")
+    assert len(got) == 71 and all(math.isclose(got[i], far(x, y), abs_tol=1e-7) for i, _, x, y in cells)
+
+
 def test_knn_samples_equal_brute_force(spark):
     cells, samples = clustered(5, 60, 20), clustered(6, 70, 40)
     got = near.knn(
