@@ -181,7 +181,7 @@ def learn_quality(
     sizes = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not {0, 1} <= set(sizes):
         return PairwiseModel((0.0,) * len(FEATURES), 0.0)
-    numbered = number_rows(found.where("label IN (0, 1)"), ["label"], [F.col("h")], "i").withColumn("i", F.col("i") - 1)
+    numbered = number_rows(found.where("label IN (0, 1)"), ["label"], [F.col("h")], "i", hot=True).withColumn("i", F.col("i") - 1)
     numbered = keep(numbered.select("label", "features", "i"))
     pairs = keep(preference_pairs(numbered.where("label = 1"), numbered.where("label = 0")))
     vector = as_vector([F.col("x")[i] for i in range(len(FEATURES))])
@@ -197,7 +197,7 @@ def _threshold(scored: DataFrame, weight: dict[int, float]) -> float:
     as much lies as is labelled bad, each text counting by its label's ``weight``."""
     both = {"n0": F.count_if(F.col("label") == 0), "n1": F.count_if(F.col("label") == 1)}
     values = keep(scored.groupBy("s").agg(*[c.alias(n) for n, c in both.items()]))
-    ranked = running_sums(values, [], [F.col("s")], {"u0": "n0", "u1": "n1"})
+    ranked = running_sums(values, [], [F.col("s")], {"u0": "n0", "u1": "n1"}, hot=True)
     bad = values.agg(F.sum("n0")).first()[0] * weight[0]
     below = F.col("u0") * weight[0] + F.col("u1") * weight[1] <= bad * (1.0 + 1e-12)
     ends = ranked.agg(F.max(F.when(below, F.col("s"))).alias("a"), F.min(F.when(~below, F.col("s"))).alias("b")).first()
