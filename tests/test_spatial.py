@@ -113,6 +113,24 @@ def test_lines_of_a_hub_are_cut_only_near_the_queries(spark, monkeypatch):
     assert len(got) == 71 and all(math.isclose(got[i], far(x, y), abs_tol=1e-7) for i, _, x, y in cells)
 
 
+def test_shared_points_in_overlapping_boundaries(spark):
+    """Points without a group count as their copies for each group do, also on
+    corners, in holes and in parts turned the other way."""
+    shapes = {"p": [[(0, 0), (900, 100), (700, 800), (100, 600)], [(200, 200), (200, 400), (400, 300)]], "q": [[(50, 700), (650, 750), (300, -100)]]}
+    edges = []
+    for city, rings in shapes.items():
+        for ring, corners in enumerate(rings):
+            edges += [(city, ring, *map(float, (*a, *b))) for a, b in zip(corners, corners[1:] + corners[:1])]
+    edges = spark.createDataFrame(edges, "city string, ring int, x1 double, y1 double, x2 double, y2 double")
+    rng = random.Random(3)
+    spots = [(float(rng.randrange(-100, 1000, 50)), float(rng.randrange(-100, 1000, 50))) for _ in range(400)] + [(rng.uniform(0, 900), rng.uniform(0, 800)) for _ in range(300)]
+    points = spark.createDataFrame([*spots, (None, 1.0)], "x double, y double")
+    cells = areas.grid(edges, 250.0)
+    copies = points.crossJoin(spark.createDataFrame([("p",), ("q",)], "city string"))
+    got, want = (rows(areas.contains_count(cells, p, 250.0, "n", edges=edges).select("city", "ix", "iy", "n"), "city", "ix", "iy") for p in (points, copies))
+    assert got == want and sum(r["n"] for r in got) > 300
+
+
 def test_knn_samples_equal_brute_force(spark):
     cells, samples = clustered(5, 60, 20), clustered(6, 70, 40)
     got = near.knn(
