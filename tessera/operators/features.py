@@ -12,7 +12,7 @@ from tessera.functions.geo import resolve_tiles, tiles_for_bounds
 from tessera.operators.areas import contains_count, grid
 from tessera.operators.near import count_within, nearest_distance
 from tessera.operators.raster import class_shares, population_sum
-from tessera.runtime import keep
+from tessera.runtime import keep, lookup
 
 
 def combine_points(*layers: DataFrame) -> DataFrame:
@@ -33,30 +33,36 @@ def build_features(
     cell_size: float = 500.0,
     radius: float = 1000.0,
     by: str = "city",
+    zones: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Grid cells with ten features, and the number of cells per city.
 
     ``boundary`` and ``roads`` are segments, ``nodes`` and ``amenities`` points,
     ``population`` and ``cover`` pixel boxes, all in metres and keyed by city.
+    Where cities share their layers, ``zones`` names the zone of each city (``by,
+    zone``) and all but the boundary are keyed by ``zone``: no layer is copied.
     """
+    layer = "zone" if zones is not None else by
+    shared = layer if zones is not None else None
     amenities = keep(amenities)
     schools, clinics = school_points(amenities), clinic_points(amenities)
-    cells = keep(grid(boundary, cell_size, by))
-    out = nearest_distance(cells, roads, "road_distance_m", [by])
-    out = keep(nearest_distance(out, schools, "school_distance_m", [by]))
-    out = keep(nearest_distance(out, clinics, "clinic_distance_m", [by]))
-    out = count_within(out, service_points(amenities), radius, "amenity_count_1km", [by])
-    out = keep(count_within(out, combine_points(schools, clinics), radius, "service_count_1km", [by]))
-    out = contains_count(out, intersection_nodes(nodes), cell_size, "__nodes", by, edges=boundary)
+    cells = grid(boundary, cell_size, by)
+    cells = keep(cells if zones is None else cells.join(lookup(zones.select(by, layer)), by))
+    out = nearest_distance(cells, roads, "road_distance_m", [layer])
+    out = keep(nearest_distance(out, schools, "school_distance_m", [layer]))
+    out = keep(nearest_distance(out, clinics, "clinic_distance_m", [layer]))
+    out = count_within(out, service_points(amenities), radius, "amenity_count_1km", [layer])
+    out = keep(count_within(out, combine_points(schools, clinics), radius, "service_count_1km", [layer]))
+    out = contains_count(out, intersection_nodes(nodes), cell_size, "__nodes", by, edges=boundary, layer=shared)
     out = out.withColumnRenamed("__nodes_per_km2", "intersection_density_km2").drop("__nodes")
-    out = population_sum(keep(out), population, [by], bucket=cell_size, edges=boundary)
-    out = class_shares(out, cover, [by], bucket=cell_size, edges=boundary)
+    out = population_sum(keep(out), population, [by], bucket=cell_size, edges=boundary, layer=shared)
+    out = class_shares(out, cover, [by], bucket=cell_size, edges=boundary, layer=shared)
     out = out.withColumns({
         "population_per_service": population_per_service("population", "service_count_1km"),
         "grid_cell_size_m": F.lit(int(cell_size)),
     })
     counts = cells.groupBy(by).agg(F.count(F.lit(1)).alias("grid_rows"))
-    return out, counts
+    return out.drop(*["zone"] * (zones is not None)), counts
 
 
 def city_tiles(

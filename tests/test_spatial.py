@@ -131,6 +131,24 @@ def test_shared_points_in_overlapping_boundaries(spark):
     assert got == want and sum(r["n"] for r in got) > 300
 
 
+def test_layers_of_a_zone_are_shared_by_its_cities(spark):
+    corners = {"p": [(0, 0), (900, 100), (700, 800)], "q": [(50, 700), (650, 750), (300, -100)], "r": [(10, 10), (500, 10), (500, 600)]}
+    edges = spark.createDataFrame([(c, 0, *map(float, (*a, *b))) for c, k in corners.items() for a, b in zip(k, k[1:] + k[:1])],
+                                  "city string, ring int, x1 double, y1 double, x2 double, y2 double")
+    zones = spark.createDataFrame([("p", 1), ("q", 1), ("r", 2)], "city string, zone int")
+    rng = random.Random(8)
+    spots = [(rng.randint(1, 2), rng.uniform(0, 900), rng.uniform(0, 800), float(rng.randint(0, 9))) for _ in range(500)]
+    shared = spark.createDataFrame(spots, "zone int, x double, y double, value double").selectExpr("*", "x - 6 AS px0", "y - 6 AS py0", "x + 6 AS px1", "y + 6 AS py1")
+    copies = shared.join(zones, "zone").drop("zone")
+    cells = areas.grid(edges, 250.0).join(zones, "city").cache()
+    for make in (
+        lambda rows_, layer: areas.contains_count(cells, rows_, 250.0, "v", edges=edges, layer=layer),
+        lambda rows_, layer: raster.population_sum(cells, rows_, ["city"], out="v", bucket=250.0, edges=edges, layer=layer),
+    ):
+        got, want = (rows(make(r, k).select("city", "ix", "iy", "v"), "city", "ix", "iy") for r, k in ((shared, "zone"), (copies, None)))
+        assert got == want and sum(r["v"] for r in got) > 100
+
+
 def test_knn_samples_equal_brute_force(spark):
     cells, samples = clustered(5, 60, 20), clustered(6, 70, 40)
     got = near.knn(
