@@ -87,6 +87,28 @@ def test_splits_are_seeded_and_exact(spark):
     assert a.count() == b.count() == 4
 
 
+def counted(spark, df):
+    """The rows, and a count of how many of them were computed so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema), made
+
+
+def test_splits_compute_their_input_once(spark):
+    for strategy in ("auto", "all_pairs"):
+        df, made = counted(spark, labelled(spark, ["A", "B", "C"]))
+        assert splits.protocol_splits(df, cls="cls", strategy=strategy).count() == 120 + (360 if strategy == "auto" else 480)
+        assert made.value == 121
+    df, made = counted(spark, labelled(spark, ["A", "B"]))
+    train, held = splits.train_validation_split(df, "cls")
+    assert train.count() + held.count() == made.value == 81
+
+
 def test_kmeans_separates_groups(spark):
     data = [(i, float(i % 3) * 100 + i / 100, None if i == 0 else 1.0) for i in range(60)]
     df = spark.createDataFrame(data, "cell_id int, a double, b double")
