@@ -116,6 +116,8 @@ def test_kmeans_separates_groups(spark):
     groups = {r["cell_id"]: r["cluster_id"] for r in out.collect()}
     assert all(groups[i] == i % 3 for i in range(60))
     assert [r["cluster_size"] for r in rows(report, "cluster_id")] == [20, 20, 20]
+    once, made = counted(spark, df)
+    assert models.kmeans_groups(once, ["a", "b"], 3, restarts=3)[0].count() == made.value == 60
     with pytest.raises(ValueError):
         models.kmeans_groups(df, ["a"], 1)
 
