@@ -571,3 +571,45 @@ def test_population_of_a_patch_is_bilinear_over_pixels_that_exist(spark):
                 want = math.log1p(sum(w * z for w, z in corners) / weight) if weight else 0.0
                 assert math.isclose(row["patch"][8 * r + c], want, rel_tol=1e-5, abs_tol=1e-6)
                 assert row["patch"][64 + 8 * r + c] == float(0 <= px < 10 and 0 <= py < 10)
+
+
+def test_patches_of_crowded_windows_and_blocks(spark, monkeypatch):
+    """Points counted by corners, features cut into blocks and cells of equal id give what a look at each row gives."""
+    random = __import__("random").Random(3)
+    marks = [(random.choice(["schools", "clinics"]), float(random.randint(0, 60)), float(random.randint(0, 60))) for _ in range(4000)]
+    lines = [(*(random.uniform(0, 60) for _ in range(2)), random.uniform(-20, 80), random.uniform(0, 60)) for _ in range(3)]
+    points = spark.createDataFrame([("A", *m) for m in marks], "city string, channel string, x double, y double")
+    roads = spark.createDataFrame([("A", *m) for m in lines], "city string, x1 double, y1 double, x2 double, y2 double")
+    pixels = spark.createDataFrame([("A", "cover", 25.0, 25.0, 50.0)], "city string, channel string, x double, y double, value double")
+    spots = [(7, "A", 30.0, 30.0), (7, "A", 20.0, 33.0), (8, "A", 61.0, 5.0), (9, "B", 30.0, 30.0), (10, None, 30.0, 30.0), (11, "A", None, 1.0)]
+    cells = spark.createDataFrame(spots, "cell_id int, city string, x double, y double")
+
+    def patch(city, x, y):
+        out = [0.0] * 32
+        if city != "A" or x is None:
+            return out
+        for channel, px, py in marks:
+            c, r = math.floor((px - x + 10) / 10), 1 - math.floor((py - y + 10) / 10)
+            if c in (0, 1) and r in (0, 1):
+                out[raster.CHANNELS.index(channel) * 4 + 2 * r + c] += 1
+        out = [math.log1p(v) for v in out]
+        for c in (0, 1):
+            for r in (0, 1):
+                u, v = x - 10 + (c + 0.5) * 10, y + 10 - (r + 0.5) * 10
+                out[4 + 2 * r + c] = float(20 <= u < 30 and 20 <= v < 30)
+                box = x - 10 + c * 10, y - 10 + (1 - r) * 10
+                for x1, y1, x2, y2 in lines:
+                    steps = [(x1 + t / 20000 * (x2 - x1), y1 + t / 20000 * (y2 - y1)) for t in range(20001)]
+                    if any(box[0] < a < box[0] + 10 and box[1] < b < box[1] + 10 for a, b in steps):
+                        out[12 + 2 * r + c] = 1.0
+        return out
+
+    want = sorted((i, str(c), str(x), patch(c, x, y)) for i, c, x, y in spots)
+    for features, shares in ((1_000_000, 2_048), (300, 1)):
+        monkeypatch.setattr(raster, "_FEATURES", features)
+        monkeypatch.setattr(raster, "_CELLS", shares)
+        out = raster.patch_features(cells, pixels, points, roads, patch_size=2, context=20.0, pixel_size=10.0).collect()
+        got = sorted((r["cell_id"], str(r["city"]), str(r["x"]), list(r["patch"])) for r in out)
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        for g, w in zip(got, want, strict=True):
+            assert all(math.isclose(a, b, rel_tol=1e-5) for a, b in zip(g[3], w[3], strict=True)), (g, w)
