@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.components import components
 from tessera.llm.words import Words, mix, slices, spaced_words, windows, words_of
-from tessera.runtime import discard, keep, require, require_columns
+from tessera.runtime import bounded_batches, discard, keep, require, require_columns
 
 SHINGLE = 3
 PERCENT = 90
@@ -413,6 +413,7 @@ def _linked(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int,
     """(id, version, n, component, component_id) of each document; the component
     is a number, null for a text without words. What is kept on the way goes as
     soon as the table that is made of it is there."""
+    bounded_batches(docs.sparkSession)
     plan = make_plan(docs, text, shingle, percent)
     sets = keep(_signatures(docs, doc_id, text, shingle, plan))
     ids = keep(sets.select("id", "version", "n", "d1", "d2"))

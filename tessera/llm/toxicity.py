@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.labelled import as_vector, labelled_sample, sigmoid
 from tessera.llm.words import Words, item_words, slices, words_of
-from tessera.runtime import require, require_columns
+from tessera.runtime import bounded_batches, require, require_columns
 
 # Terms known without labels.
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "worthless", "disgusting", "pathetic", "trash", "retard", "bastard", "bitch", "whore", "slut", "asshole", "fucker")
@@ -241,6 +241,7 @@ def context_features(docs: DataFrame, terms: Sequence[str], text: str = "text",
     """Add the array of FEATURES of each text."""
     require_columns(docs, [text], "docs")
     spark = docs.sparkSession
+    bounded_batches(spark)
     matcher = Matcher([t.lower().encode() for t in terms])
     known = words_of(pa.array([w.encode() for w in REPORTING], pa.binary()), _ALPHABET)
     shared = spark.sparkContext.broadcast((matcher, known.hashes))  # bounded by MAX_TERMS

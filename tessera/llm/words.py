@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-# Texts are worked on in slices of about this many bytes.
-SLICE_BYTES = 2_000_000
+# Texts are worked on in slices of about this many bytes; a byte takes about 50 in numbers on the way.
+SLICE_BYTES = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
