@@ -181,6 +181,22 @@ def test_count_within_a_crowded_spot(spark):
     assert {r["n"] for r in none.collect()} == {0}
 
 
+def test_count_within_makes_few_rows_of_a_circle(spark, monkeypatch):
+    """A node's locations are held against its circles in tasks, in parts and
+    shares where either are many, and not joined as a row for each of them."""
+    rng = random.Random(23)
+    cells = [(i, "A", rng.uniform(0, 4000), rng.uniform(0, 4000)) for i in range(200)] + [(900, None, 1.0, 1.0)]
+    points = [(i, "A", rng.uniform(0, 4000), rng.uniform(0, 4000)) for i in range(3000)]
+    points += [(i, "A", 2000.0, 2000.0) for i in range(50)]
+    want = {i: sum(c == "A" and (a - x) ** 2 + (b - y) ** 2 < 1e6 for _, _, a, b in points) for i, c, x, y in cells}
+    for asked, leaf, depth in ((50_000, 8_192, 16), (20, 8_192, 16), (20, 30, 0)):
+        monkeypatch.setattr(near, "_ASKED", asked)
+        monkeypatch.setattr(near, "_DEPTH", depth)
+        out = near.count_within(table(spark, cells), table(spark, points).drop("cell_id"), 1000.0, "n", leaf=leaf)
+        assert {r["cell_id"]: r["n"] for r in out.collect()} == want
+        assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_distance_to_points_and_lines(spark):
     cells = table(spark, [(1, "A", 0.0, 5.0), (2, "A", 100.0, 3.0), (3, "B", 0.0, 0.0)])
     lines = spark.createDataFrame(
