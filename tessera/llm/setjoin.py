@@ -13,6 +13,12 @@ the summed cost of both ways over a sample of the sizes is least.
 Elements found often in a sample come last in the order, so that lists stay short;
 the order is the same for all sets, so the result does not depend on the sample.
 
+Heavy sets show somewhat more elements than those places, all of the pool: the rare
+elements whose hashes are least. An element of the pool that one set alone has is in
+no partner, and takes one of the n - ceil(percent n / 100) places that a partner may
+lack. A set so enters only the first of its other lists, as many as places are left:
+unrelated sets, which share a few rare elements by chance, enter none.
+
 Only components are asked for, so no group is expanded into its pairs. Equal sets
 are one class. In each list every set is first held against its most popular one;
 the links found contract the classes. Then only lists that still hold two components
@@ -34,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,10 +55,14 @@ SAMPLE_TEXTS = 4_000
 COMMON = 50_000
 # Elements of the sets that share a home in one tile.
 TILE = 100_000
+# The pool, in times of the elements that a set's partner may lack.
+POOL = 1.5
 # Sets of one list that a task holds against each other at once.
 BLOCK = 1_024
 # Comparisons in memory that cost as much as a row that is written and shuffled.
 LOOKS = 50.0
+# Bits of a sieve for each row it holds, and at most in all.
+SIEVE_BITS, MOST_SIEVE_BITS = 32, 1 << 26
 _BITS = 1_024
 _LONGS = _BITS // 64
 
@@ -96,31 +106,41 @@ class Plan:
     boundary: int
     percent: int
 
-    def ordered(self, values: np.ndarray) -> np.ndarray:
-        """Elements of one set in the global order: rare ones by hash, then common ones."""
+    def ordered(self, values: np.ndarray) -> tuple[np.ndarray, int]:
+        """Elements of one set in the global order, rare ones by hash, then common ones; and the number of rare ones."""
         if len(self.common):
             at = np.searchsorted(self.common, values)
             at[at == len(self.common)] = 0
             often = self.common[at] == values
-            return np.concatenate([values[~often], values[often]])
-        return values
+            return np.concatenate([values[~often], values[often]]), int(np.count_nonzero(~often))
+        return values, len(values)
+
+    def pool(self, ordered: np.ndarray, rare: int) -> int:
+        """How many of a set's ordered elements are in the pool: the first ones."""
+        last = np.uint64(min(POOL * (100 - self.percent) / 100, 0.999) * 2.0**64)
+        return int(np.searchsorted(ordered[:rare], last))
 
-    def keys(self, values: np.ndarray) -> np.ndarray:
+    def keys(self, values: np.ndarray) -> tuple[np.ndarray, int]:
+        """The keys of a set, and how many of them, the first ones, are of the pool."""
         n = len(values)
         spare = n - int(needed(np.int64(n), self.percent))
         if spare == 0 and n * 100 < self.percent * (n + 1):
-            return np.zeros(0, np.uint64)  # links with equal sets only, which are one class
-        first = self.ordered(values)[: spare + 2]
+            return np.zeros(0, np.uint64), 0  # links with equal sets only, which are one class
+        ordered, rare = self.ordered(values)
+        first = ordered[: spare + 2]
+        pool = 0
         out = []
         if n > self.boundary or n * 100 >= self.percent * (self.boundary + 1):
-            out.append(mix(first[: spare + 1] ^ _SINGLE))
+            # All that a heavy set may link with show their whole pool, or an element would seem to be in one set alone.
+            pool = self.pool(ordered, rare)
+            out.append(mix(ordered[: max(spare + 1, pool)] ^ _SINGLE))
         elif n * self.percent <= 100:
             out.append(mix(first[: spare + 1] ^ _SINGLE))  # one shared element may do
         if n <= self.boundary:
             i, j = np.triu_indices(len(first), 1)
             with np.errstate(over="ignore"):
                 out.append(mix(mix(first[i]) * _DOUBLE + first[j]))
-        return np.concatenate(out)
+        return np.concatenate(out), pool if n > self.boundary else 0
 
 
 def choose_boundary(sizes: Sequence[int], others: float, percent: int = PERCENT) -> int:
@@ -186,12 +206,12 @@ def _folded(x: np.ndarray, longs: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, plan: Plan) -> DataFrame:
-    """(id, version, n, d1, d2, keys, bitmap, wide) of each document; the version is a
-    hash of the text, d1 and d2 tell sets apart."""
+    """(id, version, n, d1, d2, pool, keys, bitmap, wide) of each document; the version
+    is a hash of the text, d1 and d2 tell sets apart, pool counts a heavy set's keys of the pool."""
     shared = docs.sparkSession.sparkContext.broadcast(plan)
     longs = T.ArrayType(T.LongType())
     schema = T.StructType(
-        [T.StructField("id", docs.schema[doc_id].dataType), *[T.StructField(c, T.LongType()) for c in ("version", "n", "d1", "d2")], T.StructField("keys", longs), T.StructField("bitmap", longs), T.StructField("wide", longs)]
+        [T.StructField("id", docs.schema[doc_id].dataType), *[T.StructField(c, T.LongType()) for c in ("version", "n", "d1", "d2", "pool")], T.StructField("keys", longs), T.StructField("bitmap", longs), T.StructField("wide", longs)]
     )
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +224,8 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, plan: Pla
                     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(s)))]) for s in (1, 2)]
                     d1, d2 = (s[first[1:]] - s[first[:-1]] for s in sums)
                 own = [values[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-                keys = [plan.keys(v) if len(v) else v for v in own]
+                shown = [plan.keys(v) if len(v) else (v, 0) for v in own]
+                keys, pool = [k for k, _ in shown], [p for _, p in shown]
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
                 maps = np.concatenate([_bitmap(v) if len(k) else np.zeros(0, np.int64) for v, k in zip(own, keys, strict=True)]) if own else np.zeros(0, np.int64)
@@ -214,7 +235,7 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, plan: Pla
                 wide = np.concatenate(more) if more else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                        part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(pool, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(pa.array(map_ends), pa.array(maps)),
                         pa.ListArray.from_arrays(pa.array(more_ends), pa.array(wide)),
                     ],
@@ -265,6 +286,27 @@ def _homes(members: DataFrame, classes: DataFrame, elements: int) -> DataFrame:
     return homes
 
 
+def _sieve(rows: DataFrame) -> Callable[..., Column]:
+    """A test for columns such as those of ``rows``: true for each of the rows, and
+    for few others. It is a bitmap of hashes of bounded size, made on the
+    executors, so a table of whole texts can be thinned out before an exact join
+    shuffles it, however many rows are looked for."""
+    bits = min(MOST_SIEVE_BITS, max(1 << 16, 1 << (SIEVE_BITS * rows.count()).bit_length()))
+    place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(bits))
+    placed = rows.select(place(rows.columns).alias("p")).select(F.expr("p div 64").alias("long"), F.expr("shiftleft(1L, cast(p % 64 AS int))").alias("bit"))
+    found = placed.groupBy("long").agg(F.bit_or("bit").alias("bits")).toArrow()
+    sieve = np.zeros(bits // 64, np.int64)
+    sieve[found.column("long").to_numpy()] = found.column("bits").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(sieve.view(np.uint8))
+
+    @F.arrow_udf("boolean")
+    def held(at: pa.Array) -> pa.Array:
+        at = np.asarray(at)
+        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda *columns: held(place(columns))
+
+
 _PAIR = T.StructType([T.StructField("tile", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -315,7 +357,7 @@ def _verified(
     discard(tiled)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = keep(wanted.join(classes.select("node", "rep", "d1"), "node"))
-    held = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
+    held = docs.where(_sieve(wanted.select("rep"))(F.col(doc_id))).select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
     texts = held.join(wanted, held["rep"].eqNullSafe(wanted["rep"])).select("node", "d1", "text")
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType()))])
 
@@ -409,6 +451,22 @@ def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
     return dealt.mapInArrow(scan, schema).distinct()
 
 
+def _entered(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(key, node, popular) of the lists that each set enters. ``shared`` has the key,
+    node and place ``at`` of every key that several sets show, and the list's size.
+    Keys of a heavy set's pool that are missing there are in no other set, and so
+    many of the elements that a partner may lack are known. A set whose elements many
+    others have, such as the one that copies come from, is popular."""
+    own = Window.partitionBy("node")
+    lacks = F.expr(f"n - (n * {percent} + 99) div 100")
+    met = F.sum(F.when(F.col("at") < F.col("pool"), 1).otherwise(0)).over(own)
+    placed = shared.join(classes.select("node", "n", "pool", F.size("keys").alias("shown")), "node")
+    placed = placed.withColumn("met", met).withColumn("rank", F.row_number().over(own.orderBy("at")))
+    popular = (F.sum("size").over(own) / F.col("shown")).alias("popular")
+    enters = (F.col("at") >= F.col("pool")) | (F.col("rank") <= lacks + 1 - F.col("pool") + F.col("met"))
+    return placed.select("key", "node", popular, enters.alias("enters")).where("enters").drop("enters")
+
+
 def _linked(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, block: int) -> DataFrame:
     """(id, version, n, component, component_id) of each document; the component
     is a number, null for a text without words. What is kept on the way goes as
@@ -417,18 +475,17 @@ def _linked(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int,
     plan = make_plan(docs, text, shingle, percent)
     sets = keep(_signatures(docs, doc_id, text, shingle, plan))
     ids = keep(sets.select("id", "version", "n", "d1", "d2"))
-    grouped = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("bitmap").alias("bitmap"), F.any_value("wide").alias("wide"))
+    grouped = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.any_value("pool").alias("pool"), F.any_value("keys").alias("keys"), F.any_value("bitmap").alias("bitmap"), F.any_value("wide").alias("wide"))
     classes = keep(grouped.withColumn("node", F.monotonically_increasing_id()))
     discard(sets)
-    keyed = classes.select(F.explode("keys").alias("key"), "node")
+    keyed = classes.select(F.posexplode("keys").alias("at", "key"), "node")
     lists = keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    shared = keep(keyed.join(lists, "key"))
-    # A set whose elements many others have, such as the one that copies come from, is popular.
-    popular = shared.groupBy("node").agg(F.sum("size").alias("popular")).join(classes.select("node", F.size("keys").alias("k")), "node")
-    ranked = keep(popular.select("node", (F.col("popular") / F.col("k")).alias("popular")))
-    heads = keep(shared.join(ranked, "node").groupBy("key").agg(F.max(F.struct("popular", "node")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.popular").alias("popular")))
-    members = keep(shared.join(heads, "key"))
-    discard(lists, shared, ranked, heads)
+    shared = keep(_entered(keyed.join(lists, "key"), classes, percent))
+    # The head of a list is its most popular set.
+    heads = shared.groupBy("key").agg(F.max(F.struct("popular", "node")).alias("h"), F.count(F.lit(1)).alias("size"))
+    heads = keep(heads.where("size > 1").select("key", F.col("h.node").alias("head"), F.col("h.popular").alias("popular"), "size"))
+    members = keep(shared.drop("popular").join(heads, "key"))
+    discard(lists, shared, heads)
     homes = _homes(members, classes, TILE)
     args = (homes, classes, docs, doc_id, text, shingle, percent)
     stars = members.where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
@@ -474,10 +531,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     gone = keep(rows.join(chosen, same, "left_anti").select(F.col("id").alias("__id"), F.col("version").alias("__version")))
     version = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     mine = F.col(doc_id).eqNullSafe(F.col("__id")) & (version == F.col("__version"))
-    left = docs.join(gone, mine, "left_anti")
+    # Texts are shuffled only where a sieve of the ids and versions lets them pass.
+    suspect = _sieve(gone)(F.col(doc_id), version)
+    left = docs.where(~suspect).unionByName(docs.where(suspect).join(gone, mine, "left_anti"))
     # Rows of one document are rare, and looked for on the ids alone.
     repeated = keep(chosen.where("__times > 1").select("__id", "__version"))
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, mine, "left_semi").withColumn("__v", version).dropDuplicates([doc_id, "__v"]).drop("__v")
-    return left.join(repeated, mine, "left_anti").unionByName(once)
+    suspect = _sieve(repeated)(F.col(doc_id), version)
+    some = left.where(suspect)
+    once = some.join(repeated, mine, "left_semi").withColumn("__v", version).dropDuplicates([doc_id, "__v"]).drop("__v")
+    return left.where(~suspect).unionByName(some.join(repeated, mine, "left_anti")).unionByName(once)

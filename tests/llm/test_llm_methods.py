@@ -5,6 +5,7 @@ import os
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,60 @@ def test_low_similarities_lose_no_link(spark, boundary, percent, monkeypatch):
     assert got == linked(texts, 1, percent)
 
 
+@pytest.mark.parametrize("percent", [60, 80])
+def test_lists_that_sets_do_not_enter_lose_no_link(spark, percent, monkeypatch):
+    """Sets around the limit, with elements of their own and elements that many have."""
+    monkeypatch.setattr(setjoin, "choose_boundary", lambda sizes, others, percent: 12)
+    pick, words, texts = random.Random(percent), [f"v{i}" for i in range(300)], []
+    for _ in range(12):
+        base = pick.sample(words, pick.randint(8, 50))
+        for k in range(8):
+            lost = pick.randint(0, len(base) * (100 - percent) // 60)
+            texts.append(pick.sample(base, len(base) - lost) + [f"own{len(texts)}x{i}" for i in range(pick.randint(0, 1 + lost))])
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.jaccard_components(docs, shingle=1, percent=percent).collect()}
+    assert got == linked(texts, 1, percent)
+    assert 20 < len({c for _, c in got.values()}) < 90
+
+
+def test_large_sets_that_share_a_passage_are_no_pairs(spark, prose, monkeypatch):
+    """They were all held against each other, as their bitmaps are full."""
+    passage = prose(60, 500)
+    texts = [f"{prose(3_000, 600 + i, 3_000)} {passage}" for i in range(24)]
+    words = texts[3].split()
+    words[::300] = [f"c{i}" for i in range(len(words[::300]))]
+    texts = dict(enumerate([*texts, " ".join(words)]))
+    held, verified = [], setjoin._verified
+    monkeypatch.setattr(setjoin, "_verified", lambda pairs, *rest: held.append(pairs.count()) or verified(pairs, *rest))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in setjoin.jaccard_components(docs, shingle=5, percent=80).collect()}
+    assert got == {i: 3 if i == 24 else i for i in texts}
+    assert 1 <= sum(held) <= 3
+
+
+def test_texts_without_partners_are_not_shuffled(spark, prose):
+    """Both joins of the texts shuffled all of them, unless the few that were looked for were broadcast."""
+    texts = [prose(8_000, 900 + i, 200) for i in range(80)]
+    texts.append(texts[5] + " more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+
+    def shuffled():
+        spark.range(1).count()
+        time.sleep(1)
+        executors = spark._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before, limit = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = {r["doc_id"] for r in setjoin.keep_one(docs, shingle=1, percent=80).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert left == set(range(80))
+    assert shuffled() - before < 0.3 * sum(map(len, texts))
+
+
 def test_one_row_of_each_group_stays(spark, prose):
     """Null and repeated ids, repeated rows and texts without words."""
     a, b = prose(60, 1), prose(60, 2)
