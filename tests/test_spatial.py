@@ -629,3 +629,53 @@ def test_patches_of_crowded_windows_and_blocks(spark, monkeypatch):
         assert [g[:3] for g in got] == [w[:3] for w in want]
         for g, w in zip(got, want, strict=True):
             assert all(math.isclose(a, b, rel_tol=1e-5) for a, b in zip(g[3], w[3], strict=True)), (g, w)
+
+
+def test_lines_of_a_patch_are_looked_at_where_they_are_in_doubt(monkeypatch):
+    """Dense, sparse, short, level and far lines mark what each line alone marks, and
+    of many lines few are held against a pixel."""
+    np, looked, held = __import__("numpy"), [], raster._Lines._held
+    monkeypatch.setattr(raster._Lines, "_held", lambda self, line, *at: looked.append(len(line)) or held(self, line, *at))
+    rng = np.random.default_rng(8)
+
+    def around(n, spread):
+        start = np.where(rng.random((2, n)) < 0.5, rng.integers(-40, 340, (2, n)), rng.uniform(-40, 340, (2, n)))
+        return np.concatenate([start, start + np.where(rng.random((2, n)) < 0.2, 0.0, rng.integers(-spread, spread + 1, (2, n)))])
+
+    far = np.array([[-1e5, 80.0, 3e5, 200.0], [30.0, -9e4, 31.0, 9e4], [40.0, 40.0, 40.0, 40.0], [50.0, 50.0, 50.004, 50.0]]).T
+    for many, spread, most in ((150, 20, 4_000), (150, 2, 4_000), (40_000, 20, 40_000)):
+        lines = np.concatenate([around(many, spread), far], axis=1)
+        del looked[:]
+        scene = raster._Lines(lines, (-50.0, -50.0), 150 / 16, 16)
+        x, y = (np.array([0.0, 17.0, 93.75, 149.0]) - 50 + v for v in (0.0, 0.5))
+        got = scene.passed(x, y)
+        assert sum(looked) < most
+        every = np.arange(lines.shape[1])
+        for k in range(4):
+            for i, j in [(0, 0), (15, 15), *rng.integers(0, 16, (60, 2)).tolist()]:
+                want = held(scene, every, *(np.full(len(every), v) for v in (x[k], y[k], i, j)))
+                assert got[k, i, j] == want.any(), (many, k, i, j)
+
+
+def test_summaries_take_the_place_of_patches(spark, monkeypatch):
+    """Digests made where the patches are, in one block or several, are those of the patches."""
+    random, sha256 = __import__("random").Random(6), __import__("hashlib").sha256
+    spots = [(i, "A", random.uniform(0, 60), random.uniform(0, 60)) for i in range(12)] + [(90, "B", 1.0, 1.0), (91, None, 1.0, 1.0), (92, "A", None, 1.0)]
+    cells = spark.createDataFrame(spots, "cell_id int, city string, x double, y double")
+    points = [("A", random.choice(["schools", "clinics"]), float(random.randint(0, 60)), float(random.randint(0, 60))) for _ in range(900)]
+    points = spark.createDataFrame(points, "city string, channel string, x double, y double")
+    roads = spark.createDataFrame([("A", *(random.uniform(0, 60) for _ in range(4))) for _ in range(5)], "city string, x1 double, y1 double, x2 double, y2 double")
+    pixels = [("A", c, i * 10.0 + 5, j * 10.0 + 5, v) for i in range(6) for j in range(6) for c, v in (("cover", random.choice([10.0, 50.0, 80.0])), ("population", random.choice([0.0, 3.0, 1e6])))]
+    pixels = spark.createDataFrame(pixels, "city string, channel string, x double, y double, value double")
+    for features, corners in ((1_000_000, 10_000_000), (1_000_000, 0), (100, 10_000_000)):
+        monkeypatch.setattr(raster, "_FEATURES", features)
+        monkeypatch.setattr(raster, "_CORNERS", corners)
+        make = lambda **how: raster.patch_features(cells, pixels, points, roads, patch_size=4, context=20.0, pixel_size=10.0, **how)
+        made = make(summary=(raster.SLOT_DIGESTS, raster.slot_digests()))
+        assert made.columns == [*cells.columns, "n_filled", "slots_sha256"]
+        got = {r["cell_id"]: (list(r["n_filled"]), list(r["slots_sha256"])) for r in made.collect()}
+        for row in make().collect():
+            parts = [row["patch"][16 * c:16 * c + 16] for c in range(8)]
+            texts = [",".join(f"{i}:{math.floor(v * 1000 + 0.5)}" for i, v in enumerate(p) if v) for p in parts]
+            assert got[row["cell_id"]] == ([sum(v != 0 for v in p) for p in parts], [sha256(t.encode()).hexdigest() for t in texts])
+        assert len(got) == len(spots)
