@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +52,26 @@ def build_features(
     schools, clinics = school_points(amenities), clinic_points(amenities)
     cells = grid(boundary, cell_size, by)
     cells = keep(cells if zones is None else cells.join(lookup(zones.select(by, layer)), by))
-    out = nearest_distance(cells, roads, "road_distance_m", [layer])
-    out = keep(nearest_distance(out, schools, "school_distance_m", [layer]))
-    out = keep(nearest_distance(out, clinics, "clinic_distance_m", [layer]))
-    out = count_within(out, service_points(amenities), radius, "amenity_count_1km", [layer])
-    out = keep(count_within(out, combine_points(schools, clinics), radius, "service_count_1km", [layer]))
-    out = contains_count(out, intersection_nodes(nodes), cell_size, "__nodes", by, edges=boundary, layer=shared)
-    out = out.withColumnRenamed("__nodes_per_km2", "intersection_density_km2").drop("__nodes")
-    out = population_sum(keep(out), population, [by], bucket=cell_size, edges=boundary, layer=shared)
-    out = class_shares(out, cover, [by], bucket=cell_size, edges=boundary, layer=shared)
+    steps = (
+        lambda: nearest_distance(cells, roads, "road_distance_m", [layer]),
+        lambda: nearest_distance(cells, schools, "school_distance_m", [layer]),
+        lambda: nearest_distance(cells, clinics, "clinic_distance_m", [layer]),
+        lambda: count_within(cells, service_points(amenities), radius, "amenity_count_1km", [layer]),
+        lambda: count_within(cells, combine_points(schools, clinics), radius, "service_count_1km", [layer]),
+        lambda: contains_count(cells, intersection_nodes(nodes), cell_size, "__nodes", by, edges=boundary, layer=shared)
+        .withColumnRenamed("__nodes_per_km2", "intersection_density_km2").drop("__nodes"),
+        lambda: population_sum(cells, population, [by], bucket=cell_size, edges=boundary, layer=shared),
+        lambda: class_shares(cells, cover, [by], bucket=cell_size, edges=boundary, layer=shared),
+    )
+    place = [by, "ix", "iy"]
+
+    def made(step: Callable[[], DataFrame]) -> DataFrame:
+        out = step()
+        return keep(out.select(*place, *[c for c in out.columns if c not in cells.columns]))
+
+    # The steps need only the cells, and each is a chain of short jobs, so they run side by side.
+    with ThreadPoolExecutor(len(steps)) as pool:
+        out = reduce(lambda a, b: a.join(b, place), pool.map(made, steps), cells)
     out = out.withColumns({
         "population_per_service": population_per_service("population", "service_count_1km"),
         "grid_cell_size_m": F.lit(int(cell_size)),

@@ -679,3 +679,51 @@ def test_summaries_take_the_place_of_patches(spark, monkeypatch):
             texts = [",".join(f"{i}:{math.floor(v * 1000 + 0.5)}" for i, v in enumerate(p) if v) for p in parts]
             assert got[row["cell_id"]] == ([sum(v != 0 for v in p) for p in parts], [sha256(t.encode()).hexdigest() for t in texts])
         assert len(got) == len(spots)
+
+
+def test_sums_of_touched_pixels_make_no_pairs(spark, monkeypatch):
+    """Sums made in tasks, in one block or several, are those over all pairs: at slanted
+    and level outlines, holes, shared corners, copies and pixels of several sizes."""
+    random, fraction = __import__("random").Random(12), __import__("fractions").Fraction
+    shapes = {
+        "p": [[(0, 0), (900, 100), (700, 800), (100, 600)], [(200, 200), (200, 400), (400, 300)]], "q": [[(50, 700), (650, 750), (300, -100)]],
+        "r": [[(0, 0), (500, 0), (500, 620), (0, 620)]],
+    }
+    lines = [(city, ring, *map(float, (*a, *b))) for city, rings in shapes.items() for ring, corners in enumerate(rings) for a, b in zip(corners, corners[1:] + corners[:1])]
+    edges = spark.createDataFrame(lines, "city string, ring int, x1 double, y1 double, x2 double, y2 double")
+    spots = [(float(random.randrange(-100, 1000, 25)), float(random.randrange(-100, 1000, 25)), 25.0) for _ in range(500)]
+    spots += [(random.uniform(-50, 900), random.uniform(-50, 800), random.choice([4.0, 40.0, 300.0])) for _ in range(200)] + spots[:9]
+    layers = [(random.choice([0, 1]), x, y, x + w, y + w, random.choice([None, 3.0, 50.0, 60.0])) for x, y, w in spots]
+    pixels = spark.createDataFrame([*layers, (0, None, 0.0, 1.0, 1.0, 50.0)], "zone int, px0 double, py0 double, px1 double, py1 double, value double")
+    zones = {"p": 0, "q": 1, "r": 0}
+    cells = areas.grid(edges, 250.0).join(spark.createDataFrame(list(zones.items()), "city string, zone int"), "city")
+
+    def meets(box, outline):
+        """In whole fractions: an edge passes through the open box, or its centre is inside."""
+        x0, y0, x1, y1 = map(fraction, box)
+        x, y, odd = (x0 + x1) / 2, (y0 + y1) / 2, False
+        for xa, ya, xb, yb in outline:
+            spans = []
+            for a, b, low, high in ((xa, xb, x0, x1), (ya, yb, y0, y1)):
+                spans.append(sorted([(low - a) / (b - a), (high - a) / (b - a)]) if a != b else ([0, 1] if low < a < high else [1, 0]))
+            if max(0, *(s[0] for s in spans)) < min(1, *(s[1] for s in spans)):
+                return True
+            odd ^= (ya > y) != (yb > y) and x < xa + (y - ya) * (xb - xa) / (yb - ya)
+        return odd
+
+    want, plain = [], 0
+    for c in rows(cells, "city", "cell_id"):
+        outline = [tuple(map(fraction, line[2:])) for line in lines if line[0] == c["city"]]
+        met = [p for p in layers if p[1] < c["x1"] and p[3] > c["x0"] and p[2] < c["y1"] and p[4] > c["y0"]]
+        plain += len(met)
+        held = [v for z, a, b, d, e, v in met if z == zones[c["city"]] and meets((max(a, c["x0"]), max(b, c["y0"]), min(d, c["x1"]), min(e, c["y1"])), outline)]
+        if held:
+            want.append({"city": c["city"], "cell_id": c["cell_id"], "__n": len(held), "s": sum(v or 0.0 for v in held), "b": float(held.count(50.0))})
+    sums = {"s": F.col("value"), "b": (F.col("value") == 50).cast("int")}
+    for held in (1_000_000, 40):
+        monkeypatch.setattr(raster, "_HELD", held)
+        monkeypatch.setattr(raster, "_COMPARED", 4 * held)
+        out = raster.touched_sums(cells, pixels, sums, ["city"], bucket=250.0, edges=edges, layer="zone")
+        assert rows(out, "city", "cell_id") == want and len(want) > 20
+        assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+        assert sum(r["__n"] for r in raster.touched_sums(cells, pixels.drop("zone"), {}).collect()) == plain
